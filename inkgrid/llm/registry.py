@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, quality_classifier, quality_rules, url_filter, warc
+from . import bpe, html_extract, language_model, quality_classifier, quality_rules, simhash, url_filter, warc
 from .common import table
 
 
@@ -16,9 +16,9 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled URLs are those that the rules judge."""
+    """The labelled URLs are all pages' URLs, by seed words in their hosts."""
     pages = table(spark, sf_dir, "pages")
-    model = url_filter.fit(url_filter.labelled_by_rules(pages))
+    model = url_filter.fit(url_filter.labelled_by_seeds(pages))
     return url_filter.judged(pages, model).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -28,10 +28,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    got = language_model.scored(table(spark, sf_dir, "documents"), remainder != 2)
+    return got.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(table(spark, sf_dir, "documents"))
 
@@ -44,7 +54,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_bpe, op7_warc, op9_quality_rules, op10_quality_classifier)
+    f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_bpe, op5_simhash, op7_warc, op8_lm_scoring, op9_quality_rules, op10_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {}
