@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, language_model, quality_classifier, quality_rules, simhash, url_filter, warc
+from . import bpe, html_extract, language_model, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -54,7 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_bpe, op5_simhash, op7_warc, op8_lm_scoring, op9_quality_rules, op10_quality_classifier)
+    f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_bpe, op5_simhash, op6_suffix_dedup, op7_warc, op8_lm_scoring, op9_quality_rules, op10_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {}
