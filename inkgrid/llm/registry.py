@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, language_model, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter, warc
+from . import bpe, decontaminate, html_extract, language_model, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "end_word", "distance", "item_words", "similarity")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_bpe, op5_simhash, op6_suffix_dedup, op7_warc, op8_lm_scoring, op9_quality_rules, op10_quality_classifier)
+    f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_bpe, op4_decontamination, op5_simhash, op6_suffix_dedup, op7_warc, op8_lm_scoring, op9_quality_rules, op10_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {}

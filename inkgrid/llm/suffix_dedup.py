@@ -39,6 +39,7 @@ class SuffixParams:
     gram: int = 24
     hot_kinds: int = 4000
     batch_segments: int = 12_000
+    task_segments: int = 6_000
     memory_rows: int = 1 << 23
     flush_rows: int = 1 << 20
 
@@ -435,7 +436,8 @@ def removed_spans(base: DataFrame, params: SuffixParams | None = None) -> DataFr
         least = materialise(strings.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "least")
         again = strings.join(least, "key").where((F.col("doc") != F.col("least.doc")) | (F.col("start") != F.col("least.start")))
         spans = spans.unionByName(again.select("doc", F.col("start").alias("a"), (F.col("start") + p.length).alias("b")))
-    spans = spans.unionByName(cold.repartition("name").sortWithinPartitions("name").mapInArrow(lambda it: _columns(it, p), "doc long, a int, b int"))
+    tasks = max(1, -(-cut.count() // p.task_segments))  # by work: the rows are small, the columns are not
+    spans = spans.unionByName(cold.repartition(tasks, "name").sortWithinPartitions("name").mapInArrow(lambda it: _columns(it, p), "doc long, a int, b int"))
     return spans.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnRenamed("doc", "_doc")
 
 
