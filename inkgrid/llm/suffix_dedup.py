@@ -36,10 +36,10 @@ from .common import chunks, column_of, materialise, mix, prefix_hashes, span_has
 @dataclass(frozen=True)
 class SuffixParams:
     length: int = 100
-    gram: int = 24
-    hot_kinds: int = 4000
-    batch_segments: int = 12_000
-    task_segments: int = 6_000
+    gram: int = 40
+    hot_kinds: int = 3000
+    batch_segments: int = 4_000
+    task_segments: int = 8_000
     memory_rows: int = 1 << 23
     flush_rows: int = 1 << 20
 
@@ -174,7 +174,8 @@ def collection(texts: list[bytes], p: SuffixParams) -> tuple[np.ndarray, np.ndar
     size = np.array([len(t) for t in texts])
     longest = int(size.max(initial=0))
     with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-        bwt, lcp, who, start = (Column(t, p.memory_rows, folder) for t in (np.uint8, np.uint8, np.int32, np.int32))
+        bwt, lcp = (Column(np.uint8, p.memory_rows, folder) for _ in range(2))
+        named = Column(np.int32 if n * (longest + 1) < 1 << 31 else np.int64, p.memory_rows, folder)  # text and start of each row
         grid = np.zeros((n, longest + 1), np.uint8)  # right-aligned; column 0 is never a symbol
         symbol = np.zeros((n, longest + 1), bool)
         for i, t in enumerate(texts):
@@ -186,8 +187,7 @@ def collection(texts: list[bytes], p: SuffixParams) -> tuple[np.ndarray, np.ndar
         real = Column(bool, p.memory_rows, folder)  # whether a row's symbol is one, and no text's start
         real.insert(own, symbol[:, longest])
         lcp.insert(own, np.zeros(n, np.uint8))
-        who.insert(own, own.astype(np.int32))
-        start.insert(own, size.astype(np.int32))
+        named.insert(own, own * (longest + 1) + size)
         totals = np.bincount(grid[symbol[:, longest], longest], minlength=256)
         place = own.copy()  # of each text's latest suffix
         for turn in range(1, longest + 1):
@@ -216,13 +216,12 @@ def collection(texts: list[bytes], p: SuffixParams) -> tuple[np.ndarray, np.ndar
             bwt.insert(new[order], nsym[order])
             real.insert(new[order], left[order])
             lcp.insert(new[order], value[order])
-            who.insert(new[order], active[order].astype(np.int32))
-            start.insert(new[order], (size[active] - turn)[order].astype(np.int32))
+            named.insert(new[order], (active * (longest + 1) + size[active] - turn)[order])
             lcp.put(new[nxt] + 1, below)
             totals = totals + np.bincount(nsym[left], minlength=256)
             # rows from before this round moved down by those put in above them
             place[active] = new
-        return np.array(who.data), np.array(start.data), np.array(lcp.data) >= min(p.length, 255)
+        return (*np.divmod(np.array(named.data), longest + 1), np.array(lcp.data) >= min(p.length, 255))
 
 
 def _symbol_ranks(bwt: np.ndarray, real: np.ndarray, queries: np.ndarray, totals: np.ndarray):
