@@ -66,8 +66,8 @@ class Walk:
     def __init__(self, size: int, p: DecontaminationParams, turn: int):
         rng = np.random.default_rng([p.seed, size, turn])
         steps = 2 * size
-        # one sample from each of as many ranges, the first a short one at the start, where it prunes soonest
-        edges = [0, max(1, steps // 8), *np.linspace(max(1, steps // 8), steps, p.samples).astype(int)[1:]]
+        # one sample from each of as many ranges, the first from the first four steps, where it prunes soonest
+        edges = [0, 4, *np.linspace(4, steps, p.samples).astype(int)[1:]]
         self.at = [int(rng.integers(a, max(a + 1, b))) for a, b in zip(edges, edges[1:])]
         self.bits = rng.integers(0, 1 << 63, steps + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
