@@ -73,16 +73,20 @@ class Walk:
 
     def go(self, sym: np.ndarray, place: np.ndarray, a: int, b: int) -> np.ndarray:
         for t in range(a, b):
-            x = sym[place]
-            place = place + (((x * self.bits[t]) >> np.uint64(63)).astype(bool) & (x != PAD))
+            place = place + ((sym[place] * self.bits[t]) >> np.uint64(63)).view(np.int64)  # a PAD's bit is 0
         return place
 
+    @staticmethod
+    def key(before: np.ndarray | None, out: np.ndarray) -> np.ndarray:
+        """Of the outputs sampled so far; words are hashes, so the first is a key itself."""
+        return out if before is None else mix(before * np.uint64(0x9E3779B97F4A7C15) + out)
+
     def keys(self, sym: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
         """After each sample, the key so far."""
-        out, key, a = [], np.zeros(len(place), np.uint64), 0
+        out, key, a = [], None, 0
         for t in self.at:
             place, a = self.go(sym, place, a, t), t
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sym[place])
+            key = self.key(key, sym[place])
             out.append(key)
         return out
 
@@ -137,10 +141,10 @@ class Index:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for w, few, last, items in self.walks:
             begin = place = starts
-            key, a = np.zeros(len(place), np.uint64), 0
+            key, a = None, 0
             for t, (keys, table) in zip(w.at, few):
                 place, a = w.go(sym, place, a, t), t
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sym[place])
+                key = w.key(key, sym[place])
                 stay = np.flatnonzero(table[(key >> np.uint64(48)).astype(np.int64)])
                 at = np.minimum(np.searchsorted(keys, key[stay]), len(keys) - 1)
                 stay = stay[keys[at] == key[stay]]
