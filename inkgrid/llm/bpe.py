@@ -17,6 +17,7 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 class Transducer:
     """Encodes and decodes with one vocabulary file; ids are as that of the tokenizers library."""
 
-    def __init__(self, path: str, window: int = 1 << 12, entries: int = 150_000):
+    def __init__(self, path: str, window: int = 1 << 12, entries: int = 500_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -76,13 +77,20 @@ class Transducer:
         self.between = regex.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.entries, self.young, self.old = entries, {}, {}
+        self.units: dict[str, list[int]] = {}
         self.fits: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.far: dict[bytes, int] = {}  # by first bytes: the longest token
-        for b in self.vocab:
-            for k in (2, 4, 6):
-                if len(b) >= k:
-                    self.far[b[:k]] = max(self.far.get(b[:k], 1), len(b))
+        self.next: dict[int, int] = {}  # a trie of the tokens' bytes: node and byte to node
+        self.token = [-1]
+        for b, i in self.vocab.items():
+            node = 0
+            for c in b:
+                to = self.next.get(node << 8 | c)
+                if to is None:
+                    to = self.next[node << 8 | c] = len(self.token)
+                    self.token.append(-1)
+                node = to
+            self.token[node] = i
 
     def _merge(self, data: bytes) -> list[bytes]:
         """All merges of a bounded window: lowest rank first, leftmost first."""
@@ -127,31 +135,39 @@ class Transducer:
         Takes the longest token that may follow; goes back where none may. A place that failed once fails always, since
         the tokens before a place are settled by the bytes before it.
         """
-        vocab, far, fits, n = self.vocab, self.far, self.fits, len(data)
+        step, token, fits, n = self.next.get, self.token, self.fits, len(data)
         ids: list[int] = []
-        at, before, most, dead = 0, -1, 0, set()
+        at, before, limit, dead = 0, -1, n, set()
         while at < n:
-            k = most or min(far.get(data[at : at + 6]) or (far.get(data[at : at + 4], 0) and 5) or (far.get(data[at : at + 2], 0) and 3) or 1, n - at)
-            most = 0
-            while k > 0:
-                t = vocab.get(data[at : at + k])
-                if t is not None and at + k not in dead:
-                    ok = self._stands(t) if before < 0 else fits.get(before << 32 | t)
-                    if ok is None:
-                        ok = self._follows(before, t)
-                    if ok:
-                        break
-                k -= 1
-            if k:
-                ids.append(t)
-                at, before = at + k, t
+            node, k, found = 0, at, []
+            while k < limit:
+                node = step(node << 8 | data[k])
+                if node is None:
+                    break
+                k += 1
+                if token[node] >= 0:
+                    found.append(k)
+                    found.append(token[node])
+            limit, taken = n, False
+            while found:
+                t, k = found.pop(), found.pop()
+                if k in dead:
+                    continue
+                ok = self._stands(t) if before < 0 else fits.get(before << 32 | t)
+                if ok is None:
+                    ok = self._follows(before, t)
+                if ok:
+                    ids.append(t)
+                    at, before, taken = k, t, True
+                    break
+            if taken:
                 continue
             dead.add(at)
             while True:  # the token before this place gets shorter
                 k = len(self.bytes_of[ids.pop()])
                 at, before = at - k, ids[-1] if ids else -1
                 if k > 1:
-                    most = k - 1
+                    limit = at + k - 1
                     break
                 dead.add(at)
         return ids
@@ -181,8 +197,15 @@ class Transducer:
             if got is None:
                 got = []
                 for unit in self.pattern.findall(piece):
-                    data = unit.encode()
-                    got += self._settle(data) if len(data) < self.window else self.stream([data])
+                    ids = self.units.get(unit)
+                    if ids is None:
+                        data = unit.encode()
+                        ids = self._settle(data) if len(data) < self.window else list(self.stream([data]))
+                        if len(unit) <= 32:
+                            if len(self.units) >= self.entries // 2:
+                                self.units.clear()
+                            self.units[unit] = ids
+                    got += ids
             if len(piece) <= 64:
                 if len(self.young) >= self.entries:
                     self.old, self.young = self.young, {}
@@ -214,14 +237,10 @@ class Transducer:
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as soon as its bytes are whole; bytes that are no UTF-8 become U+FFFD."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        held: list[bytes] = []
-        of = self.bytes_of
-        for i in ids:
-            held.append(of[i])
-            if len(held) == 4096:
-                yield machine.decode(b"".join(held))
-                held = []
-        yield machine.decode(b"".join(held), True)
+        of = self.bytes_of.__getitem__
+        for part in batched(ids, 8192):
+            yield machine.decode(b"".join(map(of, part)))
+        yield machine.decode(b"", True)
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(self.decode_stream(ids))
@@ -270,7 +289,7 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc
             for x in texts(column_of(b, text)):
                 ids = t.encode(x.decode("utf-8", "replace"))
                 n.append(len(ids))
-                ids_hex.append(hashlib.sha256(",".join([t.decimal[i] for i in ids]).encode()).hexdigest())
+                ids_hex.append(hashlib.sha256(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
                 h = hashlib.sha256()
                 for part in t.decode_stream(ids):
                     h.update(part.encode())
