@@ -51,7 +51,7 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 class Transducer:
     """Encodes and decodes with one vocabulary file; ids are as that of the tokenizers library."""
 
-    def __init__(self, path: str, window: int = 1 << 12, entries: int = 500_000):
+    def __init__(self, path: str, window: int = 1 << 12, entries: int = 200_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -116,7 +116,7 @@ class Transducer:
         key = a << 32 | b
         got = self.fits.get(key)
         if got is None:
-            if len(self.fits) >= 4 * self.entries:
+            if len(self.fits) >= 2 * self.entries:
                 self.fits.clear()
             x, y = self.bytes_of[a], self.bytes_of[b]
             got = self.fits[key] = self._merge(x + y) == [x, y]
