@@ -14,9 +14,11 @@ that token. Decoding turns ids to bytes and bytes to text by a state machine tha
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import batched
 
 import numpy as np
@@ -29,6 +31,9 @@ from .common import column_of, texts
 #: Unicode's White_Space, as the pattern's \\s means it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Bytes up to which merging one pair after the other is faster than looking for tokens that may follow each other.
+SHORT = 64
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on."""
@@ -51,23 +56,26 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 class Transducer:
     """Encodes and decodes with one vocabulary file; ids are as that of the tokenizers library."""
 
-    def __init__(self, path: str, window: int = 1 << 12, entries: int = 200_000):
+    def __init__(self, path: str, window: int = 1 << 12, entries: int = 150_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte = byte_alphabet()
         as_bytes = lambda s: bytes(byte[c] for c in s)
-        self.vocab = {as_bytes(k): v for k, v in spec["model"]["vocab"].items() if all(c in byte for c in k)}
+        vocab = {as_bytes(k): v for k, v in spec["model"]["vocab"].items() if all(c in byte for c in k)}
         pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in spec["model"]["merges"]]
         merges = [(as_bytes(a), as_bytes(b)) for a, b in pairs]
-        self.rank = {m: r for r, m in enumerate(merges)}
+        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
+        self.joined = [vocab[a + b] for a, b in merges]
+        self.single = [vocab[bytes([b])] for b in range(256)]
+        self.first = [self.rank.get((a, b), len(merges)) for a in self.single for b in self.single]
         self.lookahead = sufficient_lookahead(merges)
         self.window = max(window, 4 * self.lookahead)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        n = max([*self.vocab.values(), *self.special.values()]) + 1
+        n = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * n
-        for b, i in self.vocab.items():
+        for b, i in vocab.items():
             self.bytes_of[i] = b
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
@@ -76,13 +84,14 @@ class Transducer:
         self.crowded = regex.compile(rf" [{WHITE}]|[{WHITE}] ")
         self.between = regex.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.entries, self.young, self.old = entries, {}, {}
-        self.units: dict[str, list[int]] = {}
+        self.entries = entries
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.fits: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.next: dict[int, int] = {}  # a trie of the tokens' bytes: node and byte to node
         self.token = [-1]
-        for b, i in self.vocab.items():
+        for b, i in vocab.items():
             node = 0
             for c in b:
                 to = self.next.get(node << 8 | c)
@@ -92,24 +101,23 @@ class Transducer:
                 node = to
             self.token[node] = i
 
-    def _merge(self, data: bytes) -> list[bytes]:
-        """All merges of a bounded window: lowest rank first, leftmost first."""
-        rank, parts = self.rank, [data[i : i + 1] for i in range(len(data))]
-        ranks = [rank.get(p) for p in zip(parts, parts[1:])]
-        while True:
-            best = min((r for r in ranks if r is not None), default=None)
-            if best is None:
-                return parts
-            i = 0
-            while i < len(ranks):
-                if ranks[i] == best:
-                    parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                    del ranks[i]
-                    if i:
-                        ranks[i - 1] = rank.get((parts[i - 1], parts[i]))
-                    if i < len(ranks):
-                        ranks[i] = rank.get((parts[i], parts[i + 1]))
-                i += 1
+    def _merge(self, data: bytes) -> list[int]:
+        """All merges of a few bytes: lowest rank first, leftmost first."""
+        none, get, joined, single, first = len(self.joined), self.rank.get, self.joined, self.single, self.first
+        ids = [single[b] for b in data]
+        ranks = [first[a << 8 | b] for a, b in zip(data, data[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            new = ids[i] = joined[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], new), none)
+            if i < len(ranks):
+                ranks[i] = get((new, ids[i + 1]), none)
+        return ids
 
     def _follows(self, a: int, b: int) -> bool:
         """Whether the merges leave the two tokens side by side as they are."""
@@ -118,8 +126,7 @@ class Transducer:
         if got is None:
             if len(self.fits) >= 2 * self.entries:
                 self.fits.clear()
-            x, y = self.bytes_of[a], self.bytes_of[b]
-            got = self.fits[key] = self._merge(x + y) == [x, y]
+            got = self.fits[key] = self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return got
 
     def _stands(self, a: int) -> bool:
@@ -189,27 +196,33 @@ class Transducer:
                 held = held[done:]
         yield from self._settle(held)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _kept(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(text) <= 64:
+            if len(self.young) >= self.entries:
+                self.old, self.young = self.young, {}
+            self.young[text] = ids
+        return ids
+
+    def _unit(self, unit: str) -> tuple[int, ...]:
+        """Of one match of the pattern."""
+        got = self.young.get(unit) or self.old.get(unit)
+        if got is None:
+            data = unit.encode()
+            ids = self._merge(data) if len(data) <= SHORT else self._settle(data) if len(data) < self.window else self.stream([data])
+            got = self._kept(unit, tuple(ids))
+        return got
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
         """Of text between two places where the pattern can't join."""
         got = self.young.get(piece)
         if got is None:
             got = self.old.get(piece)
             if got is None:
-                got = []
-                for unit in self.pattern.findall(piece):
-                    ids = self.units.get(unit)
-                    if ids is None:
-                        data = unit.encode()
-                        ids = self._settle(data) if len(data) < self.window else list(self.stream([data]))
-                        if len(unit) <= 32:
-                            if len(self.units) >= self.entries // 2:
-                                self.units.clear()
-                            self.units[unit] = ids
-                    got += ids
-            if len(piece) <= 64:
-                if len(self.young) >= self.entries:
-                    self.old, self.young = self.young, {}
-                self.young[piece] = got
+                units = self.pattern.findall(piece)
+                if len(units) == 1:
+                    return self._unit(piece)
+                got = tuple(i for unit in units for i in self._unit(unit))
+            self._kept(piece, got)
         return got
 
     def _ordinary(self, text: str) -> list[int]:
@@ -255,6 +268,18 @@ def transducer(path: str) -> Transducer:
     return _LOADED[path]
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the cycle collector, which would walk the caches again and again; the transducer makes no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def encoded(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id and the ids array of every row; null texts have none."""
 
@@ -263,7 +288,9 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([column_of(part, id), pa.array([t.encode(x.decode("utf-8", "replace")) for x in texts(column_of(part, text))], pa.list_(pa.int32()))], names=[id, "ids"])
+                with uncollected():
+                    ids = pa.array([t.encode(x.decode("utf-8", "replace")) for x in texts(column_of(part, text))], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([column_of(part, id), ids], names=[id, "ids"])
 
     return docs.select(id, text).mapInArrow(run, T.StructType([docs.schema[id], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -287,7 +314,8 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc
         for b in batches:
             n, ids_hex, text_hex = [], [], []
             for x in texts(column_of(b, text)):
-                ids = t.encode(x.decode("utf-8", "replace"))
+                with uncollected():
+                    ids = t.encode(x.decode("utf-8", "replace"))
                 n.append(len(ids))
                 ids_hex.append(hashlib.sha256(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
                 h = hashlib.sha256()
