@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import column_of, texts
+from .common import column_of, small_batches, texts
 
 #: Unicode's White_Space, as the pattern's \\s means it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -292,7 +292,7 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc
                     ids = pa.array([t.encode(x.decode("utf-8", "replace")) for x in texts(column_of(part, text))], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([column_of(part, id), ids], names=[id, "ids"])
 
-    return docs.select(id, text).mapInArrow(run, T.StructType([docs.schema[id], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return small_batches(docs.select(id, text)).mapInArrow(run, T.StructType([docs.schema[id], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decoded(tokens: DataFrame, vocabulary: str, ids: str = "ids", id: str = "doc_id") -> DataFrame:
@@ -303,7 +303,7 @@ def decoded(tokens: DataFrame, vocabulary: str, ids: str = "ids", id: str = "doc
         for b in batches:
             yield pa.RecordBatch.from_arrays([column_of(b, id), pa.array([t.decode(x or []) for x in column_of(b, ids).to_pylist()], pa.string())], names=[id, "text"])
 
-    return tokens.select(id, ids).mapInArrow(run, T.StructType([tokens.schema[id], T.StructField("text", T.StringType())]))
+    return small_batches(tokens.select(id, ids)).mapInArrow(run, T.StructType([tokens.schema[id], T.StructField("text", T.StringType())]))
 
 
 def digests(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -324,4 +324,4 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc
                 text_hex.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([column_of(b, id), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=[id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id, text).mapInArrow(run, T.StructType([docs.schema[id], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+    return small_batches(docs.select(id, text)).mapInArrow(run, T.StructType([docs.schema[id], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a vectorised kernel takes at once; its arrays need about 40 times that.
 CHUNK_BYTES = 1 << 21
 
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +46,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python in Arrow batches of BATCH_BYTES; a size that the session sets itself stays.
+
+    Spark's own limit, 64 MB, is held by each task several times over: in the JVM, in the pipe and in Python.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of materialise() that nothing will read again."""
     path = getattr(df, "_inkgrid_path", None)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, column_of, lowered, mix, prefix_hashes, span_hashes, total_bytes, utf8_view, word_spans
+from .common import chunks, column_of, lowered, mix, prefix_hashes, small_batches, span_hashes, total_bytes, utf8_view, word_spans
 
 
 @dataclass(frozen=True)
@@ -266,7 +266,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams |
                     )
 
         kind = pa.int64() if isinstance(benchmark.schema[item].dataType, T.LongType) else pa.int32() if isinstance(benchmark.schema[item].dataType, T.IntegerType) else pa.string()
-        got = docs.select(id, text).mapInArrow(run, schema)
+        got = small_batches(docs.select(id, text)).mapInArrow(run, schema)
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -284,5 +284,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, params: Decontaminati
                 keep[[r[0] for r in _search(b, sent.value, text)]] = False
                 yield pa.RecordBatch.from_arrays(b.columns, names=columns).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

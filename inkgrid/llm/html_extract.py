@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of, materialise
+from .common import column_of, materialise, small_batches
 from .url_filter import host_and_path
 
 #: Fixed values of HTML.
@@ -236,7 +236,7 @@ def host_votes(pages: DataFrame, params: ExtractParams | None = None, html: str
                     sums[host, path] = sums.get((host, path), 0.0) + (score / top) ** 2
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in sums], pa.string()) for i in (0, 1)] + [pa.array(list(sums.values()), pa.float64())], names=["host", "path", "votes"])
 
-    return pages.select(url, html).mapInArrow(run, "host string, path string, votes double").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    return small_batches(pages.select(url, html)).mapInArrow(run, "host string, path string, votes double").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
 def winning_paths(votes: DataFrame, params: ExtractParams | None = None) -> DataFrame:
@@ -270,4 +270,4 @@ def extracted(pages: DataFrame, params: ExtractParams | None = None, html: str =
                 used.append(path)
             yield pa.RecordBatch.from_arrays([column_of(b, id), column_of(b, url), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(used, pa.string())], names=[id, url, "text", "n_chars", "path"])
 
-    return joined.select(id, url, html, "paths").mapInArrow(run, T.StructType([pages.schema[id], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("path", T.StringType())]))
+    return small_batches(joined.select(id, url, html, "paths")).mapInArrow(run, T.StructType([pages.schema[id], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("path", T.StringType())]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column_of, lowered, mix, prefix_hashes, span_hashes, utf8_view, word_spans
+from .common import chunks, column_of, lowered, mix, prefix_hashes, small_batches, span_hashes, utf8_view, word_spans
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ClassifierParams | None = No
                     names=["_order", "_label", "index", "value"],
                 )
 
-    got = chosen.select("_order", "_label", text).mapInArrow(run, "_order long, _label double, index binary, value binary").toArrow()
+    got = small_batches(chosen.select("_order", "_label", text)).mapInArrow(run, "_order long, _label double, index binary, value binary").toArrow()
     rows = sorted(zip(got["_order"].to_pylist(), got["_label"].to_pylist(), got["index"].to_pylist(), got["value"].to_pylist()))
     if not rows:
         return Model(np.zeros(1 << p.bits, np.float32), 0.0)
@@ -133,4 +133,4 @@ def scored(docs: DataFrame, model: Model, params: ClassifierParams | None = None
 
     from pyspark.sql import types as T
 
-    return docs.select(id, text).mapInArrow(run, T.StructType([kind, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return small_batches(docs.select(id, text)).mapInArrow(run, T.StructType([kind, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, column_of, mix, prefix_hashes, span_hashes, utf8_view, word_spans
+from .common import chunks, column_of, mix, prefix_hashes, small_batches, span_hashes, utf8_view, word_spans
 
 #: Lowest and highest code points per token, highest byte-fallback share.
 LANGUAGE_BANDS = {"en": (1.9, 3.0, 0.1), "de": (1.85, 2.8, 0.18), "fr": (1.8, 2.7, 0.2), "es": (1.75, 2.6, 0.22)}
@@ -197,7 +197,7 @@ def measured(docs: DataFrame, params: QualityParams | None = None, text: str = "
             got = _measure(p, raw, offs, column_of(b, lang).to_pylist() if has else [None] * b.num_rows)
             yield pa.RecordBatch.from_arrays([*(column_of(b, k) for k in keep), *(pa.array(got[k], kinds[t]) for k, t in MEASURES)], names=[*keep, *(k for k, _ in MEASURES)])
 
-    return used.mapInArrow(run, schema)
+    return small_batches(used).mapInArrow(run, schema)
 
 
 def kept_documents(docs: DataFrame, params: QualityParams | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -210,4 +210,4 @@ def kept_documents(docs: DataFrame, params: QualityParams | None = None, text: s
             got = _measure(p, raw, offs, column_of(b, lang).to_pylist() if has else [None] * b.num_rows)
             yield pa.RecordBatch.from_arrays(b.columns, names=columns).filter(pa.array(got["kept"], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

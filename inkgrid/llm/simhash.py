@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of, discard, materialise, texts
+from .common import column_of, discard, materialise, small_batches, texts
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, params: SimHashParams | None = None, text: str
             fp = np.array([fingerprint(x, p) for x in texts(column_of(b, text))], np.uint64)
             yield pa.RecordBatch.from_arrays([column_of(b, id), pa.array(fp.view(np.int64), pa.int64())], names=[id, "fp"])
 
-    return docs.select(id, text).mapInArrow(run, T.StructType([docs.schema[id], T.StructField("fp", T.LongType())]))
+    return small_batches(docs.select(id, text)).mapInArrow(run, T.StructType([docs.schema[id], T.StructField("fp", T.LongType())]))
 
 
 @dataclass(frozen=True)

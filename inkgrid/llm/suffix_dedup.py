@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, column_of, materialise, mix, prefix_hashes, span_hashes, utf8_view
+from .common import chunks, column_of, materialise, mix, prefix_hashes, small_batches, span_hashes, utf8_view
 
 
 @dataclass(frozen=True)
@@ -421,7 +421,7 @@ def _columns(batches, p: SuffixParams):
 def removed_spans(base: DataFrame, params: SuffixParams | None = None) -> DataFrame:
     """_doc and spans (an array of from and to, in no order) of the documents that lose bytes; base has _doc and _text."""
     p = params or SuffixParams()
-    found = base.select("_doc", "_text").mapInArrow(lambda it: _first_of_kinds(it, p), _ROW)
+    found = small_batches(base.select("_doc", "_text")).mapInArrow(lambda it: _first_of_kinds(it, p), _ROW)
     settled = materialise(found.repartition("name").sortWithinPartitions("name", "seg", "doc", "start").mapInArrow(lambda it: _kinds(it, p), _ROW), "kinds")
     spans = settled.where(F.col("kind") == LATE).select("doc", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     wanted = settled.where(F.col("kind") == SEVERAL).groupBy("doc").agg(F.collect_list(F.struct("name", "start", "size")).alias("want"))

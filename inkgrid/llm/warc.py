@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_of, materialise, scratch_path
+from .common import column_of, materialise, scratch_path, small_batches
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,7 +79,7 @@ def write(pages: DataFrame, path: str, params: WarcParams | None = None, html: s
             rows = zip(*(column_of(b, k).to_pylist() for k in ("page_id", "url", "digest", "refers_to")), column_of(b, "html"))
             yield pa.RecordBatch.from_arrays([pa.array([record(i, u, h.as_py(), base64.b32encode(bytes.fromhex(d)).decode(), r, p.date) for i, u, d, r, h in rows], pa.string())], names=["value"])
 
-    joined.select("page_id", "url", "digest", "refers_to", "html").mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", p.records_per_file).text(path)
+    small_batches(joined.select("page_id", "url", "digest", "refers_to", "html")).mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", p.records_per_file).text(path)
 
 
 class Reader:
