@@ -7,7 +7,8 @@ that ends at least that far before the end of the bytes read is stable and is em
 which gives the same tokens, since no merge crosses the boundary. Memory holds a window of bytes and bounded caches.
 
 Text is cut into pieces that the pattern of the vocabulary can't join: before a single space between two other characters.
-Pieces are looked up in a bounded cache; others go through the pattern and the transducer. A special token's text is
+Pieces are looked up in a bounded cache; others go through the pattern and the transducer. A unit of the pattern that fits
+in the window is settled whole, up to SHORT bytes by merging pairs; a longer one is streamed. A special token's text is
 that token. Decoding turns ids to bytes and bytes to text by a state machine that holds at most three bytes.
 """
 
