@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.one_of_each(docs, simhash.SimHashParams(shingle=5, distance=6))
+    """Of each group of near copies, whose five-word shingles have a Jaccard similarity of 0.8 or more, the document with the smallest id stays."""
+    return simhash.one_of_each(docs, simhash.SimHashParams(shingle=5, distance=14, similarity=0.8))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,11 +12,16 @@ spanning forest of the links found, not the pairs. Components follow from altern
 
 Null and empty texts have fingerprint zero and link like any other. A component's id is its smallest document id;
 null ids are larger than any other, and a component of null ids alone has a null id. Repeated rows get a row each.
+
+With ``similarity`` set, fingerprints give candidates only: two texts link if the Jaccard similarity of their sets of
+shingles (as 64-bit hashes) reaches it, whatever their distance up to ``distance``. Texts whose fingerprints are within
+``first_distance`` are verified first and joined, so a group of near copies doesn't make a candidate of each of its pairs.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from itertools import combinations
 from math import comb
 
@@ -40,27 +45,39 @@ class SimHashParams:
     candidate_cost: float = 0.15
     block: int = 2048
     max_rounds: int = 60
+    similarity: float | None = None
+    first_distance: int = 6
 
 
-def fingerprint(text: bytes, p: SimHashParams) -> int:
-    """Bits that are set in over half of the shingles' hashes."""
+def hashes(text: bytes, p: SimHashParams) -> Iterator[np.ndarray]:
+    """The hashes of the shingles, a part of the text at a time; a text of fewer words is a shingle itself."""
     words = text.lower().split()  # of bytes: A-Z only, and the six ASCII white-space bytes
     k, digest, seed = p.shingle, xxhash.xxh64_intdigest, p.seed
-    if not words:
-        return 0
-    if len(words) <= k:
-        return digest(b" ".join(words), seed)
-    counts, n = np.zeros(64, np.int64), len(words) - k + 1
-    for a in range(0, n, 1 << 15):
+    if 0 < len(words) <= k:
+        yield np.array([digest(b" ".join(words), seed)], np.uint64)
+        return
+    for a in range(0, len(words) - k + 1 if words else 0, 1 << 15):
         part = words[a : a + (1 << 15) + k - 1]
         joined = b" ".join(part)
         ends = np.cumsum([len(w) + 1 for w in part])
         starts = (ends - [len(w) + 1 for w in part]).tolist()
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64)
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bits that are set in over half of the hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        n += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, p: SimHashParams) -> int:
+    """Bits that are set in over half of the shingles' hashes."""
+    return majority(hashes(text, p))
+
+
 def fingerprints(docs: DataFrame, params: SimHashParams | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id and fp (64 bits as a long) of every row."""
     p = params or SimHashParams()
@@ -192,14 +209,28 @@ def block_links(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int,
     return out
 
 
-def links(distinct: DataFrame, made: Plan, params: SimHashParams | None = None) -> DataFrame:
+def block_pairs(a: np.ndarray, b: np.ndarray, distance: int, group: dict[int, int]) -> Iterator[np.ndarray]:
+    """All links between two arrays of fingerprints of different groups, as rows of two."""
+    of_a, of_b = (np.array([group[f] for f in x.tolist()], np.int64) for x in (a, b))
+    for k in range(0, len(a), 256):
+        i, j = np.nonzero((np.bitwise_count(a[k : k + 256, None] ^ b[None, :]) <= distance) & (of_a[k : k + 256, None] != of_b[None, :]))
+        if len(i):
+            yield np.stack([a[k + i], b[j]], 1)
+
+
+def links(distinct: DataFrame, made: Plan, params: SimHashParams | None = None, every_pair: bool = False) -> DataFrame:
     """src and dst: links between different fingerprints that connect all that link.
 
+    With every_pair, distinct has a column group too, and all links between fingerprints of different groups are given.
+
     A bucket's rows are dealt into blocks by hash; a block of homes meets each block of probers in one task, so a
     bucket of any size is spread over many tasks.
     """
     p = params or SimHashParams()
     rows = _probes(distinct, made)
+    if every_pair:
+        rows = rows.join(distinct.select("fp", "group"), "fp").select("part", "key", "fp", "home", "group")
+    more = ["group"] if every_pair else []
     sizes = _probes(distinct, made, True).groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > p.block)
     large = materialise(sizes.withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int")).select("part", "key", "blocks"), "large-buckets")
     if large.limit(1).count():
@@ -207,11 +238,11 @@ def links(distinct: DataFrame, made: Plan, params: SimHashParams | None = None)
         own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         # homes stay in their block; probers visit every block of the bucket, dealt to as many groups of their own
-        rows = rows.select("part", "key", "fp", "home", F.explode(F.when(F.col("home"), F.transform(every, lambda v: F.struct(own.alias("a"), v.alias("b")))).otherwise(F.transform(every, lambda v: F.struct(v.alias("a"), own.alias("b"))))).alias("x"))
-        twice = rows.where("home").select("part", "key", "fp", F.lit(False).alias("home"), F.struct(F.col("x.b").alias("a"), F.col("x.a").alias("b")).alias("x"))
-        rows = rows.unionByName(twice).select("part", "key", "x.a", "x.b", "fp", "home")
+        rows = rows.select("part", "key", "fp", "home", *more, F.explode(F.when(F.col("home"), F.transform(every, lambda v: F.struct(own.alias("a"), v.alias("b")))).otherwise(F.transform(every, lambda v: F.struct(v.alias("a"), own.alias("b"))))).alias("x"))
+        twice = rows.where("home").select("part", "key", "fp", F.lit(False).alias("home"), *more, F.struct(F.col("x.b").alias("a"), F.col("x.a").alias("b")).alias("x"))
+        rows = rows.unionByName(twice).select("part", "key", "x.a", "x.b", "fp", "home", *more)
     else:
-        rows = rows.select("part", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp", "home")
+        rows = rows.select("part", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp", "home", *more)
     dealt = rows.repartition("part", "key", "a", "b").sortWithinPartitions("part", "key", "a", "b")
     return dealt.mapInArrow(lambda batches: _search(batches, p.distance), "src long, dst long").distinct()
 
@@ -237,6 +268,7 @@ def _search(batches, distance: int):
 def _found(t: pa.Table, distance: int):
     key = [t[k].to_numpy() for k in ("part", "key", "a", "b")]
     fp, home = t["fp"].to_numpy().view(np.uint64), t["home"].to_numpy(zero_copy_only=False)
+    group = t["group"].to_numpy() if "group" in t.column_names else None
     change = np.any([k[1:] != k[:-1] for k in key], axis=0) if len(fp) > 1 else np.zeros(0, bool)
     bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [len(fp)]])
     size = np.diff(bounds)
@@ -246,11 +278,18 @@ def _found(t: pa.Table, distance: int):
     two = np.flatnonzero((size == 2) & (homes > 0))
     x, y = fp[bounds[two]], fp[bounds[two] + 1]
     ok = (np.bitwise_count(x ^ y) <= distance) & (x != y)
+    if group is not None:
+        ok &= group[bounds[two]] != group[bounds[two] + 1]
     src, dst = np.minimum(x, y)[ok], np.maximum(x, y)[ok]
     for g in np.flatnonzero((size > 2) & (homes > 0)).tolist():
         rows = fp[bounds[g] : bounds[g + 1]]
         h = home[bounds[g] : bounds[g + 1]]
-        out += block_links(np.unique(rows[h]), np.unique(rows), distance)
+        if group is None:
+            out += block_links(np.unique(rows[h]), np.unique(rows), distance)
+            continue
+        for found in block_pairs(np.unique(rows[h]), np.unique(rows), distance, dict(zip(rows.tolist(), group[bounds[g] : bounds[g + 1]].tolist()))):
+            low, high = found.min(1), found.max(1)
+            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["src", "dst"])
     if out:
         more = np.array(out, np.uint64)
         src, dst = np.concatenate([src, more.min(1)]), np.concatenate([dst, more.max(1)])
@@ -307,8 +346,90 @@ def near_duplicates(docs: DataFrame, params: SimHashParams | None = None, text:
     return joined.select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _signatures(docs: DataFrame, p: SimHashParams, text: str, id: str) -> DataFrame:
+    """id and text of every row, fp, n (the number of different shingles) and node (a hash of their set)."""
+
+    def run(batches):
+        for b in batches:
+            fps, sizes, nodes = [], [], []
+            for x in texts(column_of(b, text)):
+                parts = list(hashes(x, p))
+                fps.append(majority(parts))
+                own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                sizes.append(len(own))
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), p.seed))
+            yield pa.RecordBatch.from_arrays([column_of(b, id), column_of(b, text), *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fps, sizes, nodes))], names=[id, text, "fp", "n", "node"])
+
+    longs = [T.StructField(k, T.LongType()) for k in ("fp", "n", "node")]
+    return small_batches(docs.select(id, text)).mapInArrow(run, T.StructType([docs.schema[id], docs.schema[text], *longs]))
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, p: SimHashParams, text: str) -> DataFrame:
+    """The pairs of nodes (src, dst) whose sets of shingles are similar enough."""
+
+    def sets(batches):
+        for b in batches:
+            own = [np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes(x, p)])).tobytes() for x in texts(column_of(b, text))]
+            yield pa.RecordBatch.from_arrays([column_of(b, "node"), pa.array(own, pa.binary())], names=["node", "held"])
+
+    def judge(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(*(texts(column_of(b, k)) for k in ("a", "b"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= p.similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([column_of(b, k) for k in ("src", "dst")], names=["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = materialise(pairs, "candidates")
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    held = materialise(signed.join(wanted, "node", "left_semi").select("node", text).dropDuplicates(["node"]).mapInArrow(sets, "node long, held binary"), "shingles")
+    a, b = (held.select(F.col("node").alias(k), F.col("held").alias(v)) for k, v in (("src", "a"), ("dst", "b")))
+    found = materialise(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(judge, "src long, dst long"), "verified")
+    discard(pairs)
+    discard(held)
+    return found
+
+
+def verified_duplicates(docs: DataFrame, params: SimHashParams, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """id, fingerprint (hex) and component_id of every row; links are verified on the shingles."""
+    p = params
+    signed = materialise(_signatures(docs, p, text, id), "signatures")
+    nodes = materialise(signed.groupBy("node").agg(F.min(id).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
+    heads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    count = heads.count()
+    sample = heads.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(p.sample).toArrow()["fp"].to_numpy().view(np.uint64)
+    sizes = nodes.select("node", "n")
+
+    def similar_sizes(pairs: DataFrame) -> DataFrame:
+        """Without pairs whose sizes alone rule the similarity out."""
+        a, b = (sizes.select(F.col("node").alias(k), F.col("n").alias(n)) for k, n in (("src", "n_a"), ("dst", "n_b")))
+        return pairs.join(a, "src").join(b, "dst").where(F.least("n_a", "n_b") >= p.similarity * F.greatest("n_a", "n_b") - 1e-9).select("src", "dst")
+
+    # a few links first: from node to node of one fingerprint, and between near fingerprints
+    first = replace(p, distance=min(p.first_distance, p.distance))
+    near = links(heads, plan(sample, count, first), first)
+    a, b = (heads.select(F.col("fp").alias(k), F.col("head").alias(v)) for k, v in (("src", "a"), ("dst", "b")))
+    pairs = near.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    own = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst"))
+    edges = _verified(similar_sizes(pairs.unionByName(own)), signed, p, text)
+    joined = materialise(components(edges, p), "joined")
+    grouped = materialise(nodes.join(joined, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "grouped")
+    # then all others, but none within what is joined already
+    group = F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(F.col("fp"))
+    distinct = materialise(grouped.groupBy("fp").agg(group.alias("group"), (F.min("root") != F.max("root")).alias("mixed")), "groups")
+    far = links(distinct, plan(sample, count, p), p, every_pair=True).unionByName(distinct.where("mixed").select(F.col("fp").alias("src"), F.col("fp").alias("dst")))
+    a, b = (grouped.select(F.col("fp").alias(f), F.col("node").alias(k), F.col("root").alias(r)) for f, k, r in (("src", "x", "root_x"), ("dst", "y", "root_y")))
+    pairs = far.join(a, "src").join(b, "dst").where("root_x <> root_y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
+    edges = edges.unionByName(_verified(similar_sizes(pairs), signed, p, text))
+    comp = materialise(components(edges, p), "components")
+    members = nodes.join(comp, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    of = members.join(members.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    return signed.join(of, "node").select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def one_of_each(docs: DataFrame, params: SimHashParams | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The documents with the smallest id of each component, once each, with all their columns; and those without an id."""
-    found = near_duplicates(docs, params, text, id)
+    found = (verified_duplicates if params and params.similarity is not None else near_duplicates)(docs, params, text, id)
     keep = found.where(F.col(id) == F.col("component_id")).select(id).distinct()
     return docs.join(keep, id, "left_semi").dropDuplicates([id]).unionByName(docs.where(F.col(id).isNull())).select(*docs.columns)

@@ -134,6 +134,28 @@ def test_pigeonhole_finds_all_links(spark):
     assert sum(ts) == 2 and cost == min(sum(r[t + 1] for r, t in zip([[0.0, 1, 50, 90], [0.0, 30, 40, 99], [0.0, 5, 9, 70]], (a, b, 2 - a - b))) for a in range(-1, 3) for b in range(-1, 3) if -1 <= 2 - a - b <= 2)
 
 
+def test_pipeline_finds_copies_of_similarity_08(spark):
+    import corpus_pipeline
+
+    rng, rows, alike = random.Random(9), [], {}
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for k in range(150):
+        base = prose(1000 + k, 200).split()
+        copy = list(base)
+        for at in rng.sample(range(200), 4 if k % 2 else 7):
+            copy[at] = f"new{k}"
+        a, b = shingles(base), shingles(copy)
+        alike[k] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    rows += [(1000 + i, " ".join([*prose(5000, 300).split()[:-1], f"end{i}"])) for i in range(40)] + [(2000, None), (2001, ""), (None, prose(1000, 200)), (0, prose(1000, 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect() if r["doc_id"] is not None)
+    gone = {k for k in alike if 2 * k + 1 not in kept}
+    near = {k for k, j in alike.items() if 0.8 <= j < 0.9}
+    assert len(near) > 50 and len(near & gone) >= 0.9 * len(near) and all(alike[k] >= 0.8 for k in gone) and any(j < 0.8 for j in alike.values())
+    assert [i for i in kept if i % 2 == 0 and i < 300] == list(range(0, 300, 2)) and [i for i in kept if i >= 1000] == [1000, 2000]
+
+
 def brute_removed(rows, n=100):
     seen, out = set(), {}
     for i, t in rows:
