@@ -294,6 +294,20 @@ def test_quality_rules_are_brute_force(spark, docs, none):
     assert quality_rules.main_script("Привет мир") == "cyrillic" and quality_rules.main_script("漢字") == "cjk" and quality_rules.main_script("déjà") == "latin"
 
 
+PLAIN = {
+    "en": "Yesterday evening the council met in the old town hall to discuss the repair of the bridge across the river. Most of the people who spoke were in favour of the plan, although several residents worried about the cost and the noise. The mayor explained that the work would begin in the spring and should be finished before the end of the following year. Afterwards, everyone was invited to look at the drawings and to ask the engineers questions about traffic, safety and the protection of the trees along the bank. Local shops hope that more visitors will come once the footpath is open again.",
+    "de": "Gestern Abend traf sich der Gemeinderat im alten Rathaus, um über die Reparatur der Brücke über den Fluss zu sprechen. Die meisten Redner waren für den Plan, obwohl sich einige Anwohner Sorgen wegen der Kosten und des Lärms machten. Die Bürgermeisterin erklärte, dass die Arbeiten im Frühjahr beginnen und vor dem Ende des nächsten Jahres abgeschlossen sein sollten. Danach konnten sich alle die Zeichnungen ansehen und den Ingenieuren Fragen zum Verkehr, zur Sicherheit und zum Schutz der Bäume am Ufer stellen.",
+    "fr": "Hier soir, le conseil municipal s'est réuni dans l'ancienne mairie pour parler de la réparation du pont sur la rivière. La plupart des personnes présentes étaient favorables au projet, même si plusieurs habitants s'inquiétaient du coût et du bruit. La maire a expliqué que les travaux commenceraient au printemps et devraient être terminés avant la fin de l'année suivante. Ensuite, chacun a pu regarder les dessins et poser des questions aux ingénieurs sur la circulation, la sécurité et la protection des arbres.",
+    "es": "Ayer por la tarde el concejo se reunió en el antiguo ayuntamiento para hablar de la reparación del puente sobre el río. La mayoría de las personas que hablaron estaban a favor del plan, aunque varios vecinos se preocupaban por el coste y el ruido. La alcaldesa explicó que las obras empezarían en primavera y deberían terminar antes del final del año siguiente. Después, todos pudieron ver los dibujos y hacer preguntas a los ingenieros sobre el tráfico, la seguridad y la protección de los árboles.",
+}
+
+
+def test_quality_rules_keep_plain_prose(spark):
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(PLAIN.items())] + [(9, ("=" * 80 + "\n") * 40, "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.measured(df).collect()}
+    assert all(got[i]["n_tokens"] >= 64 and got[i]["kept"] for i in range(len(PLAIN))) and not got[9]["kept"]
+
+
 def test_quality_classifier(spark, docs, none):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(["good", "fine", "clear", *WORDS] if i % 2 else ["junk", "spam", "###", *WORDS]) for _ in range(60))) for i in range(300)]
