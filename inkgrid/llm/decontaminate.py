@@ -5,7 +5,9 @@ sequence: at step t it puts out the word it stands on and moves on if a random b
 at a small edit distance agree in most outputs, so edit distance becomes Hamming distance. A key is a few sampled outputs.
 Each word of a document starts a window for each class of item sizes; its walk is followed to the sampled steps, and
 dropped as soon as no item has these outputs so far, which gives the same keys as the whole walk would. Walks and samples
-are repeated until, on items with as many random edits as may be found, the share that meets reaches ``recall``.
+are repeated until, on items with as many random edits as may be found, the share that meets reaches ``recall``; if
+``max_repeats`` don't reach it, that is an error. Walks drift apart with length, so items of 2 * ``piece`` words or more
+are indexed by pieces of ``piece`` words and more; one piece at least has no more than its share of the edits.
 Candidates are verified exactly: the least edit distance of the item to any passage around the window, over its words.
 
 Items of fewer than ``min_words`` words are no passages and are not searched; null texts have no words. Items go to the
@@ -31,7 +33,8 @@ class DecontaminationParams:
     similarity: float = 0.8
     recall: float = 0.9
     samples: int = 3
-    max_repeats: int = 24
+    max_repeats: int = 400
+    piece: int = 32
     min_words: int = 8
     seed: int = 20240229
     part_bytes: int = 32 << 20
@@ -103,28 +106,32 @@ class Index:
 
     def __init__(self, ids: list, sequences: list[np.ndarray], p: DecontaminationParams):
         self.p, self.ids, self.sequences = p, ids, sequences
-        classes: dict[int, list[int]] = {}
+        classes: dict[int, list[tuple[int, int, int]]] = {}  # pieces: item, from, to
         for i, s in enumerate(sequences):
             if len(s) >= p.min_words:
-                classes.setdefault(1 << (len(s).bit_length() - 1), []).append(i)
+                edges = np.linspace(0, len(s), max(1, len(s) // p.piece) + 1).astype(int).tolist()
+                for a, b in zip(edges, edges[1:]):
+                    classes.setdefault(1 << ((b - a).bit_length() - 1), []).append((i, a, b))
         self.walks = []
         for size, own in sorted(classes.items()):
-            sym, begin = self._joined([sequences[i] for i in own])
-            for turn in range(self._repeats(size, own)):
+            pieces = [sequences[i][a:b] for i, a, b in own]
+            sym, begin = self._joined(pieces)
+            origin = np.array([x[:2] for x in own])
+            for turn in range(self._repeats(size, pieces)):
                 w = Walk(size, p, turn)
                 keys = w.keys(sym, begin)
                 order = np.argsort(keys[-1], kind="stable")
-                self.walks.append((w, [_few(k) for k in keys], keys[-1][order], np.array(own)[order]))
+                self.walks.append((w, [_few(k) for k in keys], keys[-1][order], origin[order]))
 
     @staticmethod
     def _joined(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         begin = np.cumsum([0, *(len(s) + 1 for s in sequences)])
         return np.concatenate([x for s in sequences for x in (s, [PAD])]).astype(np.uint64), begin[:-1]
 
-    def _repeats(self, size: int, own: list[int]) -> int:
-        """Until edited items meet themselves with the recall asked for."""
+    def _repeats(self, size: int, pieces: list[np.ndarray]) -> int:
+        """Until edited pieces meet themselves with the recall asked for."""
         p, rng = self.p, np.random.default_rng([self.p.seed, size])
-        pick = [self.sequences[i] for i in rng.choice(own, p.trials)]
+        pick = [pieces[i] for i in rng.choice(len(pieces), p.trials)]
         edited = [edit(s, int(len(s) * (1 - p.similarity)), rng) for s in pick]
         a, at_a = self._joined(pick)
         b, at_b = self._joined(edited)
@@ -133,13 +140,13 @@ class Index:
             w = Walk(size, p, turn)
             met |= w.keys(a, at_a)[-1] == w.keys(b, at_b)[-1]
             if met.mean() >= p.recall:
-                break
-        return turn + 1
+                return turn + 1
+        raise RuntimeError(f"decontamination: {p.max_repeats} repeats find {met.mean():.3f} of the edited items of {size} words and more, {p.recall} are asked for")
 
-    def candidates(self, sym: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) of windows that share a key with an item."""
+    def candidates(self, sym: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, item, offset) of windows that share a key with the item's piece at that offset."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for w, few, last, items in self.walks:
+        for w, few, last, origin in self.walks:
             begin = place = starts
             key, a = None, 0
             for t, (keys, table) in zip(w.at, few):
@@ -152,11 +159,11 @@ class Index:
             lo, hi = np.searchsorted(last, key, "left"), np.searchsorted(last, key, "right")
             for k in range(int((hi - lo).max(initial=0))):
                 own = lo + k < hi
-                out.append((begin[own], items[lo[own] + k]))
+                out.append(np.column_stack([begin[own], origin[lo[own] + k]]))
         if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate([x[i] for x in out]) for i in (0, 1)], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = np.unique(np.concatenate(out), axis=0)
+        return found[:, 0], found[:, 1], found[:, 2]
 
 
 def edit(s: np.ndarray, n: int, rng) -> np.ndarray:
@@ -201,10 +208,13 @@ def least_distance(item: list[int], passage: list[int]) -> tuple[int, int]:
     return best, end
 
 
-def verify(index: Index, sym: np.ndarray, bounds: np.ndarray, starts: np.ndarray, items: np.ndarray) -> list[tuple[int, int, int, int]]:
+def verify(index: Index, sym: np.ndarray, bounds: np.ndarray, starts: np.ndarray, items: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(document, item, end of the passage in words, distance): the nearest passage of each item in each document that is near enough."""
     found: dict[tuple[int, int], tuple[int, int]] = {}
     doc = np.searchsorted(bounds, starts, "right") - 1
+    starts = starts - offsets  # where the item would begin
+    order = np.lexsort((items, starts))
+    starts, items, doc = starts[order], items[order], doc[order]
     done: dict[tuple[int, int], int] = {}
     for s, i, d in zip(starts.tolist(), items.tolist(), doc.tolist()):
         seq = index.sequences[i]
@@ -212,7 +222,7 @@ def verify(index: Index, sym: np.ndarray, bounds: np.ndarray, starts: np.ndarray
         most = int(m * (1 - index.p.similarity) + 1e-9)
         if (d, i) in found and found[d, i][0] == 0:
             continue
-        if done.get((d, i), -1) >= s:
+        if (d, i) in done and done[d, i] >= s:
             continue
         lo, hi = max(int(bounds[d]), s - 2 * most - 1), min(int(bounds[d + 1]) - 1, s + m + 2 * most + 1)
         passage = sym[lo:hi]

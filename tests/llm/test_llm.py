@@ -234,6 +234,21 @@ def test_decontamination_recall():
     assert len({d for d, i, _, _ in found if d == i}) >= 0.85 * 80 and all(d == i for d, i, _, _ in found)
 
 
+def test_decontamination_recall_of_long_items():
+    p, rng = decontaminate.DecontaminationParams(), np.random.default_rng(6)
+    seqs = [rng.integers(1, 1 << 63, n, dtype=np.uint64) for n in (63, 64, 100, 200, 400, 800, 1000) for _ in range(15)]
+    index = decontaminate.Index(list(range(len(seqs))), seqs, p)
+    texts = [np.concatenate([rng.integers(1, 1 << 63, k % 3 * 20, dtype=np.uint64), decontaminate.edit(s, int(len(s) * 0.2), rng), rng.integers(1, 1 << 63, 50, dtype=np.uint64)]) for k, s in enumerate(seqs)]
+    sym, _ = decontaminate.Index._joined(texts)
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    found = decontaminate.verify(index, sym, bounds, *index.candidates(sym, np.flatnonzero(sym != decontaminate.PAD)))
+    met = {d for d, i, _, _ in found}
+    assert all(d == i for d, i, _, _ in found) and len(met) >= 0.9 * len(seqs)
+    assert len([k for k in met if len(seqs[k]) >= 400]) >= 0.9 * 45
+    with pytest.raises(RuntimeError):
+        decontaminate.Index([0], seqs[:1], decontaminate.DecontaminationParams(max_repeats=1))
+
+
 def test_language_model_is_brute_force(spark, docs, none):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in documents()}
     rem = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
