@@ -238,6 +238,7 @@ def repeats(segments: list[bytes], earlier: np.ndarray, p: SuffixParams) -> list
     """For each segment the starts of its strings that another segment of the collection holds at an earlier place.
 
     earlier: the segments' places in the corpus, comparable as (document, byte) rows; a string's place is its segment's plus its start.
+    Strings at the same place, of a repeated row or of segments that overlap, are one string.
     """
     who, start, same = collection(segments, p)
     size = np.array([len(s) for s in segments])
@@ -250,7 +251,9 @@ def repeats(segments: list[bytes], earlier: np.ndarray, p: SuffixParams) -> list
         doc, byte = earlier[who[whole], 0], earlier[who[whole], 1] + start[whole]
         order = np.lexsort((byte, doc, group))
         g = group[order]
-        repeat = np.concatenate([[False], g[1:] == g[:-1]])
+        head = np.concatenate([[True], g[1:] != g[:-1]])
+        first = order[np.maximum.accumulate(np.where(head, np.arange(len(g)), 0))]
+        repeat = (doc[order] != doc[first]) | (byte[order] != byte[first])
         for r in whole[order[repeat]]:
             out[who[r]].append(int(start[r]))
     return [np.array(sorted(x), np.int64) for x in out]

@@ -184,6 +184,17 @@ def test_suffix_dedup_is_brute_force(spark, docs, none, hot):
         assert clean.columns == docs.columns and clean.count() == len(rows) and clean.where("doc_id = 0").first()["text"] is None
 
 
+def test_suffix_dedup_of_a_repeated_row_that_shares_a_part(spark):
+    shared = [prose(600 + k, 60) for k in range(12)]
+    a, b = (" ".join(prose(seed + k, 30) + " " + s[:n] for k, s in enumerate(shared)) for seed, n in ((700, 400), (800, 230)))
+    df = spark.createDataFrame([(1, a), (2, b), (1, a)], "doc_id long, text string")
+    want = brute_removed([(1, a), (2, b)])
+    got = suffix_dedup.deduplicated(df).collect()
+    assert len(got) == 3 and want[1][1] == 0 and want[2][1] > 1000
+    for r in got:
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]]
+
+
 def test_collection_is_a_suffix_sort():
     r = random.Random(3)
     for _ in range(30):
