@@ -1,18 +1,20 @@
-"""What the corpus operators share: the scratch folder, chunked Arrow input and a vectorised tokenizer."""
+"""What the corpus operators share: the scratch folder, chunked Arrow input, hashes and a vectorised tokenizer."""
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a vectorised kernel takes at once; its arrays need about 40 times that.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: Bytes of an Arrow batch of texts.
 BATCH_BYTES = 8 << 20
@@ -23,13 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_inkgrid_scratch", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="inkgrid-")
-            spark._inkgrid_scratch = root
+    """The shared folder that the cluster names; without one, a folder of the warehouse, which all executors share too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
 
@@ -57,6 +54,36 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow() over small batches of texts, with the schema's columns by place.
+
+    A worker process serves many tasks and stages: what a task has freed goes back to the system when it ends.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            trim()
+
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def arrow_type(schema: T.StructType, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(schema[column].dataType)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of materialise() that nothing will read again."""
     path = getattr(df, "_inkgrid_path", None)
@@ -133,8 +160,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_PRIME = np.uint64((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo 2**31 - 1, for values below 2**62; the result may be the modulus itself for 0 only where x is not 0."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+class SoundHash:
+    """Hashes of spans of up to 4 MiB + 1 KiB of data: polynomials at two secret points modulo 2**31 - 1.
+
+    Two different spans of n bytes collide for at most n of 2**31 choices of each point, so for any data the chance is
+    (n / 2**31)**2; the points are drawn at each run, so no data can be made to collide.
+    """
+
+    def __init__(self, points: tuple[int, int]):
+        self.points, self.powers = points, []
+
+    @staticmethod
+    def draw() -> tuple[int, int]:
+        import secrets
+
+        return tuple(secrets.randbelow((1 << 31) - 1001) + 1000 for _ in range(2))
+
+    def _tables(self, n: int) -> None:
+        if self.powers and len(self.powers[0][0]) >= n:
+            return
+        self.powers = []
+        for point in self.points:
+            pair = []
+            for base in (point, pow(point, -1, (1 << 31) - 1)):
+                t = np.ones(1, np.uint64)
+                while len(t) < n:
+                    t = np.concatenate([t, _reduced(t * np.uint64(pow(base, len(t), (1 << 31) - 1)))])
+                pair.append(t)
+            self.powers.append(pair)
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._tables(len(data) + 1)
+        out = np.zeros(len(starts), np.uint64)
+        for up, down in self.powers:
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+            out = out << np.uint64(31) | _reduced(_reduced(sums[ends] - sums[starts]) * down[starts])
+        return mix(out ^ ((ends - starts).astype(np.uint64) << np.uint64(62)))
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Sums S with which span_hashes() hashes any span of data."""
+    """Sums S with which span_hashes() hashes any span of data. Different spans can be made to collide: for choices, not for equality."""
     pw, _ = _powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
@@ -165,6 +241,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words that word_spans() found: XXH3 of each different word, which Arrow tells apart by its bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    inside = np.ascontiguousarray(data[~_SPACE[data]])  # words are all there is between white space
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(inside)]).dictionary_encode()
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w.as_buffer()) for w in words.dictionary], np.uint64)[words.indices.to_numpy()]
+
+
+def chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a sequence of words from that of all but the last; the last alone never makes two alike."""
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased."""
     return _LOWER[data]
