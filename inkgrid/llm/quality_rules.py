@@ -1,12 +1,20 @@
 """Quality rules: plain text counts and tokenizer fertility with rejection bands per language or script.
 
-Fertility is measured with a public byte-level vocabulary: code points per token, the share of tokens that are no
-whole UTF-8 (byte fallback), and the entropy of the document's tokens in bits. A document with at least
-``min_tokens`` tokens is rejected outside the bands of its language, or of its main script if the language has none.
-The entropy floor rises with the number of tokens, as the entropy of any text does.
+Fertility is measured with two public byte-level vocabularies, one made from mostly English text and one from many
+languages: code points per token, the share of tokens that are no whole UTF-8 (byte fallback), and the entropy of the
+document's tokens in bits. A document is rejected outside the bands of its language, or of its main script if the language has
+no reference, under either vocabulary.
+
+The bands come from references, one paragraph of ordinary prose a language (``PLAIN`` in the tests, which measure it
+again): code points per token may be ``spread_low`` times fewer or ``spread_high`` times more than the paragraph's,
+and the fallback share ``spread_share`` higher. Tokens' entropy must reach ``entropy_share`` of that of equally frequent
+different tokens, as many as the document has, ``entropy_tokens`` at most; the paragraphs have 0.83 and more. Under ``sure_tokens``
+tokens all bounds widen with the square root of the count, as the measures' errors do; no document goes unjudged.
 
 Null texts are empty texts: all counts are 0 and base_failed is true (fewer than 10 words). Rows are judged one by one,
-so repeated rows and null ids give a row each; other columns are not read.
+so repeated rows, ties and null ids give a row each; a null or unknown language is judged by script; empty tables give
+empty tables. Long texts are cut at spaces and encoded piece by piece. Other columns are not read by ``measured`` and pass
+unchanged through ``kept_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,28 +28,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, column_of, mix, prefix_hashes, small_batches, span_hashes, utf8_view, word_spans
+from .common import chained, chunks, column_of, mapped, mix, utf8_view, word_hashes, word_spans
 
-#: Lowest and highest code points per token, highest byte-fallback share. Ordinary prose has 5.2 code points
-#: a token in English, 2.7 in German, 3.0 in French and 2.9 in Spanish: the upper bounds are about twice that, the lower
-#: ones about half, but for English, where half would reach texts of rare words; hex, base64 and random letters stay below 1.75.
-LANGUAGE_BANDS = {"en": (1.9, 10.0, 0.1), "de": (1.35, 5.5, 0.18), "fr": (1.5, 6.0, 0.2), "es": (1.45, 6.0, 0.22)}
-SCRIPT_BANDS = {"latin": (1.2, 5.5, 0.25), "cyrillic": (0.8, 3.5, 0.6), "greek": (0.6, 3.0, 0.7), "hebrew": (0.4, 2.5, 0.9), "arabic": (0.4, 2.5, 0.9), "cjk": (0.25, 2.0, 1.0), "other": (0.2, 5.5, 1.0)}
+#: Measured on the references: code points per token and byte-fallback share under each vocabulary.
+REFERENCES = {"en": ((5.193, 0.0), (5.148, 0.0)), "de": ((2.695, 0.021), (4.031, 0.0)), "fr": ((3.006, 0.012), (3.924, 0.0)), "es": ((2.868, 0.011), (4.024, 0.0))}
+#: Lowest and highest code points per token and highest byte-fallback share of scripts without a reference: from one
+#: token a byte, the worst a byte-level vocabulary can do to the script, to twice what Latin prose reaches.
+SCRIPT_BANDS = {"latin": (0.9, 10.0, 0.35), "cyrillic": (0.5, 5.0, 1.0), "greek": (0.5, 5.0, 1.0), "hebrew": (0.4, 5.0, 1.0), "arabic": (0.4, 5.0, 1.0), "cjk": (0.25, 3.0, 1.0), "other": (0.2, 10.0, 1.0)}
 #: First code point of each script's main blocks.
 SCRIPT_STARTS = [(0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x1E00, "latin"), (0x2000, "other"), (0x2E80, "cjk"), (0xA000, "other"), (0xAC00, "cjk"), (0xD7B0, "other"), (0xF900, "cjk"), (0xFB00, "other"), (0xFF00, "cjk"), (0xFFF0, "other"), (0x20000, "cjk"), (0x32000, "other")]
-#: log2 of the token count, lowest entropy in bits.
-ENTROPY_FLOOR = [(4.5, 3.3), (6.0, 4.3), (7.5, 5.45), (9.0, 5.95), (10.5, 6.2)]
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    vocabulary: str = ""  # path of a file of base64 ranks; empty: byte_bpe_50k.tiktoken of public_tokenizers
-    min_tokens: int = 64
+    vocabularies: tuple[str, ...] = ()  # paths of files of base64 ranks; empty: the two byte-level ones of public_tokenizers
+    spread_low: float = 2.75
+    spread_high: float = 2.0
+    spread_share: float = 0.25
+    entropy_share: float = 0.7
+    entropy_tokens: int = 315
+    sure_tokens: int = 64
     min_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5
-    cache_entries: int = 200_000
-    language_bands: dict = field(default_factory=lambda: LANGUAGE_BANDS)
+    cache_entries: int = 60_000
+    references: dict = field(default_factory=lambda: REFERENCES)
 
 
 _SYMBOL = np.zeros(256, bool)
@@ -53,24 +64,27 @@ _NAMES = [b for _, b in SCRIPT_STARTS]
 
 
 class Fertility:
-    """Token ids of whole texts. Text between single spaces is encoded once and remembered, in bounded memory."""
+    """Token ids of whole texts under every vocabulary. Text between single spaces is encoded once and remembered, in bounded memory."""
 
-    def __init__(self, path: str, entries: int):
+    def __init__(self, paths: tuple[str, ...], entries: int):
         import public_tokenizers
         import tiktoken
 
-        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("fertility", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.partial = np.zeros(max(ranks.values()) + 1, bool)
-        for b, i in ranks.items():
-            try:
-                b.decode()
-            except UnicodeDecodeError:
-                self.partial[i] = True
+        self.encode, self.partial = [], []
+        for path in paths or [public_tokenizers.path(f"byte_bpe_{k}50k.tiktoken") for k in ("", "multi_")]:
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.encode.append(tiktoken.Encoding("fertility", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+            partial = np.zeros(max(ranks.values()) + 1, bool)
+            for b, i in ranks.items():
+                try:
+                    b.decode()
+                except UnicodeDecodeError:
+                    partial[i] = True
+            self.partial.append(partial)
         self.entries, self.cache = entries, {}
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> list[np.ndarray]:
         """Each space starts a token of its own run, so pieces at spaces are measured apart."""
         if len(self.cache) > self.entries:
             self.cache.clear()
@@ -79,22 +93,24 @@ class Fertility:
             key = lead + piece
             got = cache.get(key)
             if got is None:
-                got = np.array(self.encode(key), np.int32).tobytes()
+                got = tuple(np.array(e(key), np.int32).tobytes() for e in self.encode)
                 if len(key) <= 64:
                     cache[key] = got
             out.append(got)
             lead = " "
-        return np.frombuffer(b"".join(out), np.int32)
+        return [np.frombuffer(b"".join(x), np.int32) for x in zip(*out)]
 
-    def measure(self, text: str) -> tuple[int, float, float]:
-        ids = self.ids(text) if text else np.zeros(0, np.int32)
-        n = len(ids)
-        if not n:
-            return 0, 0.0, 0.0
-        share = float(self.partial[ids].mean())
-        counts = np.unique(ids, return_counts=True)[1] if n < 4096 else np.bincount(ids)
-        p = counts[counts > 0] / n
-        return n, share, float(-(p * np.log2(p)).sum())
+    def measure(self, text: str) -> list[tuple[int, float, float]]:
+        """Tokens, fallback share and entropy under each vocabulary."""
+        if not text:
+            return [(0, 0.0, 0.0)] * len(self.encode)
+        out = []
+        for ids, partial in zip(self.ids(text), self.partial):
+            n = len(ids)
+            counts = np.unique(ids, return_counts=True)[1] if n < 4096 else np.bincount(ids)
+            p = counts[counts > 0] / n
+            out.append((n, float(partial[ids].mean()), float(-(p * np.log2(p)).sum())))
+        return out
 
 
 def main_script(text: str) -> str:
@@ -112,12 +128,17 @@ def main_script(text: str) -> str:
     return min(by, key=lambda k: (-by[k], k))
 
 
-def within_bands(p: QualityParams, lang: str | None, text: str, n_tokens: int, share: float, entropy: float) -> bool:
-    if n_tokens < p.min_tokens:
-        return True
-    low, high, most = p.language_bands.get(lang or "") or SCRIPT_BANDS[main_script(text)]
-    floor = float(np.interp(math.log2(n_tokens), [a for a, _ in ENTROPY_FLOOR], [b for _, b in ENTROPY_FLOOR]))
-    return low <= len(text) / n_tokens <= high and share <= most and entropy >= floor
+def within_bands(p: QualityParams, lang: str | None, text: str, measures: list[tuple[int, float, float]]) -> bool:
+    """Whether a text that has tokens lies in the bands under every vocabulary."""
+    known = p.references.get(lang or "")
+    script = None if known else SCRIPT_BANDS[main_script(text)]
+    for k, (n, share, entropy) in enumerate(measures):
+        loose = max(1.0, math.sqrt(p.sure_tokens / n))
+        low, high, most = (known[k][0] / p.spread_low, known[k][0] * p.spread_high, known[k][1] + p.spread_share) if known else script
+        floor = p.entropy_share * min(math.log2(n), math.log2(p.entropy_tokens))
+        if not (low / loose <= len(text) / n <= high * loose and share <= most * loose and entropy >= floor / loose):
+            return False
+    return True
 
 
 def _repeats(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +148,11 @@ def _repeats(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np
     n = len(starts)
     if n < k:
         return n_words, np.zeros(len(n_words), np.int64)
-    h = span_hashes(prefix_hashes(data), starts, ends)
+    h = word_hashes(data, starts, ends)
     doc = np.repeat(np.arange(len(n_words)), n_words)
     win = h[: n - k + 1].copy()
     for j in range(1, k):
-        win = win * np.uint64(0x9E3779B97F4A7C15) + h[j : n - k + 1 + j]
+        win = chained(win, h[j : n - k + 1 + j])
     own = doc[: n - k + 1] == doc[k - 1 :]
     win = mix(win ^ mix(doc[: n - k + 1].astype(np.uint64) + np.uint64(1)))[own]
     at = np.flatnonzero(own)
@@ -157,31 +178,37 @@ def base_counts(data: np.ndarray, offs: np.ndarray, p: QualityParams) -> dict[st
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-MEASURES = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("n_tokens", "long"), ("chars_per_token", "double"), ("fallback_share", "double"), ("token_entropy", "double"), ("kept", "boolean")]
+_PLAIN = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean")]
+_EACH = [("n_tokens", "long"), ("chars_per_token", "double"), ("fallback_share", "double"), ("token_entropy", "double")]
 _FERTILITY: dict[tuple, Fertility] = {}
 
 
-def _measure(p: QualityParams, raw: np.ndarray, offs: np.ndarray, langs: list[str | None]) -> dict[str, list]:
-    key = (p.vocabulary, p.cache_entries)
+def measures(p: QualityParams) -> list[tuple[str, str]]:
+    """Names and types of what is measured; the second vocabulary's columns end in _2, and so on."""
+    return [*_PLAIN, *((name + (f"_{k + 1}" if k else ""), kind) for k in range(len(p.vocabularies) or 2) for name, kind in _EACH)]
+
+
+def _measure(p: QualityParams, raw: np.ndarray, offs: np.ndarray, langs: list[str | None]) -> list[list]:
+    key = (p.vocabularies, p.cache_entries)
     if key not in _FERTILITY:
         _FERTILITY[key] = Fertility(*key)
-    fert, out = _FERTILITY[key], {k: [] for k, _ in MEASURES}
+    fert, names = _FERTILITY[key], [k for k, _ in measures(p)]
+    out: list[list] = [[] for _ in names]
     for i, j in chunks(offs):
         data, own = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         counts = base_counts(data, own, p)
-        for k, v in counts.items():
-            out[k] += v.tolist()
+        for k, (name, _) in enumerate(_PLAIN[:5]):
+            out[k] += counts[name].tolist()
         for d, (a, b) in enumerate(zip(own[:-1].tolist(), own[1:].tolist())):
             text = data[a:b].tobytes().decode("utf-8", "replace")
             n = int(counts["n_words"][d])
             failed = n < p.min_words or 100 * int(counts["n_repeat_words"][d]) > p.max_repeat_percent * n
-            n_tokens, share, entropy = fert.measure(text)
-            out["base_failed"].append(failed)
-            out["n_tokens"].append(n_tokens)
-            out["chars_per_token"].append(len(text) / n_tokens if n_tokens else 0.0)
-            out["fallback_share"].append(share)
-            out["token_entropy"].append(entropy)
-            out["kept"].append(not failed and within_bands(p, langs[i + d], text, n_tokens, share, entropy))
+            got = fert.measure(text)
+            row = [failed, not failed and within_bands(p, langs[i + d], text, got)]
+            for tokens, share, entropy in got:
+                row += [tokens, len(text) / tokens if tokens else 0.0, share, entropy]
+            for column, value in zip(out[5:], row):
+                column.append(value)
     return out
 
 
@@ -190,26 +217,27 @@ def measured(docs: DataFrame, params: QualityParams | None = None, text: str = "
     p, keep = params or QualityParams(), keep or ["doc_id"]
     has = lang in docs.columns
     used = docs.select(*dict.fromkeys([*keep, text, *([lang] if has else [])]))
-    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField(k, T.LongType() if t == "long" else T.DoubleType() if t == "double" else T.BooleanType()) for k, t in MEASURES])
-    kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    spark_kinds, kinds = {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    own = measures(p)
 
     def run(batches):
         for b in batches:
             raw, offs = utf8_view(column_of(b, text))
             got = _measure(p, raw, offs, column_of(b, lang).to_pylist() if has else [None] * b.num_rows)
-            yield pa.RecordBatch.from_arrays([*(column_of(b, k) for k in keep), *(pa.array(got[k], kinds[t]) for k, t in MEASURES)], names=[*keep, *(k for k, _ in MEASURES)])
+            yield pa.RecordBatch.from_arrays([*(column_of(b, k) for k in keep), *(pa.array(v, kinds[t]) for v, (_, t) in zip(got, own))], names=[*keep, *(k for k, _ in own)])
 
-    return small_batches(used).mapInArrow(run, schema)
+    return mapped(used, run, T.StructType([docs.schema[k] for k in keep] + [T.StructField(k, spark_kinds[t]) for k, t in own]))
 
 
 def kept_documents(docs: DataFrame, params: QualityParams | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that the rules keep, with all their columns; one pass without a shuffle."""
-    p, has, columns = params or QualityParams(), lang in docs.columns, docs.columns
+    p, columns = params or QualityParams(), docs.columns
+    has, at = lang in columns, [k for k, _ in measures(params or QualityParams())].index("kept")
 
     def run(batches):
         for b in batches:
             raw, offs = utf8_view(column_of(b, text))
             got = _measure(p, raw, offs, column_of(b, lang).to_pylist() if has else [None] * b.num_rows)
-            yield pa.RecordBatch.from_arrays(b.columns, names=columns).filter(pa.array(got["kept"], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(b.columns, names=columns).filter(pa.array(got[at], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
