@@ -6,10 +6,17 @@ part begins with that left part, can move it on. So the longest chain of such me
 that ends at least that far before the end of the bytes read is stable and is emitted; what follows it is encoded anew,
 which gives the same tokens, since no merge crosses the boundary. Memory holds a window of bytes and bounded caches.
 
-Text is cut into pieces that the pattern of the vocabulary can't join: before a single space between two other characters.
-Pieces are looked up in a bounded cache; others go through the pattern and the transducer. A unit of the pattern that fits
-in the window is settled whole, up to SHORT bytes by merging pairs; a longer one is streamed. A special token's text is
-that token. Decoding turns ids to bytes and bytes to text by a state machine that holds at most three bytes.
+Two tokens stand side by side where no merge joins bytes of both before the merges inside them are done; that is read off
+the trees of merges that make the tokens (``_follows``). The result of all merges is the one sequence of which any two neighbours
+stand so, which one pass from left to right finds (``_settle``).
+
+Text arrives in pieces of any size (``encode_stream``) and is cut into units of the pattern as soon as no later character can
+change them; each unit goes through ``stream``. Short units' tokens are remembered in bounded caches, together with
+what stands around them up to single spaces, which the pattern can't join. A special token's text is that token. Decoding turns ids
+to bytes and bytes to text by a state machine that holds at most three bytes.
+
+Null texts are empty and have no ids. Rows are encoded one by one, so repeated rows and null ids give a row each; empty tables give
+empty tables; long texts pass in windows, and ``digests`` holds neither their ids nor their decoded text. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import column_of, small_batches, texts
+from .common import column_of, mapped, texts
 
 #: Unicode's White_Space, as the pattern's \\s means it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Bytes up to which merging one pair after the other is faster than looking for tokens that may follow each other.
-SHORT = 64
+#: Characters that encode_stream() takes at once.
+WINDOW = 1 << 16
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -57,7 +64,7 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 class Transducer:
     """Encodes and decodes with one vocabulary file; ids are as that of the tokenizers library."""
 
-    def __init__(self, path: str, window: int = 1 << 12, entries: int = 150_000):
+    def __init__(self, path: str, window: int = 1 << 12, entries: int = 100_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -67,10 +74,9 @@ class Transducer:
         vocab = {as_bytes(k): v for k, v in spec["model"]["vocab"].items() if all(c in byte for c in k)}
         pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in spec["model"]["merges"]]
         merges = [(as_bytes(a), as_bytes(b)) for a, b in pairs]
-        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
-        self.joined = [vocab[a + b] for a, b in merges]
-        self.single = [vocab[bytes([b])] for b in range(256)]
-        self.first = [self.rank.get((a, b), len(merges)) for a in self.single for b in self.single]
+        self.rank = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in enumerate(merges)}
+        self.parts = {vocab[a + b]: (r, vocab[a], vocab[b]) for r, (a, b) in reversed(list(enumerate(merges)))}
+        self.ends: tuple[dict, dict] = {}, {}
         self.lookahead = sufficient_lookahead(merges)
         self.window = max(window, 4 * self.lookahead)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -84,12 +90,15 @@ class Transducer:
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.crowded = regex.compile(rf" [{WHITE}]|[{WHITE}] ")
         self.between = regex.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
+        self.endless = [regex.compile(c) for c in (r"\p{L}+", r"\p{N}+", rf"[^{WHITE}\p{{L}}\p{{N}}]+")]
+        self.white = frozenset(c for c in map(chr, range(0x3001)) if regex.match(f"[{WHITE}]", c))
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.entries = entries
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.fits: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
+        self.prefix: dict[int, int] = {}
         self.next: dict[int, int] = {}  # a trie of the tokens' bytes: node and byte to node
         self.token = [-1]
         for b, i in vocab.items():
@@ -102,39 +111,55 @@ class Transducer:
                 node = to
             self.token[node] = i
 
-    def _merge(self, data: bytes) -> list[int]:
-        """All merges of a few bytes: lowest rank first, leftmost first."""
-        none, get, joined, single, first = len(self.joined), self.rank.get, self.joined, self.single, self.first
-        ids = [single[b] for b in data]
-        ranks = [first[a << 8 | b] for a, b in zip(data, data[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            new = ids[i] = joined[best]
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get((ids[i - 1], new), none)
-            if i < len(ranks):
-                ranks[i] = get((new, ids[i + 1]), none)
-        return ids
+    def _end(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """The tokens at a token's left (0) or right (1) end, from the whole to one byte: (token, rank that makes it, rank that uses it up)."""
+        got = self.ends[side].get(token)
+        if got is None:
+            got, at, used = [], token, 1 << 40
+            while at in self.parts:
+                made = self.parts[at][0]
+                got.append((at, made, used))
+                at, used = self.parts[at][1 + side], made
+            got.append((at, -1, used))
+            self.ends[side][token] = got
+        return got
+
+    def _joins(self, a: int, b: int, limit: int) -> bool:
+        """Whether a merge of a rank below limit joins bytes of both tokens, were they side by side.
+
+        Ends of the two that are there at the same time could merge. Such a merge comes first if its rank is lower than that
+        of the merge which uses up the left end, and not higher than that of the one which uses up the right end (it begins
+        further right, and equals go from left to right).
+        """
+        rank, left = self.rank.get, self._end(b, 0)
+        for x, made_x, used_x in self._end(a, 1):
+            for y, made_y, used_y in left:
+                if made_y >= used_x:
+                    continue  # not yet there
+                if made_x >= used_y:
+                    break  # no longer there, nor are its parts
+                r = rank(x << 20 | y)
+                if r is not None and r < limit and made_x < r < used_x and made_y < r <= used_y:
+                    return True
+        return False
 
     def _follows(self, a: int, b: int) -> bool:
         """Whether the merges leave the two tokens side by side as they are."""
-        key = a << 32 | b
-        got = self.fits.get(key)
-        if got is None:
-            if len(self.fits) >= 2 * self.entries:
-                self.fits.clear()
-            got = self.fits[key] = self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        if len(self.fits) >= 4 * self.entries:
+            self.fits.clear()
+        got = self.fits[a << 20 | b] = not self._joins(a, b, 1 << 40)
         return got
 
     def _stands(self, a: int) -> bool:
         """Whether the merges make this token of its own bytes."""
         got = self.alone.get(a)
         if got is None:
-            got = self.alone[a] = len(self._merge(self.bytes_of[a])) == 1
+            if a in self.parts:
+                made, x, y = self.parts[a]
+                got = self._stands(x) and self._stands(y) and not self._joins(x, y, made)
+            else:
+                got = len(self.bytes_of[a]) == 1
+            self.alone[a] = got
         return got
 
     def _settle(self, data: bytes) -> list[int]:
@@ -143,32 +168,31 @@ class Transducer:
         Takes the longest token that may follow; goes back where none may. A place that failed once fails always, since
         the tokens before a place are settled by the bytes before it.
         """
-        step, token, fits, n = self.next.get, self.token, self.fits, len(data)
+        step, token, fits, n = self.next.get, self.token, self.fits.get, len(data)
         ids: list[int] = []
         at, before, limit, dead = 0, -1, n, set()
         while at < n:
-            node, k, found = 0, at, []
+            node, k, t, end = 0, at, -1, at
             while k < limit:
                 node = step(node << 8 | data[k])
                 if node is None:
                     break
                 k += 1
                 if token[node] >= 0:
-                    found.append(k)
-                    found.append(token[node])
-            limit, taken = n, False
-            while found:
-                t, k = found.pop(), found.pop()
-                if k in dead:
-                    continue
-                ok = self._stands(t) if before < 0 else fits.get(before << 32 | t)
-                if ok is None:
-                    ok = self._follows(before, t)
-                if ok:
-                    ids.append(t)
-                    at, before, taken = k, t, True
-                    break
-            if taken:
+                    t, end = token[node], k
+            limit = n
+            while t >= 0:
+                if end not in dead:
+                    ok = self._stands(t) if before < 0 else fits(before << 20 | t)
+                    if ok is None:
+                        ok = self._follows(before, t)
+                    if ok:
+                        break
+                t = self._shorter(t)
+                end = at + len(self.bytes_of[t]) if t >= 0 else at
+            if t >= 0:
+                ids.append(t)
+                at, before = end, t
                 continue
             dead.add(at)
             while True:  # the token before this place gets shorter
@@ -180,22 +204,33 @@ class Transducer:
                 dead.add(at)
         return ids
 
-    def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
-        """Ids of one unit of the pattern that arrives in pieces of any size; emits what is stable."""
+    def _shorter(self, t: int) -> int:
+        """The longest token that this one begins with, itself apart; -1: none."""
+        got = self.prefix.get(t)
+        if got is None:
+            node, got, data = 0, -1, self.bytes_of[t]
+            for c in data[:-1]:
+                node = self.next[node << 8 | c]
+                got = self.token[node] if self.token[node] >= 0 else got
+            self.prefix[t] = got
+        return got
+
+    def stream(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """Ids of one unit of the pattern that arrives in pieces of any size; emits what is stable, the rest at the unit's end."""
         held = b""
         for piece in pieces:
             for k in range(0, len(piece), self.window):
                 held += piece[k : k + self.window]
                 if len(held) < 2 * self.window:
                     continue
-                done, stable = 0, len(held) - self.lookahead
-                for i in self._settle(held):
+                done, stable, out = 0, len(held) - self.lookahead, self._settle(held)
+                for n, i in enumerate(out):
                     if done + len(self.bytes_of[i]) > stable:
                         break
                     done += len(self.bytes_of[i])
-                    yield i
+                yield out[:n]
                 held = held[done:]
-        yield from self._settle(held)
+        yield self._settle(held)
 
     def _kept(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(text) <= 64:
@@ -208,9 +243,7 @@ class Transducer:
         """Of one match of the pattern."""
         got = self.young.get(unit) or self.old.get(unit)
         if got is None:
-            data = unit.encode()
-            ids = self._merge(data) if len(data) <= SHORT else self._settle(data) if len(data) < self.window else self.stream([data])
-            got = self._kept(unit, tuple(ids))
+            got = self._kept(unit, tuple(i for part in self.stream((unit.encode(),)) for i in part))
         return got
 
     def _piece(self, piece: str) -> tuple[int, ...]:
@@ -237,7 +270,8 @@ class Transducer:
                 young = self.young
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def _part(self, text: str) -> list[int]:
+        """Of text that no more text can change."""
         if self.split_special is None or not any(s in text for s in self.special):
             return self._ordinary(text) if text else []
         out: list[int] = []
@@ -248,6 +282,54 @@ class Transducer:
                 out += self._ordinary(part)
         return out
 
+    def _settled(self, held: str) -> int:
+        """Up to where no more text can change the units: the last single space between two other characters, else the last unit after none."""
+        at = len(held) - 1
+        while (at := held.rfind(" ", 1, at)) > 0:
+            if held[at - 1] not in self.white and held[at + 1] not in self.white:
+                return at
+        if len(held) < 2 * WINDOW or any(s[0] in held for s in self.special):
+            return 0
+        return max((m.start() for m in self.pattern.finditer(held) if m.start() and held[m.start() - 1] not in self.white), default=0)
+
+    def encode_stream(self, pieces: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of a text that arrives in pieces, as soon as they are settled.
+
+        Holds a window of text. A unit without end is passed on to stream() as it comes; only white space without end, and
+        such units with the first character of a special token, are held whole.
+        """
+        source, held = iter(pieces), ""
+        for piece in source:
+            held += piece
+            cut = self._settled(held)
+            if cut:
+                yield self._part(held[:cut])
+                held = held[cut:]
+            run = next((c for c in self.endless if len(held) >= 2 * WINDOW and c.fullmatch(held, held[0] == " ") and not any(s[0] in held for s in self.special)), None)
+            if run is not None:
+                rest = [""]
+                yield from self.stream(self._unit_without_end(held, source, run, rest))
+                held = rest[0]
+        if held:
+            yield self._part(held)
+
+    def _unit_without_end(self, held: str, source: Iterator[str], run, rest: list[str]) -> Iterator[bytes]:
+        yield held.encode()
+        for piece in source:
+            m = run.match(piece)
+            to = m.end() if m else 0
+            if any(s[0] in piece[:to] for s in self.special):
+                to = min(piece.find(s[0]) for s in self.special if s[0] in piece[:to])
+            yield piece[:to].encode()
+            if to < len(piece):
+                rest[0] = piece[to:]
+                return
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) <= WINDOW:
+            return self._part(text)
+        return [i for part in self.encode_stream(windows(text)) for i in part]
+
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as soon as its bytes are whole; bytes that are no UTF-8 become U+FFFD."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
@@ -260,6 +342,10 @@ class Transducer:
         return "".join(self.decode_stream(ids))
 
 
+def windows(text: str) -> Iterator[str]:
+    return (text[k : k + WINDOW] for k in range(0, len(text), WINDOW))
+
+
 _LOADED: dict[str, Transducer] = {}
 
 
@@ -293,7 +379,7 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc
                     ids = pa.array([t.encode(x.decode("utf-8", "replace")) for x in texts(column_of(part, text))], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([column_of(part, id), ids], names=[id, "ids"])
 
-    return small_batches(docs.select(id, text)).mapInArrow(run, T.StructType([docs.schema[id], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return mapped(docs.select(id, text), run, T.StructType([docs.schema[id], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decoded(tokens: DataFrame, vocabulary: str, ids: str = "ids", id: str = "doc_id") -> DataFrame:
@@ -304,7 +390,7 @@ def decoded(tokens: DataFrame, vocabulary: str, ids: str = "ids", id: str = "doc
         for b in batches:
             yield pa.RecordBatch.from_arrays([column_of(b, id), pa.array([t.decode(x or []) for x in column_of(b, ids).to_pylist()], pa.string())], names=[id, "text"])
 
-    return small_batches(tokens.select(id, ids)).mapInArrow(run, T.StructType([tokens.schema[id], T.StructField("text", T.StringType())]))
+    return mapped(tokens.select(id, ids), run, T.StructType([tokens.schema[id], T.StructField("text", T.StringType())]))
 
 
 def digests(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -315,14 +401,18 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc
         for b in batches:
             n, ids_hex, text_hex = [], [], []
             for x in texts(column_of(b, text)):
+                count, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+                machine = codecs.getincrementaldecoder("utf-8")("replace")
                 with uncollected():
-                    ids = t.encode(x.decode("utf-8", "replace"))
-                n.append(len(ids))
-                ids_hex.append(hashlib.sha256(",".join(map(t.decimal.__getitem__, ids)).encode()).hexdigest())
-                h = hashlib.sha256()
-                for part in t.decode_stream(ids):
-                    h.update(part.encode())
-                text_hex.append(h.hexdigest())
+                    for ids in t.encode_stream(windows(x.decode("utf-8", "replace"))):
+                        if ids:
+                            ids_hash.update(("," if count else "").encode() + ",".join(map(t.decimal.__getitem__, ids)).encode())
+                            text_hash.update(machine.decode(b"".join(map(t.bytes_of.__getitem__, ids))).encode())
+                            count += len(ids)
+                text_hash.update(machine.decode(b"", True).encode())
+                n.append(count)
+                ids_hex.append(ids_hash.hexdigest())
+                text_hex.append(text_hash.hexdigest())
             yield pa.RecordBatch.from_arrays([column_of(b, id), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=[id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return small_batches(docs.select(id, text)).mapInArrow(run, T.StructType([docs.schema[id], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+    return mapped(docs.select(id, text), run, T.StructType([docs.schema[id], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
