@@ -6,15 +6,17 @@ document id, or earlier in the same document. Strings never cross documents.
 How the suffixes that can matter are brought together: every string of ``length`` bytes has an anchor, the gram of
 ``gram`` bytes in it with the smallest hash (the leftmost of equals), so equal strings have the same anchor at the same
 offset. An occurrence of an anchor is a segment: the text around it that all strings with this anchor lie in. Segments
-that are equal as a whole are settled by their hashes: all but the earliest are repeats. Anchors with several different
-segments are settled by the collection's Burrows-Wheeler transform and longest common prefixes, built column by column
-over one segment of each kind: each round inserts one symbol of every segment (from the right), and rewrites transform
-and prefixes in sequence, in external files beyond ``memory_rows``. Suffixes in a row whose common prefixes reach
-``length`` are one string; all but its earliest occurrence are repeats. Anchors with too many kinds of segments for one
-task are settled string by string with a partial aggregate instead (exactly the same result).
+that are equal as a whole (their anchors' hashes and 62 bits at points drawn for the run agree, see ``SoundHash``) are one
+kind: all but the earliest are repeats. Anchors with several kinds are settled by the collection's Burrows-Wheeler transform and
+longest common prefixes, built column by column over one segment of each kind; what one task holds is one collection. Each
+round inserts one symbol of every segment (from the right), and rewrites transform and prefixes in sequence, in external
+files beyond ``memory_rows``. Suffixes in a row whose common prefixes reach ``length`` are one string; all but its earliest
+occurrence are repeats. Anchors with too many kinds for one task (``hot_kinds``) are settled string by string with a
+partial aggregate instead, by 128-bit hashes (the same result).
 
 Null and empty texts have no bytes to remove. Rows that repeat an id and its text are one document and lose the same
-bytes. Of rows with the same id and other texts, and of rows without an id, see ``_numbered``.
+bytes. Of rows with the same id and other texts, and of rows without an id, see ``_numbered``. Empty tables give empty
+tables. Texts over 4 MiB are read in overlapping pieces. Other columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, column_of, materialise, mix, prefix_hashes, small_batches, span_hashes, utf8_view
+from .common import SoundHash, chunks, column_of, mapped, materialise, mix, prefix_hashes, span_hashes, utf8_view
 
 
 @dataclass(frozen=True)
@@ -38,13 +40,12 @@ class SuffixParams:
     length: int = 100
     gram: int = 40
     hot_kinds: int = 3000
-    batch_segments: int = 4_000
     task_segments: int = 8_000
-    memory_rows: int = 1 << 23
+    memory_rows: int = 1 << 18
     flush_rows: int = 1 << 20
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, p: SuffixParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offs: np.ndarray, p: SuffixParams, sound: SoundHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, anchor's hash, segment's hash, segment's start and end, anchor's place in it) of every anchor, in page order.
 
     A segment is what all strings with this anchor cover together; strings are those for which this gram is smallest.
@@ -77,7 +78,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, p: SuffixParams) -> tuple[np.nda
     anchor = place[first]
     offset = anchor - start
     name = gram[anchor]
-    return doc[start], name, mix(span_hashes(sums, start, end) ^ (offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), start, end, offset
+    return doc[start], name, mix(sound.spans(data, start, end) ^ (offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), start, end, offset
 
 
 class Column:
@@ -120,36 +121,39 @@ class Column:
         self.data[at] = values
 
 
-def _ranks(bwt: np.ndarray, queries: np.ndarray, totals: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted places: how many equal symbols stand before each, and the nearest equal symbols' places before and after (-1: none)."""
+def _ranks(bwt: np.ndarray, real: np.ndarray, queries: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted places: how many equal symbols stand before each, and the nearest equal symbols' places before and after (-1: none).
+
+    Reads both columns in sequence; rows that are not real have no symbol and are passed over.
+    """
     rank, before, after = (np.full(len(queries), v, np.int64) for v in (0, -1, -1))
     seen, latest = np.zeros(256, np.int64), np.full(256, -1, np.int64)
     open_: dict[int, int] = {}  # symbol: index of the query that waits for its next place
     for a in range(0, len(bwt), block):
-        part = np.asarray(bwt[a : a + block])
-        i, j = np.searchsorted(queries, [a, a + len(part)])
+        rows = a + np.flatnonzero(real[a : a + block])
+        if not len(rows):
+            continue
+        part = np.asarray(bwt[a : a + block])[rows - a]
+        i, j = np.searchsorted(queries, [a, a + block])
         order = np.argsort(part, kind="stable")
         counts = np.bincount(part, minlength=256)
         starts = np.concatenate([[0], np.cumsum(counts)])
         for c in list(open_):
             if counts[c]:
-                after[open_.pop(c)] = a + order[starts[c]]
+                after[open_.pop(c)] = rows[order[starts[c]]]
         if j > i:
-            flag = np.zeros(len(part), bool)
-            flag[queries[i:j] - a] = True
-            k = np.flatnonzero(flag[order])  # in order of symbol, then place
-            where = order[k]
-            q = np.empty(len(part), np.int32)
-            q[queries[i:j] - a] = np.arange(i, j)
-            who, sym = q[where], part[where]
+            which = np.full(len(part), -1, np.int64)
+            which[np.searchsorted(rows, queries[i:j])] = np.arange(i, j)
+            k = np.flatnonzero(which[order] >= 0)  # in order of symbol, then place
+            who, sym = which[order[k]], part[order[k]]
             rank[who] = k - starts[sym] + seen[sym]
             first, final = k == starts[sym], k == starts[sym + 1] - 1
-            before[who] = np.where(first, latest[sym], order[np.maximum(k - 1, 0)] + a)
-            after[who] = np.where(final, -1, order[np.minimum(k + 1, len(part) - 1)] + a)
+            before[who] = np.where(first, latest[sym], rows[order[np.maximum(k - 1, 0)]])
+            after[who] = np.where(final, -1, rows[order[np.minimum(k + 1, len(part) - 1)]])
             for c, x in zip(sym[final].tolist(), who[final].tolist()):
                 open_[c] = x
         has = np.flatnonzero(counts)
-        latest[has] = a + order[starts[has + 1] - 1]
+        latest[has] = rows[order[starts[has + 1] - 1]]
         seen += counts
     return rank, before, after
 
@@ -194,11 +198,10 @@ def collection(texts: list[bytes], p: SuffixParams) -> tuple[np.ndarray, np.ndar
             active = own[symbol[:, longest + 1 - turn]]
             if not len(active):
                 break
-            # rows without a symbol take no part in the ranks: they are put aside under the smallest symbol and taken off
             sorted_by = np.argsort(place[active])
             active = active[sorted_by]
             queries = place[active]
-            rank, before, after = _symbol_ranks(bwt.data, real.data, queries, totals)
+            rank, before, after = _ranks(bwt.data, real.data, queries)
             sym = bwt.data[queries]
             first = n + np.concatenate([[0], np.cumsum(totals)])[sym]
             new = first + rank
@@ -224,16 +227,6 @@ def collection(texts: list[bytes], p: SuffixParams) -> tuple[np.ndarray, np.ndar
         return (*np.divmod(np.array(named.data), longest + 1), np.array(lcp.data) >= min(p.length, 255))
 
 
-def _symbol_ranks(bwt: np.ndarray, real: np.ndarray, queries: np.ndarray, totals: np.ndarray):
-    """_ranks() over the rows that have a symbol."""
-    if real.all():
-        return _ranks(bwt, queries, totals)
-    rows = np.flatnonzero(real)
-    rank, before, after = _ranks(np.asarray(bwt)[rows], np.searchsorted(rows, queries), totals)
-    back = lambda x: np.where(x >= 0, rows[np.maximum(x, 0)], -1)
-    return rank, back(before), back(after)
-
-
 def repeats(segments: list[bytes], earlier: np.ndarray, p: SuffixParams) -> list[np.ndarray]:
     """For each segment the starts of its strings that another segment of the collection holds at an earlier place.
 
@@ -283,23 +276,24 @@ _ROW = "name long, seg long, doc long, start int, size short, kind byte"
 _NAMES = ["name", "seg", "doc", "start", "size", "kind"]
 
 
-def _pieces(data: np.ndarray, offs: np.ndarray, p: SuffixParams):
+def _pieces(data: np.ndarray, offs: np.ndarray, p: SuffixParams, sound: SoundHash):
     """Anchors of chunks of documents; a document beyond 4 MiB in pieces that share length - 1 bytes (row, name, seg, start, end)."""
     for i, j in chunks(offs, 1 << 20):
         if offs[j] - offs[i] <= 1 << 22:
-            d, name, seg, start, end, _ = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], p)
+            d, name, seg, start, end, _ = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], p, sound)
             own = offs[i:j][d] - offs[i] if len(d) else d
             yield i + d, name, seg, start - own, end - own
             continue
         for a in range(int(offs[i]), int(offs[j]), 1 << 22):
             part = data[a : min(int(offs[j]), a + (1 << 22) + p.length - 1)]
-            d, name, seg, start, end, _ = anchors(part, np.array([0, len(part)]), p)
+            d, name, seg, start, end, _ = anchors(part, np.array([0, len(part)]), p, sound)
             yield i + d, name, seg, start + a - offs[i], end + a - offs[i]
 
 
-def _first_of_kinds(batches, p: SuffixParams):
+def _first_of_kinds(batches, p: SuffixParams, points: tuple[int, int]):
     """Per task: the earliest segment of each kind, and the others as late, which no name brings together again."""
     held: list[tuple[np.ndarray, ...]] = []
+    sound = SoundHash(points)
 
     def flush():
         if not held:
@@ -321,7 +315,7 @@ def _first_of_kinds(batches, p: SuffixParams):
     for b in batches:
         raw, offs = utf8_view(column_of(b, "_text"))
         ids = column_of(b, "_doc").to_numpy(zero_copy_only=False)
-        for row, name, seg, start, end in _pieces(raw, offs, p):
+        for row, name, seg, start, end in _pieces(raw, offs, p, sound):
             if len(row):
                 held.append((ids[row].astype(np.int64), name.astype(np.uint64), seg.astype(np.uint64), start.astype(np.int64), end.astype(np.int64)))
                 rows += len(row)
@@ -406,65 +400,59 @@ def _columns(batches, p: SuffixParams):
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))], names=["doc", "a", "b"])
 
-    tail: pa.Table | None = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        tail = t if tail is None else pa.concat_tables([tail, t])
-        while len(tail) > p.batch_segments:
-            names = tail["name"].to_numpy()
-            to = int(np.searchsorted(names, names[p.batch_segments], "left"))
-            if not to:
-                break
-            yield from spans(tail.slice(0, to))
-            tail = tail.slice(to).combine_chunks()
-    if tail is not None and len(tail):
-        yield from spans(tail)
+    held = list(batches)  # about task_segments rows and one anchor more, of at most 2 * length bytes each
+    if held:
+        yield from spans(pa.Table.from_batches(held))
 
 
 def removed_spans(base: DataFrame, params: SuffixParams | None = None) -> DataFrame:
     """_doc and spans (an array of from and to, in no order) of the documents that lose bytes; base has _doc and _text."""
     p = params or SuffixParams()
-    found = small_batches(base.select("_doc", "_text")).mapInArrow(lambda it: _first_of_kinds(it, p), _ROW)
-    settled = materialise(found.repartition("name").sortWithinPartitions("name", "seg", "doc", "start").mapInArrow(lambda it: _kinds(it, p), _ROW), "kinds")
+    points = SoundHash.draw()
+    found = mapped(base.select("_doc", "_text"), lambda it: _first_of_kinds(it, p, points), _ROW)
+    settled = materialise(mapped(found.repartition("name").sortWithinPartitions("name", "seg", "doc", "start"), lambda it: _kinds(it, p), _ROW), "kinds")
     spans = settled.where(F.col("kind") == LATE).select("doc", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     wanted = settled.where(F.col("kind") == SEVERAL).groupBy("doc").agg(F.collect_list(F.struct("name", "start", "size")).alias("want"))
-    cut = wanted.join(base, wanted["doc"] == base["_doc"]).select("doc", "want", "_text").mapInArrow(_segments, "name long, doc long, start int, bytes binary")
-    cut = materialise(cut, "segments")
+    cut = wanted.join(base, wanted["doc"] == base["_doc"]).select("doc", "want", "_text")
+    cut = materialise(mapped(cut, _segments, "name long, doc long, start int, bytes binary"), "segments")
     hot = materialise(cut.groupBy("name").count().where(F.col("count") > p.hot_kinds).select("name"), "hot-anchors")
     cold = cut
     if hot.limit(1).count():
         cold = cut.join(hot, "name", "left_anti")
-        strings = materialise(cut.join(hot, "name", "left_semi").mapInArrow(lambda it: _strings(it, p), "key binary, doc long, start int"), "strings")
+        strings = materialise(mapped(cut.join(hot, "name", "left_semi"), lambda it: _strings(it, p), "key binary, doc long, start int"), "strings")
         least = materialise(strings.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "least")
         again = strings.join(least, "key").where((F.col("doc") != F.col("least.doc")) | (F.col("start") != F.col("least.start")))
         spans = spans.unionByName(again.select("doc", F.col("start").alias("a"), (F.col("start") + p.length).alias("b")))
     tasks = max(1, -(-cut.count() // p.task_segments))  # by work: the rows are small, the columns are not
-    spans = spans.unionByName(cold.repartition(tasks, "name").sortWithinPartitions("name").mapInArrow(lambda it: _columns(it, p), "doc long, a int, b int"))
+    spans = spans.unionByName(mapped(cold.repartition(tasks, "name"), lambda it: _columns(it, p), "doc long, a int, b int"))
     return spans.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnRenamed("doc", "_doc")
 
 
-def _numbered(docs: DataFrame, text: str, id: str) -> DataFrame:
-    """docs with _doc, a key in the order of ids.
+def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs (with columns _id and _text) with _doc, a key in the order of ids, and whether ids repeat.
 
     Of rows that share an id but not the text, the one with the smallest text hash keeps the id; the others, and rows
     without an id, come after all ids, in order of a hash.
     """
-    value = F.col(id).cast("long")
-    last = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(id, text), 3)
-    if not docs.groupBy(id).count().where(F.col("count") > 1).limit(1).count():
-        return docs.withColumn("_doc", F.coalesce(value, last))
-    low = materialise(docs.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.min(F.xxhash64(text)).alias("_low"), F.count("*").alias("_n")).where("_n > 1").select("_id", "_low"), "repeated-ids")
-    joined = docs.join(low, docs[id] == low["_id"], "left")
-    return joined.withColumn("_doc", F.when(value.isNull() | (F.xxhash64(text) != F.col("_low")), last).otherwise(value)).drop("_id", "_low")
-
-
-def deduplicated(docs: DataFrame, params: SuffixParams | None = None, text: str = "text", id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """keep (default the id), kept bytes, n_bytes, n_removed and n_spans of every row."""
-    p, keep = params or SuffixParams(), keep or [id]
-    named = _numbered(docs.select(*dict.fromkeys([*keep, id, text])), text, id)
-    base = named.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    gone = removed_spans(base, p).withColumnRenamed("_doc", "_of")
-    joined = base.join(gone, base["_doc"] == gone["_of"], "left").select(*keep, "_text", "spans")
+    value = F.col("_id").cast("long")
+    last = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("_id", "_text"), 3)
+    if not docs.groupBy("_id").count().where(F.col("count") > 1).limit(1).count():
+        return docs.withColumn("_doc", F.coalesce(value, last)), False
+    low = materialise(docs.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("_same")).agg(F.min(F.xxhash64("_text")).alias("_low"), F.count("*").alias("_n")).where("_n > 1").select("_same", "_low"), "repeated-ids")
+    joined = docs.join(low, docs["_id"] == low["_same"], "left")
+    return joined.withColumn("_doc", F.when(value.isNull() | (F.xxhash64("_text") != F.col("_low")), last).otherwise(value)).drop("_same", "_low"), True
+
+
+def _cut(docs: DataFrame, p: SuffixParams, text: str, id: str, keep: list[str]) -> DataFrame:
+    """The columns keep as c0, c1 and so on, with _kept (bytes), _n_bytes, _n_removed and _n_spans."""
+    at = docs.columns.index
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    own = [f"c{at(k)}" for k in keep]
+    base, repeated = _numbered(named.select(*dict.fromkeys(own), F.col(f"c{at(id)}").alias("_id"), F.coalesce(F.col(f"c{at(text)}"), F.lit("")).alias("_text")))
+    once = base.select("_doc", "_text")
+    gone = removed_spans(once.dropDuplicates(["_doc"]) if repeated else once, p).withColumnRenamed("_doc", "_of")
+    joined = base.join(gone, base["_doc"] == gone["_of"], "left").select(*dict.fromkeys(own), "_text", "spans")
+    own = list(dict.fromkeys(own))
 
     def run(batches):
         for b in batches:
@@ -487,10 +475,17 @@ def deduplicated(docs: DataFrame, params: SuffixParams | None = None, text: str
                     n_spans.append(len(cut))
                 hi = min(lo + 256, b.num_rows)
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(column_of(part, k) for k in keep), pa.array(out, pa.binary()), pa.array(np.diff(offs[lo : hi + 1])), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())], names=[*keep, "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([*(column_of(part, k) for k in own), pa.array(out, pa.binary()), pa.array(np.diff(offs[lo : hi + 1])), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())], names=[*own, "_kept", "_n_bytes", "_n_removed", "_n_spans"])
 
-    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("kept", T.BinaryType()), *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans"))])
-    return joined.mapInArrow(run, schema)
+    schema = T.StructType([*(named.schema[k] for k in own), T.StructField("_kept", T.BinaryType()), *(T.StructField(k, T.LongType()) for k in ("_n_bytes", "_n_removed", "_n_spans"))])
+    return mapped(joined, run, schema)
+
+
+def deduplicated(docs: DataFrame, params: SuffixParams | None = None, text: str = "text", id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """keep (default the id), kept bytes, n_bytes, n_removed and n_spans of every row."""
+    keep = keep or [id]
+    got = _cut(docs, params or SuffixParams(), text, id, keep)
+    return got.select(*(F.col(f"c{docs.columns.index(k)}") for k in keep), "_kept", "_n_bytes", "_n_removed", "_n_spans").toDF(*keep, "kept", "n_bytes", "n_removed", "n_spans")
 
 
 def cleaned(docs: DataFrame, params: SuffixParams | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -499,9 +494,9 @@ def cleaned(docs: DataFrame, params: SuffixParams | None = None, text: str = "te
     A code point that loses some of its bytes goes as a whole; null texts stay null. A document that had text keeps its row
     even where nothing of the text is left.
     """
-    columns = docs.columns
-    got = deduplicated(docs, params, text, id, keep=columns)
-    return got.withColumn("_new", F.when(F.col(text).isNotNull(), F.when(F.col("n_removed") == 0, F.col(text)).otherwise(_valid("kept")))).select(*(F.col("_new").alias(text) if c == text else F.col(c) for c in columns))
+    got, place = _cut(docs, params or SuffixParams(), text, id, docs.columns), f"c{docs.columns.index(text)}"
+    new = F.when(F.col(place).isNotNull(), F.when(F.col("_n_removed") == 0, F.col(place)).otherwise(_valid("_kept")))
+    return got.select(*(new.alias(k) if k == place else F.col(k) for k in (f"c{i}" for i in range(len(docs.columns))))).toDF(*docs.columns)
 
 
 def _valid(column: str):
