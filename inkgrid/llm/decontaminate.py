@@ -10,9 +10,12 @@ are repeated until, on items with as many random edits as may be found, the shar
 are indexed by pieces of ``piece`` words and more; one piece at least has no more than its share of the edits.
 Candidates are verified exactly: the least edit distance of the item to any passage around the window, over its words.
 
-Items of fewer than ``min_words`` words are no passages and are not searched; null texts have no words. Items go to the
-tasks in parts of ``part_bytes`` at most; a larger benchmark takes a pass for each part. Repeated rows are found each;
-equal items each give a row.
+Items of fewer than ``min_words`` words allow less than two edits, too few for samples to tell them from chance: they are
+found where all their words stand in a row, by the hash of each row of as many words, whatever their length. Items without
+a word, and null ones, are found nowhere; null texts have no words. Items go to the tasks in parts of ``part_bytes`` at most; a
+larger benchmark takes a pass for each part. Repeated rows are found each; equal items each give a row. Of passages at the same
+distance the first is given, wherever the document stands. Long texts make a chunk of their own. Empty tables give no leaks. Other
+columns are not read by ``leaks`` and pass unchanged through ``clean_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, column_of, lowered, mix, prefix_hashes, small_batches, span_hashes, total_bytes, utf8_view, word_spans
+from .common import arrow_type, chained, chunks, column_of, lowered, mapped, total_bytes, utf8_view, word_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -53,7 +56,7 @@ def word_symbols(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Hashes of all words with a PAD after each document, and where each document begins (one more at the end)."""
     data = _WORD[lowered(raw)]
     starts, ends, first = word_spans(data, offs)
-    h = span_hashes(prefix_hashes(data), starts, ends)
+    h = word_hashes(data, starts, ends)
     h[h == PAD] = np.uint64(1)
     bounds = first + np.arange(len(first))
     out = np.full(bounds[-1], PAD, np.uint64)
@@ -82,7 +85,7 @@ class Walk:
     @staticmethod
     def key(before: np.ndarray | None, out: np.ndarray) -> np.ndarray:
         """Of the outputs sampled so far; words are hashes, so the first is a key itself."""
-        return out if before is None else mix(before * np.uint64(0x9E3779B97F4A7C15) + out)
+        return out if before is None else chained(before, out)
 
     def keys(self, sym: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
         """After each sample, the key so far."""
@@ -107,8 +110,11 @@ class Index:
     def __init__(self, ids: list, sequences: list[np.ndarray], p: DecontaminationParams):
         self.p, self.ids, self.sequences = p, ids, sequences
         classes: dict[int, list[tuple[int, int, int]]] = {}  # pieces: item, from, to
+        short: dict[int, list[int]] = {}
         for i, s in enumerate(sequences):
-            if len(s) >= p.min_words:
+            if 0 < len(s) < p.min_words:
+                short.setdefault(len(s), []).append(i)
+            elif len(s):
                 edges = np.linspace(0, len(s), max(1, len(s) // p.piece) + 1).astype(int).tolist()
                 for a, b in zip(edges, edges[1:]):
                     classes.setdefault(1 << ((b - a).bit_length() - 1), []).append((i, a, b))
@@ -123,6 +129,34 @@ class Index:
                 order = np.argsort(keys[-1], kind="stable")
                 self.walks.append((w, [_few(k) for k in keys], keys[-1][order], origin[order]))
 
+        self.rows = []  # by length of short items: their hashes in order, and the items
+        for size, own in sorted(short.items()):
+            keys = self._row_keys(np.concatenate([sequences[i] for i in own]), size)[::size]
+            order = np.argsort(keys, kind="stable")
+            self.rows.append((size, keys[order], np.array(own)[order]))
+
+    @staticmethod
+    def _row_keys(sym: np.ndarray, size: int) -> np.ndarray:
+        """Of each row of size words."""
+        key = sym[: max(0, len(sym) - size + 1)].copy()
+        for k in range(1, size):
+            key = chained(key, sym[k : k + len(key)])
+        return key
+
+    def exact(self, sym: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item, end, 0) of the short items, at their first place in each document."""
+        out: dict[tuple[int, int], int] = {}
+        for size, keys, items in self.rows:
+            own = self._row_keys(sym, size)
+            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            at = np.flatnonzero(hi > lo)
+            doc = np.searchsorted(bounds, at, "right") - 1
+            for a, d in zip(at.tolist(), doc.tolist()):
+                for i in items[lo[a] : hi[a]].tolist():
+                    if (d, i) not in out and np.array_equal(sym[a : a + size], self.sequences[i]):
+                        out[d, i] = a + size - int(bounds[d])
+        return [(d, i, end, 0) for (d, i), end in out.items()]
+
     @staticmethod
     def _joined(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         begin = np.cumsum([0, *(len(s) + 1 for s in sequences)])
@@ -221,7 +255,7 @@ def verify(index: Index, sym: np.ndarray, bounds: np.ndarray, starts: np.ndarray
         m = len(seq)
         most = int(m * (1 - index.p.similarity) + 1e-9)
         if (d, i) in found and found[d, i][0] == 0:
-            continue
+            continue  # starts come in order, so no place as near is earlier
         if (d, i) in done and done[d, i] >= s:
             continue
         lo, hi = max(int(bounds[d]), s - 2 * most - 1), min(int(bounds[d + 1]) - 1, s + m + 2 * most + 1)
@@ -230,9 +264,10 @@ def verify(index: Index, sym: np.ndarray, bounds: np.ndarray, starts: np.ndarray
             continue
         distance, end = least_distance(seq.tolist(), passage.tolist())
         done[d, i] = s + most
-        if distance <= most and (distance, lo + end) < found.get((d, i), (m, 0)):
-            found[d, i] = (distance, lo + end - int(bounds[d]))
-    return [(d, i, end, distance) for (d, i), (distance, end) in sorted(found.items())]
+        end += lo - int(bounds[d])
+        if distance <= most and (distance, end) < found.get((d, i), (m, 0)):
+            found[d, i] = (distance, end)
+    return sorted([(d, i, end, distance) for (d, i), (distance, end) in found.items()] + index.exact(sym, bounds))
 
 
 def _indexes(benchmark: DataFrame, p: DecontaminationParams, text: str, id: str):
@@ -259,7 +294,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams |
     """doc id, item id, end_word, distance and similarity: each item near a passage of each document, at its nearest passage."""
     p = params or DecontaminationParams()
     schema = T.StructType([docs.schema[id], benchmark.schema[item], *(T.StructField(k, t) for k, t in (("end_word", T.LongType()), ("distance", T.LongType()), ("item_words", T.LongType()), ("similarity", T.DoubleType())))])
-    out = None
+    out, kind = None, arrow_type(benchmark.schema, item)
     for index in _indexes(benchmark, p, text, item):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -275,8 +310,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams |
                         names=[f.name for f in schema],
                     )
 
-        kind = pa.int64() if isinstance(benchmark.schema[item].dataType, T.LongType) else pa.int32() if isinstance(benchmark.schema[item].dataType, T.IntegerType) else pa.string()
-        got = small_batches(docs.select(id, text)).mapInArrow(run, schema)
+        got = mapped(docs.select(id, text), run, schema)
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -294,5 +328,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, params: Decontaminati
                 keep[[r[0] for r in _search(b, sent.value, text)]] = False
                 yield pa.RecordBatch.from_arrays(b.columns, names=columns).filter(pa.array(keep))
 
-        docs = small_batches(docs).mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs
