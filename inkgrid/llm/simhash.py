@@ -7,15 +7,21 @@ estimated from a bounded sample; partitions' number and sizes are chosen the sam
 into its bucket of each partition, probes the buckets within the partition's threshold, and candidates are verified on
 all bits. The sample decides the cost only, never the result.
 
-Copies share a fingerprint and are one candidate. A bucket is searched in blocks, block against block, and gives a
-spanning forest of the links found, not the pairs. Components follow from alternating large-star and small-star rounds.
+Copies share a fingerprint and are one candidate. A bucket's homes (the fingerprints that lie in it) and its probers are dealt
+into blocks, as many as their numbers ask for, and each block of homes meets each block of probers in one task, so neither a
+hot bucket nor one beside it is held whole. Blocks give a spanning forest of the links found, not the pairs. Components follow from
+alternating large-star and small-star rounds.
 
 Null and empty texts have fingerprint zero and link like any other. A component's id is its smallest document id;
-null ids are larger than any other, and a component of null ids alone has a null id. Repeated rows get a row each.
+null ids are larger than any other, and a component of null ids alone has a null id. Repeated rows, and rows that share an id but not
+the text, get a row each. Empty tables give empty tables; other columns are not read by ``near_duplicates`` and pass unchanged
+through ``one_of_each``, whatever their names. Long texts are hashed a part at a time.
 
 With ``similarity`` set, fingerprints give candidates only: two texts link if the Jaccard similarity of their sets of
 shingles (as 64-bit hashes) reaches it, whatever their distance up to ``distance``. Texts whose fingerprints are within
 ``first_distance`` are verified first and joined, so a group of near copies doesn't make a candidate of each of its pairs.
+Candidates whose sizes, or whose ``low`` smallest shingles, rule the similarity out are not verified: of the ``low`` smallest
+shingles of two sets of similarity 0.8 about 0.8 are in both, and 0.375 are asked for.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of, discard, materialise, small_batches, texts
+from .common import column_of, discard, mapped, materialise, mix, texts
 
 
 @dataclass(frozen=True)
@@ -41,12 +47,14 @@ class SimHashParams:
     seed: int = 42
     distance: int = 4
     sample: int = 2048
-    probe_cost: float = 1.0
-    candidate_cost: float = 0.15
-    block: int = 2048
+    probe_cost: float = 1.0  # of a row that is shuffled, against that of a pair of fingerprints compared within a block
+    candidate_cost: float = 0.0015
+    block: int = 4096
+    max_listed: int = 500_000
     max_rounds: int = 60
     similarity: float | None = None
     first_distance: int = 6
+    low: int = 32
 
 
 def hashes(text: bytes, p: SimHashParams) -> Iterator[np.ndarray]:
@@ -87,7 +95,7 @@ def fingerprints(docs: DataFrame, params: SimHashParams | None = None, text: str
             fp = np.array([fingerprint(x, p) for x in texts(column_of(b, text))], np.uint64)
             yield pa.RecordBatch.from_arrays([column_of(b, id), pa.array(fp.view(np.int64), pa.int64())], names=[id, "fp"])
 
-    return small_batches(docs.select(id, text)).mapInArrow(run, T.StructType([docs.schema[id], T.StructField("fp", T.LongType())]))
+    return mapped(docs.select(id, text), run, T.StructType([docs.schema[id], T.StructField("fp", T.LongType())]))
 
 
 @dataclass(frozen=True)
@@ -139,7 +147,7 @@ def plan(sample: np.ndarray, n: int, p: SimHashParams) -> Plan:
             apart = np.round((len(g) - signs @ signs.T) / 2)
             pairs = apart[~np.eye(len(apart), dtype=bool)]
             row = [0.0]
-            for t in range(min(3, p.distance) + 1):
+            for t in range(min(4, p.distance) + 1):
                 probes = sum(comb(len(g), k) for k in range(t + 1))
                 share = max(float((pairs <= t).mean()) if len(pairs) else 0.0, probes / 2.0 ** len(g))
                 row.append(p.probe_cost * (probes + 1) + p.candidate_cost * n * share)
@@ -150,151 +158,182 @@ def plan(sample: np.ndarray, n: int, p: SimHashParams) -> Plan:
     return Plan(best[1], best[2])
 
 
-def _extract(fp: np.ndarray, mask: int) -> np.ndarray:
-    return fp & np.uint64(mask)
+def _tables(made: Plan) -> list[tuple[int, int, np.ndarray]]:
+    """(partition, its bits, flips of them within its threshold, none first)."""
+    return [(i, sum(1 << b for b in group), np.array([sum(1 << b for b in c) for k in range(t + 1) for c in combinations(group, k)], np.uint64)) for i, (group, t) in enumerate(zip(made.partitions, made.thresholds)) if t >= 0]
 
 
-def _probes(distinct: DataFrame, made: Plan, homes_only: bool = False) -> DataFrame:
-    """(part, key, fp, home): each fingerprint's own bucket (home) and the buckets within the threshold."""
-    tables = []
-    for i, (group, t) in enumerate(zip(made.partitions, made.thresholds)):
-        if t >= 0:
-            flips = [sum(1 << b for b in c) for k in range(1 if homes_only else t + 1) for c in combinations(group, k)]
-            tables.append((i, sum(1 << b for b in group), np.array(flips, np.uint64)))
-
-    def run(batches):
+@dataclass(frozen=True)
+class Grid:
+    """Blocks of homes and of probers by bucket: a number for each partition, and those of the buckets listed (sorted by key)."""
+
+    usual: dict[int, tuple[int, int]]
+    listed: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    def of(self, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = [np.full(len(keys), n, np.int64) for n in self.usual[part]]
+        if part in self.listed:
+            known, *blocks = self.listed[part]
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            for o, n in zip(out, blocks):
+                o[hit] = n[at[hit]]
+        return out[0], out[1]
+
+
+def _grid(distinct: DataFrame, made: Plan, n: int, p: SimHashParams) -> Grid:
+    """Buckets with more homes or probers than their partition's mean explains are listed, at most max_listed of them."""
+    tables, usual, listed = _tables(made), {}, {}
+    size = {i: (n / 2.0 ** mask.bit_count(), n * len(flips) / 2.0 ** mask.bit_count()) for i, mask, flips in tables}
+    for i, means in size.items():
+        usual[i] = tuple(max(1, -int(-m // p.block)) for m in means)
+
+    def homes(batches):
         for b in batches:
             fps = column_of(b, "fp").to_numpy().view(np.uint64)
-            for a in range(0, len(fps), 2000):
-                fp = fps[a : a + 2000]
-                for i, mask, flips in tables:
-                    keys = (_extract(fp, mask)[:, None] ^ flips[None, :]).ravel()
-                    home = np.zeros((len(fp), len(flips)), bool)
-                    home[:, 0] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int8)), pa.array(keys.view(np.int64)), pa.array(np.repeat(fp, len(flips)).view(np.int64)), pa.array(home.ravel())], names=["part", "key", "fp", "home"])
-
-    return distinct.select("fp").mapInArrow(run, "part byte, key long, fp long, home boolean")
-
-
-class Forest:
-    """Union-find over the fingerprints of a block pair."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+            for i, mask, _ in tables:
+                keys, counts = np.unique(fps & np.uint64(mask), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["part", "key", "n"])
 
+    def spread(batches):
+        of = {i: flips for i, _, flips in tables}
+        for b in batches:
+            part, key, count = (column_of(b, k).to_numpy() for k in ("part", "key", "n"))
+            for i in np.unique(part).tolist():
+                own = part == i
+                keys = (key[own].view(np.uint64)[:, None] ^ of[i][None, :]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.repeat(count[own], len(of[i])))], names=["part", "key", "n"])
+
+    # few buckets can pass a block without a neighbour, or themselves, that has its share of one
+    share = F.lit(0)
+    for i, _, flips in tables:
+        share = F.when(F.col("part") == i, F.lit(max(1, p.block // len(flips)))).otherwise(share)
+    full = materialise(mapped(distinct.select("fp"), homes, "part int, key long, n long").groupBy("part", "key").agg(F.sum("n").alias("n")).where(F.col("n") > share), "full-buckets")
+    near = mapped(full, spread, "part int, key long, n long").groupBy("part", "key").agg(F.sum("n").alias("q"))
+    both = near.join(full, ["part", "key"], "left").select("part", "key", F.coalesce("n", F.lit(0)).alias("h"), "q")
+    more = F.lit(False)
+    for i, (h, q) in usual.items():
+        more = more | ((F.col("part") == i) & ((F.col("h") > 2 * h * p.block) | (F.col("q") > 2 * q * p.block)))
+    rows = both.where(more).select("part", "key", "h", "q", F.greatest("h", "q").alias("m"))
+    found = rows.orderBy(F.desc("m"), "part", "key").limit(p.max_listed).toArrow()  # 28 bytes a row, so a few MB at most
+    discard(full)
+    part, key, h, q = (found[k].to_numpy() for k in ("part", "key", "h", "q"))
+    for i in np.unique(part).tolist():
+        own = np.flatnonzero(part == i)
+        own = own[np.argsort(key[own].view(np.uint64))]
+        blocks = (np.maximum(1, -(-(v[own] + p.block) // p.block)) for v in (h, q))
+        listed[i] = (key[own].view(np.uint64), *blocks)
+    return Grid(usual, listed)
+
+
+HOME, PROBER, BOTH = 0, 1, 2
+
+
+def _messages(distinct: DataFrame, made: Plan, grid: Grid, width: int) -> DataFrame:
+    """(part, key, a, b, role, held): fingerprints for a pair of blocks of a bucket, as many in a row as a batch has; held is rows of width words."""
+    tables = _tables(made)
 
-def block_links(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two arrays of fingerprints."""
-    forest, out = Forest(), []
+    def run(batches):
+        for b in batches:
+            rows = np.stack([column_of(b, k).to_numpy().view(np.uint64) for k in ("fp", "group")[:width]], 1)
+            for i, mask, flips in tables:
+                for lo in range(0, len(rows), max(1, (1 << 19) // len(flips))):
+                    part = rows[lo : lo + max(1, (1 << 19) // len(flips))]
+                    yield message(i, part, (part[:, 0] & np.uint64(mask))[:, None] ^ flips[None, :])
+
+    def message(i: int, rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        who = np.repeat(np.arange(len(rows)), keys.shape[1])
+        home = np.zeros(keys.shape, bool)
+        home[:, 0] = True
+        home, keys = home.ravel(), keys.ravel()
+        deal = mix(rows[:, 0].copy())[who]
+        of_homes, of_probers = grid.of(i, keys)
+        a, b = (deal % of_homes.astype(np.uint64)).astype(np.int64), ((deal >> np.uint64(32)) % of_probers.astype(np.uint64)).astype(np.int64)
+        one = (of_homes == 1) & (of_probers == 1)
+        # probers go to every block of homes; homes that are dealt go to every block of probers, beside what they do as probers
+        sent, times = np.arange(len(keys)), np.where(one, 1, of_homes)
+        at = np.repeat(sent, times)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        role = np.where(one[at] & home[at], BOTH, PROBER)
+        x, y = np.where(one[at], 0, step), b[at]
+        own = np.flatnonzero(home & ~one)
+        again = np.repeat(own, of_probers[own])
+        step = np.arange(len(again)) - np.repeat(np.cumsum(of_probers[own]) - of_probers[own], of_probers[own])
+        at, role, x, y = np.concatenate([at, again]), np.concatenate([role, np.full(len(again), HOME)]), np.concatenate([x, a[again]]), np.concatenate([y, step])
+        order = np.lexsort((role, y, x, keys[at]))
+        at, role, x, y = at[order], role[order], x[order], y[order]
+        key = keys[at]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (role[1:] != role[:-1])]))
+        data = np.ascontiguousarray(rows[who[at]])
+        offsets = (np.append(new, len(at)) * 8 * width).astype(np.int64)
+        held = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(new), i, np.int32)), pa.array(key[new].view(np.int64)), pa.array(x[new].astype(np.int32)), pa.array(y[new].astype(np.int32)), pa.array(role[new].astype(np.int32)), held], names=["part", "key", "a", "b", "role", "held"])
+
+    return mapped(distinct.select(*("fp", "group")[:width]), run, "part int, key long, a int, b int, role int, held binary")
+
+
+def forest_links(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Rows (smaller, larger) of a spanning forest of the links between two arrays of fingerprints."""
+    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    of_a, of_b = inverse[: len(a)], inverse[len(a) :]
+    label, out = np.arange(len(nodes)), []
     for k in range(0, len(a), 256):
         near = np.bitwise_count(a[k : k + 256, None] ^ b[None, :]) <= distance
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-            x, y = int(a[k + i]), int(b[j])
-            if x != y and forest.join(x, y):
-                out.append((x, y))
-    return out
-
-
-def block_pairs(a: np.ndarray, b: np.ndarray, distance: int, group: dict[int, int]) -> Iterator[np.ndarray]:
-    """All links between two arrays of fingerprints of different groups, as rows of two."""
-    of_a, of_b = (np.array([group[f] for f in x.tolist()], np.int64) for x in (a, b))
+        for i in np.flatnonzero(near.any(1)).tolist():
+            own, others = of_a[k + i], of_b[near[i]]
+            found, first = np.unique(label[others], return_index=True)
+            joined = found != label[own]
+            if joined.any():
+                out.append(np.stack([np.full(int(joined.sum()), nodes[own]), nodes[others[first[joined]]]], 1))
+                together = np.zeros(len(nodes), bool)
+                together[found] = together[label[own]] = True
+                label[together[label]] = label[own]
+    return np.sort(np.concatenate(out), 1) if out else np.zeros((0, 2), np.uint64)
+
+
+def pair_links(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+    """All links between two arrays of (fingerprint, group) of different groups, as rows (smaller, larger)."""
     for k in range(0, len(a), 256):
-        i, j = np.nonzero((np.bitwise_count(a[k : k + 256, None] ^ b[None, :]) <= distance) & (of_a[k : k + 256, None] != of_b[None, :]))
+        x = a[k : k + 256]
+        i, j = np.nonzero((np.bitwise_count(x[:, None, 0] ^ b[None, :, 0]) <= distance) & (x[:, None, 1] != b[None, :, 1]))
         if len(i):
-            yield np.stack([a[k + i], b[j]], 1)
+            yield np.unique(np.sort(np.stack([x[i, 0], b[j, 0]], 1), 1), axis=0)
 
 
-def links(distinct: DataFrame, made: Plan, params: SimHashParams | None = None, every_pair: bool = False) -> DataFrame:
-    """src and dst: links between different fingerprints that connect all that link.
+def links(distinct: DataFrame, made: Plan, n: int, params: SimHashParams | None = None, every_pair: bool = False) -> DataFrame:
+    """src and dst: links between the n different fingerprints that connect all that link.
 
     With every_pair, distinct has a column group too, and all links between fingerprints of different groups are given.
-
-    A bucket's rows are dealt into blocks by hash; a block of homes meets each block of probers in one task, so a
-    bucket of any size is spread over many tasks.
     """
     p = params or SimHashParams()
-    rows = _probes(distinct, made)
-    if every_pair:
-        rows = rows.join(distinct.select("fp", "group"), "fp").select("part", "key", "fp", "home", "group")
-    more = ["group"] if every_pair else []
-    sizes = _probes(distinct, made, True).groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > p.block)
-    large = materialise(sizes.withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int")).select("part", "key", "blocks"), "large-buckets")
-    if large.limit(1).count():
-        rows = rows.join(large, ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
-        every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        # homes stay in their block; probers visit every block of the bucket, dealt to as many groups of their own
-        rows = rows.select("part", "key", "fp", "home", *more, F.explode(F.when(F.col("home"), F.transform(every, lambda v: F.struct(own.alias("a"), v.alias("b")))).otherwise(F.transform(every, lambda v: F.struct(v.alias("a"), own.alias("b"))))).alias("x"))
-        twice = rows.where("home").select("part", "key", "fp", F.lit(False).alias("home"), *more, F.struct(F.col("x.b").alias("a"), F.col("x.a").alias("b")).alias("x"))
-        rows = rows.unionByName(twice).select("part", "key", "x.a", "x.b", "fp", "home", *more)
-    else:
-        rows = rows.select("part", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp", "home", *more)
+    width = 2 if every_pair else 1
+    rows = _messages(distinct, made, _grid(distinct, made, n, p), width)
     dealt = rows.repartition("part", "key", "a", "b").sortWithinPartitions("part", "key", "a", "b")
-    return dealt.mapInArrow(lambda batches: _search(batches, p.distance), "src long, dst long").distinct()
+    return mapped(dealt, lambda batches: _search(batches, p.distance, width), "src long, dst long").distinct()
+
+
+def _search(batches, distance: int, width: int):
+    """Rows come sorted by pair of blocks, each of a bounded size."""
+    now, homes, probers = None, [], []
 
+    def found():
+        if not homes or not probers or len(homes) == len(probers) == 1 and homes[0] == probers[0] and len(homes[0]) == 8 * width:
+            return
+        h, q = (np.unique(np.frombuffer(b"".join(x), np.uint64).reshape(-1, width), axis=0) for x in (homes, probers))
+        for part in pair_links(h, q, distance) if width == 2 else [forest_links(h[:, 0], q[:, 0], distance)]:
+            if len(part):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, k]).view(np.int64)) for k in (0, 1)], names=["src", "dst"])
 
-def _search(batches, distance: int):
-    """Rows come sorted by bucket; buckets of one row give nothing."""
-    held: pa.Table | None = None
     for b in batches:
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        key = [held[k].to_numpy() for k in ("part", "key", "a", "b")]
-        n = len(held)
-        last = n - 1
-        whole = np.flatnonzero(np.any([k != k[last] for k in key], axis=0))
-        cut = int(whole[-1]) + 1 if len(whole) else 0
-        if cut:
-            yield from _found(held.slice(0, cut), distance)
-            held = held.slice(cut).combine_chunks()
-    if held is not None and len(held):
-        yield from _found(held, distance)
-
-
-def _found(t: pa.Table, distance: int):
-    key = [t[k].to_numpy() for k in ("part", "key", "a", "b")]
-    fp, home = t["fp"].to_numpy().view(np.uint64), t["home"].to_numpy(zero_copy_only=False)
-    group = t["group"].to_numpy() if "group" in t.column_names else None
-    change = np.any([k[1:] != k[:-1] for k in key], axis=0) if len(fp) > 1 else np.zeros(0, bool)
-    bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [len(fp)]])
-    size = np.diff(bounds)
-    homes = np.add.reduceat(home.astype(np.int64), bounds[:-1])
-    out: list[tuple[int, int]] = []
-    # buckets of two rows, the usual case, all at once
-    two = np.flatnonzero((size == 2) & (homes > 0))
-    x, y = fp[bounds[two]], fp[bounds[two] + 1]
-    ok = (np.bitwise_count(x ^ y) <= distance) & (x != y)
-    if group is not None:
-        ok &= group[bounds[two]] != group[bounds[two] + 1]
-    src, dst = np.minimum(x, y)[ok], np.maximum(x, y)[ok]
-    for g in np.flatnonzero((size > 2) & (homes > 0)).tolist():
-        rows = fp[bounds[g] : bounds[g + 1]]
-        h = home[bounds[g] : bounds[g + 1]]
-        if group is None:
-            out += block_links(np.unique(rows[h]), np.unique(rows), distance)
-            continue
-        for found in block_pairs(np.unique(rows[h]), np.unique(rows), distance, dict(zip(rows.tolist(), group[bounds[g] : bounds[g + 1]].tolist()))):
-            low, high = found.min(1), found.max(1)
-            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["src", "dst"])
-    if out:
-        more = np.array(out, np.uint64)
-        src, dst = np.concatenate([src, more.min(1)]), np.concatenate([dst, more.max(1)])
-    if len(src):
-        yield pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], names=["src", "dst"])
+        for key, role, held in zip(zip(*(column_of(b, k).to_pylist() for k in ("part", "key", "a", "b"))), column_of(b, "role").to_pylist(), column_of(b, "held").to_pylist()):
+            if key != now:
+                yield from found()
+                now, homes, probers = key, [], []
+            if role != PROBER:
+                homes.append(held)
+            if role != HOME:
+                probers.append(held)
+    yield from found()
 
 
 def components(edges: DataFrame, params: SimHashParams | None = None) -> DataFrame:
@@ -326,14 +365,21 @@ def components(edges: DataFrame, params: SimHashParams | None = None) -> DataFra
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _sample(distinct: DataFrame, p: SimHashParams) -> np.ndarray:
+    return distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(p.sample).toArrow()["fp"].to_numpy().view(np.uint64)
+
+
+def _hex(fp) -> F.Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def near_duplicates(docs: DataFrame, params: SimHashParams | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, fingerprint (hex) and component_id of every row."""
     p = params or SimHashParams()
     fps = materialise(fingerprints(docs, p, text, id), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min(id).alias("first")), "distinct")
     n = distinct.count()
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(p.sample).toArrow()["fp"].to_numpy().view(np.uint64)
-    edges = materialise(links(distinct, plan(sample, n, p), p), "links")
+    edges = materialise(links(distinct, plan(_sample(distinct, p), n, p), n, p), "links")
     if edges.limit(1).count():
         comp = materialise(components(edges, p), "components")
         members = distinct.join(comp, distinct["fp"] == comp["node"]).select("fp", "first", "root")
@@ -343,28 +389,30 @@ def near_duplicates(docs: DataFrame, params: SimHashParams | None = None, text:
     else:
         of = distinct.select(F.col("fp").alias("_fp"), F.col("first").alias("component_id"))
     joined = fps.join(of, fps["fp"] == of["_fp"])
-    return joined.select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined.select(id, _hex("fp").alias("fingerprint"), "component_id")
 
 
-def _signatures(docs: DataFrame, p: SimHashParams, text: str, id: str) -> DataFrame:
-    """id and text of every row, fp, n (the number of different shingles) and node (a hash of their set)."""
+def _signed(docs: DataFrame, p: SimHashParams, text: int) -> DataFrame:
+    """All columns of docs as c0, c1 and so on, a number of the row, its fingerprint, the number of its different shingles, the smallest of them, and node, a hash of their set."""
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id())
+    more = [T.StructField(k, T.LongType()) for k in ("fp", "n", "node")] + [T.StructField("low", T.ArrayType(T.LongType()))]
 
     def run(batches):
         for b in batches:
-            fps, sizes, nodes = [], [], []
-            for x in texts(column_of(b, text)):
+            fps, sizes, nodes, low = [], [], [], []
+            for x in texts(b.column(text)):
                 parts = list(hashes(x, p))
                 fps.append(majority(parts))
                 own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 sizes.append(len(own))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), p.seed))
-            yield pa.RecordBatch.from_arrays([column_of(b, id), column_of(b, text), *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fps, sizes, nodes))], names=[id, text, "fp", "n", "node"])
+                low.append(own[: p.low].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fps, sizes, nodes)), pa.array(low, pa.list_(pa.int64()))], names=[*b.schema.names, "fp", "n", "node", "low"])
 
-    longs = [T.StructField(k, T.LongType()) for k in ("fp", "n", "node")]
-    return small_batches(docs.select(id, text)).mapInArrow(run, T.StructType([docs.schema[id], docs.schema[text], *longs]))
+    return mapped(named, run, T.StructType([*named.schema.fields, *more]))
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, p: SimHashParams, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, signed: DataFrame, p: SimHashParams, text: str) -> DataFrame:
     """The pairs of nodes (src, dst) whose sets of shingles are similar enough."""
 
     def sets(batches):
@@ -381,55 +429,57 @@ def _verified(pairs: DataFrame, signed: DataFrame, p: SimHashParams, text: str)
                 ok.append(both >= p.similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([column_of(b, k) for k in ("src", "dst")], names=["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = materialise(pairs, "candidates")
+    a, b = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("low").alias(f"low_{k}")) for k in ("src", "dst"))
+    alike = F.size(F.array_intersect("low_src", "low_dst")) >= 0.375 * F.least("n_src", "n_dst", F.lit(p.low))
+    sized = F.least("n_src", "n_dst") >= p.similarity * F.greatest("n_src", "n_dst") - 1e-9
+    pairs = materialise(pairs.join(a, "src").join(b, "dst").where(sized & alike).select("src", "dst"), "candidates")
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    held = materialise(signed.join(wanted, "node", "left_semi").select("node", text).dropDuplicates(["node"]).mapInArrow(sets, "node long, held binary"), "shingles")
+    # one row of each node; its text is long, so the row is chosen by its number first
+    chosen = wanted.join(nodes, "node").select(F.col("first.row").alias("row"))
+    held = materialise(mapped(signed.join(chosen, "row", "left_semi").select("node", text), sets, "node long, held binary"), "shingles")
     a, b = (held.select(F.col("node").alias(k), F.col("held").alias(v)) for k, v in (("src", "a"), ("dst", "b")))
-    found = materialise(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(judge, "src long, dst long"), "verified")
+    found = materialise(mapped(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b"), judge, "src long, dst long"), "verified")
     discard(pairs)
     discard(held)
     return found
 
 
-def verified_duplicates(docs: DataFrame, params: SimHashParams, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id, fingerprint (hex) and component_id of every row; links are verified on the shingles."""
-    p = params
-    signed = materialise(_signatures(docs, p, text, id), "signatures")
-    nodes = materialise(signed.groupBy("node").agg(F.min(id).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
+def _verified_edges(signed: DataFrame, nodes: DataFrame, p: SimHashParams, text: str) -> DataFrame:
+    """Links between nodes that connect all that link."""
     heads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
-    count = heads.count()
-    sample = heads.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(p.sample).toArrow()["fp"].to_numpy().view(np.uint64)
-    sizes = nodes.select("node", "n")
-
-    def similar_sizes(pairs: DataFrame) -> DataFrame:
-        """Without pairs whose sizes alone rule the similarity out."""
-        a, b = (sizes.select(F.col("node").alias(k), F.col("n").alias(n)) for k, n in (("src", "n_a"), ("dst", "n_b")))
-        return pairs.join(a, "src").join(b, "dst").where(F.least("n_a", "n_b") >= p.similarity * F.greatest("n_a", "n_b") - 1e-9).select("src", "dst")
-
+    count, sample = heads.count(), _sample(heads, p)
     # a few links first: from node to node of one fingerprint, and between near fingerprints
     first = replace(p, distance=min(p.first_distance, p.distance))
-    near = links(heads, plan(sample, count, first), first)
+    near = links(heads, plan(sample, count, first), count, first)
     a, b = (heads.select(F.col("fp").alias(k), F.col("head").alias(v)) for k, v in (("src", "a"), ("dst", "b")))
     pairs = near.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     own = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst"))
-    edges = _verified(similar_sizes(pairs.unionByName(own)), signed, p, text)
+    edges = _verified(pairs.unionByName(own), nodes, signed, p, text)
     joined = materialise(components(edges, p), "joined")
     grouped = materialise(nodes.join(joined, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "grouped")
     # then all others, but none within what is joined already
     group = F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(F.col("fp"))
     distinct = materialise(grouped.groupBy("fp").agg(group.alias("group"), (F.min("root") != F.max("root")).alias("mixed")), "groups")
-    far = links(distinct, plan(sample, count, p), p, every_pair=True).unionByName(distinct.where("mixed").select(F.col("fp").alias("src"), F.col("fp").alias("dst")))
+    far = links(distinct, plan(sample, count, p), count, p, every_pair=True).unionByName(distinct.where("mixed").select(F.col("fp").alias("src"), F.col("fp").alias("dst")))
     a, b = (grouped.select(F.col("fp").alias(f), F.col("node").alias(k), F.col("root").alias(r)) for f, k, r in (("src", "x", "root_x"), ("dst", "y", "root_y")))
     pairs = far.join(a, "src").join(b, "dst").where("root_x <> root_y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
-    edges = edges.unionByName(_verified(similar_sizes(pairs), signed, p, text))
-    comp = materialise(components(edges, p), "components")
-    members = nodes.join(comp, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    of = members.join(members.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    return signed.join(of, "node").select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return edges.unionByName(_verified(pairs, nodes, signed, p, text))
 
 
 def one_of_each(docs: DataFrame, params: SimHashParams | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The documents with the smallest id of each component, once each, with all their columns; and those without an id."""
-    found = (verified_duplicates if params and params.similarity is not None else near_duplicates)(docs, params, text, id)
-    keep = found.where(F.col(id) == F.col("component_id")).select(id).distinct()
-    return docs.join(keep, id, "left_semi").dropDuplicates([id]).unionByName(docs.where(F.col(id).isNull())).select(*docs.columns)
+    """Of each component the row with the smallest id, with all its columns; of several rows with that id, one whose set of shingles has the smallest hash."""
+    p, names = params or SimHashParams(), docs.columns
+    key, place = f"c{names.index(id)}", f"c{names.index(text)}"
+    signed = materialise(_signed(docs, p, names.index(text)), "signatures")
+    node = F.col("node") if p.similarity is not None else F.col("fp")
+    first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("node").alias("node"), F.col("row").alias("row"))
+    nodes = materialise(signed.groupBy(node.alias("node")).agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("low").alias("low")), "nodes")
+    if p.similarity is not None:
+        edges = _verified_edges(signed, nodes, p, place)
+    else:
+        n = nodes.count()
+        edges = links(nodes, plan(_sample(nodes, p), n, p), n, p)
+    comp = materialise(components(edges, p), "components")
+    members = nodes.join(comp, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    keep = members.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return signed.join(keep, "row", "left_semi").select(*(F.col(f"c{i}") for i in range(len(names)))).toDF(*names)
