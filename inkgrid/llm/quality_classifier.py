@@ -5,8 +5,9 @@ rows at every run). Their hashed n-grams come from the executors; the updates ru
 sample. Scoring is one pass over all documents: hash, gather weights, sum. A document's features are its distinct
 hashed n-grams with sublinear counts, scaled to length one.
 
-Null and empty texts have no features and score the bias alone. Rows with a null id or label are not trained on; every
-row is scored. Without any labelled row the score is 0.5.
+Null and empty texts have no features and score the bias alone. Rows with a null id or label are not trained on; of rows
+that share an id the smallest text is, with the larger label. Every row is scored, repeated ones each. Without any labelled row the
+score is 0.5; empty tables give empty tables. Long texts make a chunk of their own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, column_of, lowered, mix, prefix_hashes, small_batches, span_hashes, utf8_view, word_spans
+from .common import chained, chunks, column_of, lowered, mapped, mix, utf8_view, word_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -40,13 +42,13 @@ def features(raw: np.ndarray, offs: np.ndarray, p: ClassifierParams) -> Iterator
     for i, j in chunks(offs):
         data, own = lowered(raw[offs[i] : offs[j]]), offs[i : j + 1] - offs[i]
         starts, ends, first = word_spans(data, own)
-        h = span_hashes(prefix_hashes(data), starts, ends)
+        h = word_hashes(data, starts, ends)
         doc = np.repeat(np.arange(j - i), np.diff(first))
         keys = []
         win = h.copy()
         for k in range(p.order):
             if k:
-                win = win[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[k:]
+                win = chained(win[:-1], h[k:])
             own_doc = doc[: len(win)] if len(win) else doc[:0]
             ok = own_doc == doc[k : k + len(win)]
             keys.append((own_doc[ok].astype(np.uint64) << np.uint64(32)) | (mix(win[ok] + np.uint64(k)) >> np.uint64(64 - p.bits)))
@@ -95,11 +97,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: ClassifierParams | None = No
         sample = sample.where(usable)
     sample = sample.groupBy(id).agg(F.max(label).cast("double").alias("_label")).withColumn("_order", F.xxhash64(F.col(id))).orderBy("_order", id).limit(p.max_training_rows)
     # the bound on the rows is max_training_rows, so the sample is small enough to broadcast at any size of the input
-    chosen = docs.select(id, text).join(F.broadcast(sample), id)
+    own = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    sample = sample.select(F.col(id).alias("_of"), "_label", "_order")
+    # a row an id, so that repeated ids don't multiply what comes to the driver
+    chosen = own.join(F.broadcast(sample), own["_id"] == sample["_of"]).groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_order").alias("_order"), F.min("_label").alias("_label"))
 
     def run(batches):
         for b in batches:
-            raw, offs = utf8_view(column_of(b, text))
+            raw, offs = utf8_view(column_of(b, "_text"))
             order, label_ = column_of(b, "_order"), column_of(b, "_label")
             for bounds, index, value, i, j in features(raw, offs, p):
                 yield pa.RecordBatch.from_arrays(
@@ -107,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ClassifierParams | None = No
                     names=["_order", "_label", "index", "value"],
                 )
 
-    got = small_batches(chosen.select("_order", "_label", text)).mapInArrow(run, "_order long, _label double, index binary, value binary").toArrow()
+    got = mapped(chosen.select("_order", "_label", "_text"), run, "_order long, _label double, index binary, value binary").toArrow()
     rows = sorted(zip(got["_order"].to_pylist(), got["_label"].to_pylist(), got["index"].to_pylist(), got["value"].to_pylist()))
     if not rows:
         return Model(np.zeros(1 << p.bits, np.float32), 0.0)
@@ -131,6 +136,4 @@ def scored(docs: DataFrame, model: Model, params: ClassifierParams | None = None
             s = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([column_of(b, id), pa.array(s, pa.float64()), pa.array((s >= p.threshold).astype(np.int32), pa.int32())], names=[id, "score", "predicted"])
 
-    from pyspark.sql import types as T
-
-    return small_batches(docs.select(id, text)).mapInArrow(run, T.StructType([kind, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return mapped(docs.select(id, text), run, T.StructType([kind, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
