@@ -3,15 +3,20 @@
 Headers (page, payload digest, size) are shuffled by digest; pages whose payload an earlier page has join its id and
 become revisit records; archives are written with fresh headers and read back by Content-Length. A record is text
 of headers and block, and Spark's text writer ends each with the two line breaks the format asks for, so any store
-that Spark writes to can hold the archives.
+that Spark writes to can hold the archives. Each begins with a warcinfo record; their number follows the bytes of the payloads, about
+``file_bytes`` each. The reader computes sizes and digests of responses from the payloads it reads and compares them with the headers;
+a revisit's stand in its headers only.
 
 Null html is an empty payload. Of equal payloads, all rows with the smallest page id are responses (a repeated row is
-the same record again); a null page id counts as larger than any other. Null URLs leave their header out.
+the same record again, with the same id); a null page id counts as larger than any other. Null URLs leave their header out. The pages of a
+shared payload are dealt over ``salts`` keys, so the empty payload or a common one is no hot key. An empty table gives no record. Other
+columns are not read, whatever their names. A payload over 2 GB can't be a value of the table.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_of, materialise, scratch_path, small_batches
+from .common import column_of, mapped, materialise, scratch_path
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -31,7 +36,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 class WarcParams:
     min_revisit_bytes: int = 0
     date: str = "2024-01-01T00:00:00Z"
-    records_per_file: int = 4000
+    file_bytes: int = 64 << 20
+    salts: int = 32
+    software: str = "inkgrid"
 
 
 def headers(pages: DataFrame, html: str = "html", id: str = "page_id") -> DataFrame:
@@ -45,8 +52,10 @@ def revisits(heads: DataFrame, params: WarcParams | None = None) -> DataFrame:
     heads = heads.where(F.col("size") >= p.min_revisit_bytes)
     shared = heads.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max(F.col("page_id").isNull()).alias("_null"), F.max("page_id").alias("_last"))
     shared = materialise(shared.where((F.col("_last") > F.col("refers_to")) | (F.col("_null") & F.col("refers_to").isNotNull())).select("digest", "refers_to"), "originals")
-    found = heads.select("page_id", "digest").join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    return found.distinct()
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    dealt = heads.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(p.salts)).cast("int").alias("salt"))
+    found = dealt.join(salted, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return found.select("page_id", "digest", "refers_to").distinct()
 
 
 def _field(s: str) -> str:
@@ -67,19 +76,34 @@ def record(page_id: int | None, url: str | None, payload: str, digest: str, refe
     return "\r\n".join(lines) + END + block
 
 
+def info(p: WarcParams, number: int) -> str:
+    block = f"software: {p.software}\r\nformat: WARC File Format 1.1\r\n"
+    return "\r\n".join(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{number}>", f"WARC-Date: {p.date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]) + END + block
+
+
 def write(pages: DataFrame, path: str, params: WarcParams | None = None, html: str = "html", url: str = "url", id: str = "page_id") -> None:
-    """One record a page; archives of at most records_per_file records."""
+    """A record a page, in archives of about file_bytes of payload."""
     p = params or WarcParams()
+    key = F.xxhash64("page_id", "digest").alias("_key")
     base = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    rev = revisits(headers(pages, html, id), p).withColumnsRenamed({"page_id": "_id", "digest": "_digest"})
-    joined = base.join(rev, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    heads = materialise(headers(pages, html, id), "headers")
+    n = max(1, -(-(heads.agg(F.sum("size").alias("b")).first()["b"] or 0) // p.file_bytes))
+    rev = revisits(heads, p).select(key, F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
+    # both sides dealt alike by the number of archives, so that payloads are shuffled once
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    joined = base.withColumn("_key", key).repartition(n, "_key").alias("b").join(rev.repartition(n, "_key").alias("r"), (F.col("b._key") == F.col("r._key")) & same, "left")
 
     def run(batches):
+        from pyspark import TaskContext
+
+        first = [info(p, TaskContext.get().partitionId())]
         for b in batches:
             rows = zip(*(column_of(b, k).to_pylist() for k in ("page_id", "url", "digest", "refers_to")), column_of(b, "html"))
-            yield pa.RecordBatch.from_arrays([pa.array([record(i, u, h.as_py(), base64.b32encode(bytes.fromhex(d)).decode(), r, p.date) for i, u, d, r, h in rows], pa.string())], names=["value"])
+            out = [record(i, u, h.as_py(), base64.b32encode(bytes.fromhex(d)).decode(), r, p.date) for i, u, d, r, h in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(first + out if out else out, pa.string())], names=["value"])
+            first = [] if out else first
 
-    small_batches(joined.select("page_id", "url", "digest", "refers_to", "html")).mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", p.records_per_file).text(path)
+    mapped(joined.select("page_id", "url", "digest", "refers_to", "html"), run, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 class Reader:
@@ -118,7 +142,7 @@ def _unzipped(data: bytes) -> Iterator[bytes]:
     """Of any number of gzip members, a piece at a time."""
     machine, view, at = zlib.decompressobj(31), memoryview(data), 0
     while at < len(view) or machine.unconsumed_tail:
-        piece = machine.unconsumed_tail or view[at : (at := at + (1 << 16))]
+        piece = machine.unconsumed_tail or view[at : (at := min(len(view), at + (1 << 16)))]
         got = machine.decompress(piece, 1 << 20)
         if got:
             yield got
@@ -141,13 +165,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for content in column_of(b, "content"):
                 rows = []
                 for fields, block in Reader(_unzipped(content.as_py())):
+                    if fields["warc-type"] == "warcinfo":
+                        continue
                     head, _, payload = block.partition(b"\r\n\r\n")
                     size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
                     kind = fields["warc-type"]
-                    if kind == "response" and size != len(payload):
-                        raise ValueError("a payload is cut short")
+                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                    if kind == "response":
+                        if size != len(payload):
+                            raise ValueError("a payload is cut short")
+                        own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                        if own != digest:
+                            raise ValueError("a payload doesn't have its digest")
                     refers = fields.get("warc-refers-to")
-                    rows.append((_page(fields["warc-record-id"]), fields.get("warc-target-uri"), payload.decode() if kind == "response" else None, size, fields["warc-payload-digest"].removeprefix("sha1:"), kind, _page(refers) if refers else None))
+                    rows.append((_page(fields["warc-record-id"]), fields.get("warc-target-uri"), payload.decode() if kind == "response" else None, size, digest, kind, _page(refers) if refers else None))
                     if len(rows) == 500:
                         yield _rows(rows)
                         rows = []
@@ -159,7 +190,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(run, "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(files.select("content"), run, "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, params: WarcParams | None = None, html: str = "html", url: str = "url", id: str = "page_id") -> DataFrame:
