@@ -307,42 +307,53 @@ def test_decontamination_recall_of_long_items():
         decontaminate.Index([0], seqs[:1], decontaminate.DecontaminationParams(max_repeats=1))
 
 
-def test_language_model_is_brute_force(spark, docs, none):
+@pytest.mark.parametrize("order, piece", [(3, 2048), (3, 7), (2, 50)])
+def test_language_model_is_brute_force(spark, docs, none, order, piece):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in documents()}
     rem = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
-    p = language_model.LMParams(block_bytes=3000)
+    p = language_model.LMParams(order=order, piece=piece, block_bytes=3000)
     got = {r["doc_id"]: r for r in language_model.scored(docs, rem != 2, p).collect()}
-    tok = {i: [*words(t), None] for i, t in documents()}
-    uni, bi = Counter(), Counter()
+    tok = {i: ["S", *words(t), None] for i, t in documents()}
+    seen = Counter()
     for i, t in tok.items():
         if i is not None and not held[i]:
-            uni.update(t)
-            bi.update(zip(["S", *t[:-1]], t))
-            uni["S"] += 1
-    n, v = sum(c for w, c in uni.items() if w != "S"), len(uni) - 1
+            seen.update(tuple(t[a:b]) for b in range(1, len(t) + 1) for a in range(max(0, b - order), b))
+    n, v = sum(c for g, c in seen.items() if len(g) == 1 and g != ("S",)), sum(len(g) == 1 for g in seen) - 1
+
+    def prob(g):
+        if len(g) == 1:
+            return (seen[g] - p.discount) / n if seen[g] else p.discount * v / n
+        return (seen[g] + p.prior * prob(g[1:])) / (seen[g[:-1]] + p.prior) if seen[g[:-1]] else prob(g[1:])
+
     for i, t in tok.items():
-        score = 0.0
-        for h, w in zip(["S", *t[:-1]], t):
-            q = (uni[w] - p.discount) / n if uni[w] else p.discount * v / n
-            score += math.log10((bi[h, w] + p.prior * q) / (uni[h] + p.prior) if uni[h] else q)
-        base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t)
+        score = sum(math.log10(prob(tuple(t[max(0, k - order + 1) : k + 1]))) for k in range(1, len(t)))
+        base = sum(math.log10((seen[(w,)] + 1) / (n + v + 1)) for w in t[1:])
         r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(uni[w] > 0 for w in t), n)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t) - 1, sum(seen[(w,)] > 0 for w in t[1:]), n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9, abs=1e-9) and r["score"] == pytest.approx(score, rel=1e-9, abs=1e-9)
-    assert language_model.scored(none, F.lit(True)).count() == 0
-    assert language_model.scored(docs, F.lit(False), p).where("score <> 0").count() == 0
+    if piece == 7:
+        assert language_model.scored(none, F.lit(True)).count() == 0
+        assert language_model.scored(docs, F.lit(False), p).where("score <> 0").count() == 0
 
 
 def test_language_model_sums_to_one():
     g = language_model.Grams(*common.utf8_view(pa.array([prose(1, 60)])), 3)
-    use = np.ones(1, bool)
-    counts = [g.counts(k, use) for k in range(3)]
+    counts = [g.counts(k, np.ones(1, bool)) for k in range(3)]
     real = g.keys[0] != language_model.START
     tokens, types = int(counts[0][real].sum()), int((counts[0][real] > 0).sum())
-    p = language_model.LMParams(order=3)
-    probs = (counts[0][real] - p.discount) / tokens
-    assert probs.sum() + p.discount * types / tokens == pytest.approx(1)
-    assert np.isfinite(language_model.Automaton(g, counts, tokens, types, p).weights()).all()
+    a = language_model.Automaton(g, counts, tokens, types, language_model.LMParams())
+    for state in [0, a.start, *range(1, len(a.suffix), 7)]:
+        weight, after = a.step(np.full(int(real.sum()), state), np.flatnonzero(real))
+        unknown, _ = a.step(np.array([state]), np.array([len(real) + 5]))
+        assert (10**weight).sum() + 10 ** unknown[0] == pytest.approx(1) and after.max() < len(a.suffix)
+
+
+def test_packed_counts_and_keys():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 500):
+        keys, counts = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64)), r.choice([1, 2, 254, 255, 256, 1 << 40], n)
+        assert (language_model.unpacked(language_model.packed(keys)) == keys).all()
+        assert (language_model.unpacked_counts(language_model.packed_counts(counts), n) == counts).all()
 
 
 def test_quality_rules_are_brute_force(spark, docs, none):
@@ -399,6 +410,8 @@ def test_quality_classifier(spark, docs, none):
     more = quality_classifier.scored(docs, model).collect()
     assert len(more) == len(documents()) and all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.7) for x in more)
     assert quality_classifier.scored(none, model).count() == 0
+    twice = quality_classifier.fit(train.unionByName(train), labels.unionByName(labels), usable=F.col("doc_id") % 3 != 0)
+    assert np.allclose(twice.weights, model.weights) and twice.bias == pytest.approx(model.bias)
     blank = quality_classifier.fit(none, labels.limit(0))
     assert {x["score"] for x in quality_classifier.scored(docs, blank).collect()} == {0.5}
 
@@ -417,11 +430,101 @@ def test_html_extraction(spark):
     assert all(got[i]["text"] == want and got[i]["n_chars"] == len(want) for i in range(6))
     assert got[6]["text"] == "" and got[7]["text"] == "plain text" and got[8]["text"] == "" and "unclosed" in got[9]["text"]
     assert len({got[i]["path"] for i in range(6)}) == 1
-    shuffled = html_extract.extracted(pages, html_extract.ExtractParams(broadcast_hosts=0)).collect()
+    shuffled = html_extract.extracted(pages, html_extract.ExtractParams(broadcast_bytes=-1)).collect()
     assert {r["page_id"]: r["text"] for r in shuffled} == {i: r["text"] for i, r in got.items()}
     assert html_extract.extracted(pages.limit(0)).count() == 0
 
 
+ARTICLE = "<p>The first paragraph of the story is long enough to count as text.</p><p>Second one is here too, and it goes on for a bit.</p>"
+TEXT = "The first paragraph of the story is long enough to count as text.\n\nSecond one is here too, and it goes on for a bit."
+
+
+def main_text(source):
+    page = html_extract.Page(source, html_extract.ExtractParams())
+    return page.text(page.best())
+
+
+@pytest.mark.parametrize("source, want", [
+    *((f"<body><article>{ARTICLE}<div class='{c}'>Boiler</div></article>", TEXT) for c in "ad-container main-nav page-footer cookie-wrapper comment-body sponsored-content post-comments related-post story-promo pageFooter".split()),
+    (f"<article>{ARTICLE}<p>a <span hidden>X</span>b <span class='advert'>Y <span>z</span></span>c <a class=share>S</a> d</p></article>", TEXT + "\n\na b c d"),
+    (f"<html><head><title>t</title><body>{ARTICLE}", TEXT), (f"<head><meta charset=x>{ARTICLE}", TEXT), (f"<head><title>t</title>words {ARTICLE}", "words\n\n" + TEXT),
+    (f"<div class='related'><article><h1>A</h1>{ARTICLE}<div class='related'><p>no</p></div></article></div>", "A\n\n" + TEXT), (f"<nav><h1>Menu</h1></nav><div class='layout has-sidebar'>{ARTICLE}</div>", TEXT),
+    (f'<div class="x><p>inside</p><p class="y">text</p>{ARTICLE}</div>', "inside\n\ntext\n\n" + TEXT), (f"<div title='a>b' data-x=\"c<d\">{ARTICLE}</div>", TEXT),
+    ("<nav>only</nav><footer>f</footer>", ""), ("<p>1 < 2 and 3 > 2 &amp; a<b</p>", "1 < 2 and 3 > 2 & a<b"), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a\n\nb\n\nc\n\nd"), ("<!-- x", ""), ("<script>y", ""),
+])
+def test_html_of_odd_pages(source, want):
+    assert main_text(source) == want
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    for unit in ("<a ", "<div>", '<a b="', "<div></p><li>", "<div class=ad>", "<h1>", "<!--", "<p", "<span class=ad>"):
+        took = []
+        for n in (20_000, 160_000):
+            t = time.process_time()
+            main_text("<div class=related>" * 50 + unit * (n // len(unit)))
+            took.append(time.process_time() - t)
+        assert took[1] < 24 * took[0] + 0.3, unit
+
+
+def test_html_votes_decide_by_host(spark):
+    """Two hosts, each with its own layout; on some pages another container holds more text than the article."""
+    rows = []
+    for k in range(12):
+        chatter = "<p>" + "Chatter of the day fills this box with more words than the story has. " * (12 if k % 4 == 0 else 0) + "</p>"
+        rows.append((k, f"http://one.example/{k}", f"<body><div class=box{k}>{chatter}</div><div class='text-{k}'>{ARTICLE}<p>Number {k}.</p></div></body>"))
+        rows.append((100 + k, f"http://two.example/{k}", f"<body><table><tr><td class=left>{chatter}</td><td class=story>{ARTICLE}<p>Number {k}.</p></td></tr></table></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_extract.extracted(pages).collect()}
+    assert all(r["text"] == f"{TEXT}\n\nNumber {i % 100}." for i, r in got.items())
+    assert {r["path"].rsplit("/", 1)[1] for i, r in got.items() if i < 100} == {"div.text-0"} and {r["path"].rsplit("/", 1)[1] for i, r in got.items() if i >= 100} == {"td.story"}
+    alone = [main_text(h) for _, _, h in rows]
+    assert sum(not t.startswith("The first") for t in alone) == 6  # without votes these pages give the chatter
+    votes = {(r["host"], r["path"]): r["votes"] for r in html_extract.host_votes(pages).collect()}
+    brute = Counter()
+    for _, u, h in rows:
+        c = html_extract.Page(h, html_extract.ExtractParams()).candidates()
+        for path, score in c.items():
+            brute[url_filter.host_and_path(u)[0], path] += (score / max(c.values())) ** 2
+    assert votes == pytest.approx(dict(brute))
+
+
+def test_url_statistics_are_out_of_fold(spark):
+    r = random.Random(4)
+    rows = [(f"http://h{r.randrange(60)}.{r.choice(['a', 'b', 'c'])}.{r.choice(['com', 'org'])}/{k}", r.randrange(2)) for k in range(400)] + [(None, 1), ("odd", None), ("http://only.label/", None)]
+    p = url_filter.UrlParams(folds=4, trees=3)
+    model = url_filter.fit(spark.createDataFrame(rows, "url string, label int"), p)
+    named = [(url_filter.host_and_path(u)[0], y) for u, y in rows]
+    prior = np.mean([y for _, y in named if y is not None])
+    got = {x["host"]: x for x in model.hosts.collect()}
+    assert set(got) == {h for h, _ in named}
+    for host, x in got.items():
+        for k, names in ((0, ("suffix_rate", "suffix_rows")), (1, ("domain_rate", None))):
+            own = [y for h, y in named if y is not None and url_filter.suffixes(h)[k] == url_filter.suffixes(host)[k] and url_filter.fold_of(h, 4) != url_filter.fold_of(host, 4)]
+            assert x[names[0]] == pytest.approx((sum(own) + p.prior_rows * prior) / (len(own) + p.prior_rows))
+            assert names[1] is None or x[names[1]] == pytest.approx(math.log1p(len(own)))
+    pages = spark.createDataFrame([(k, u, "x") for k, (u, _) in enumerate(rows)], "page_id long, url string, fold string")
+    few = {x["page_id"]: x["block_probability"] for x in url_filter.judged(pages, model, p).collect()}
+    many = {x["page_id"]: x["block_probability"] for x in url_filter.judged(pages, model, url_filter.UrlParams(folds=4, trees=3, broadcast_bytes=-1)).collect()}
+    assert few == many and len(few) == len(rows)
+    none = url_filter.fit(spark.createDataFrame([], "url string, label int"))
+    assert {x["verdict"] for x in url_filter.judged(pages, none).where("rule is null").collect()} == {"allow"}
+
+
+def test_boosted_trees_are_brute_force():
+    r = np.random.default_rng(2)
+    x, y = np.round(r.normal(size=(80, 3)), 1), r.integers(0, 2, 80).astype(float)
+    p = url_filter.UrlParams(trees=1, depth=1, bins=100)
+    model = url_filter.BoostedTrees(p).fit(x, y)
+    q = y.mean()
+    best = max(((sum(y[s] - q) ** 2 / (s.sum() * q * (1 - q) + 1) + sum(y[~s] - q) ** 2 / ((~s).sum() * q * (1 - q) + 1), f, c) for f in range(3) for c in np.unique(x[:, f]) if 0 < (s := x[:, f] <= c).sum() < 80))
+    side = x[:, best[1]] <= best[2]
+    leaf = [p.rate * sum(y[s] - q) / (s.sum() * q * (1 - q) + 1) for s in (side, ~side)]
+    want = 1 / (1 + np.exp(-(math.log(q / (1 - q)) + np.where(side, *leaf))))
+    assert model.probability(x) == pytest.approx(want)
+
+
 def test_url_rules_and_trees(spark):
     cases = {
         "http://X.Example.COM/en/1?q": ("x.example.com", "/en/1", "example.com/en/", "block"), "https://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"), "http://a.net/es/x#f": ("a.net", "/es/x", "net/es/", "block"),
@@ -450,6 +553,20 @@ def test_warc_round_trip(spark):
         assert r["payload"] == (html if r["record_type"] == "response" else None)
     assert {r["record_type"] for r in warc.round_trip(pages, warc.WarcParams(min_revisit_bytes=10)).collect()} == {"response"}
     assert warc.round_trip(pages.limit(0)).count() == 0
+    many = {(r["page_id"], r["refers_to"]) for r in warc.round_trip(pages, warc.WarcParams(file_bytes=1000, salts=2)).collect()}
+    assert many == {(r["page_id"], r["refers_to"]) for r in got}
+
+
+def test_warc_reader_checks_digests(spark, tmp_path):
+    import gzip
+
+    good = warc.info(warc.WarcParams(), 0) + warc.END + warc.record(1, "http://a", "payload", base64.b32encode(hashlib.sha1(b"payload").digest()).decode(), None, "2024-01-01T00:00:00Z") + warc.END
+    for name, text in (("good", good), ("bad", good.replace("\r\n\r\npayload", "\r\n\r\npayloaD"))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.gz").write_bytes(gzip.compress(text[:300].encode()) + gzip.compress(text[300:].encode()))
+    assert [r["payload"] for r in warc.read(spark, str(tmp_path / "good")).collect()] == ["payload"]
+    with pytest.raises(Exception, match="digest"):
+        warc.read(spark, str(tmp_path / "bad")).collect()
 
 
 def test_pipeline_is_its_stages(spark, tmp_path):
