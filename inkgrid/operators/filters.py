@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["image_id", "channel"]
@@ -18,17 +19,31 @@ def kernel(sigma: float) -> list[tuple[int, float]]:
     return [(i - r, x / sum(w)) for i, x in enumerate(w)]
 
 
-def _reflected(j: Column, n: Column) -> Column:
-    m = F.when(j < 0, -j - 1).when(j >= n, 2 * n - j - 1).otherwise(j)
-    return F.greatest(F.least(m, n - 1), F.lit(0))
+def _taken(n: int, r: int) -> np.ndarray:
+    """Places that a line of n values is read at, r beyond each end: reflected once, then the end itself."""
+    at = np.arange(-r, n + r)
+    return np.clip(np.where(at < 0, -at - 1, np.where(at >= n, 2 * n - at - 1, at)), 0, n - 1)
 
 
 def _along(df: DataFrame, axis: str, other: str, value: str, taps: list[tuple[int, float]], keys: list[str]) -> DataFrame:
+    """Lines as arrays; a batch's lines of one length are a matrix, and each tap a shifted sum of it."""
     lines = df.groupBy(*keys, other).agg(F.transform(F.array_sort(F.collect_list(F.struct(axis, value))), lambda s: s[value]).alias("_a"))
-    n = F.size("_a")
-    at = lambda i, o: F.element_at(F.col("_a"), (_reflected(i + o, n) + 1).cast("int"))
-    smooth = F.transform(F.sequence(F.lit(0), n - 1), lambda i: sum((at(i, o) * w for o, w in taps[1:]), at(i, taps[0][0]) * taps[0][1]))
-    return lines.select(*keys, other, F.posexplode(smooth).alias(axis, value))
+    r = max(o for o, _ in taps)
+
+    def run(batches):
+        for b in batches:
+            column = b.column(b.schema.get_field_index("_a"))
+            values, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            out, size = np.empty(len(values)), np.diff(offsets)
+            for n in np.unique(size[size > 0]).tolist():
+                at = offsets[:-1][size == n][:, None] + np.arange(n)
+                padded = values[at][:, _taken(n, r)]
+                out[at] = sum(w * padded[:, r + o : r + o + n] for o, w in taps)
+            smooth = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays([*(c for c, k in zip(b.columns, b.schema.names) if k != "_a"), smooth], names=[*(k for k in b.schema.names if k != "_a"), "_a"])
+
+    return lines.mapInArrow(run, lines.schema).select(*keys, other, F.posexplode("_a").alias(axis, value))
 
 
 def gaussian(df: DataFrame, sigma: float, value: str = "d", keys: list[str] | None = None) -> DataFrame:
@@ -125,13 +140,24 @@ def stiffness(mask: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "removed", F.coalesce(2 * F.greatest(F.col("_p") / 3.0 - 0.5, F.lit(0.0)), F.lit(0.0)).alias("neck_px"))
 
 
-def auto_levels(df: DataFrame, low: float = 0.005, high: float = 0.995, value: str = "d", keys: list[str] | None = None) -> DataFrame:
-    """white and black points: exact ranks of the sorted values, (0, 1) where they meet."""
+def auto_levels(df: DataFrame, low: float = 0.005, high: float = 0.995, value: str = "d", keys: list[str] | None = None, bins: int = 4096) -> DataFrame:
+    """white and black points: exact ranks of the sorted values, (0, 1) where they meet.
+
+    Counts by bin, pre-aggregated, tell which bins hold the two ranks; only those bins' different values are put in order.
+    """
     keys = keys or [k for k in KEYS if k in df.columns]
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    ranked = df.select(*keys, value, F.row_number().over(w).alias("_r"), n.alias("_n"))
-    at = lambda p: F.max(F.when(F.col("_r") == F.round(p * (F.col("_n") - 1)) + 1, F.col(value)))
-    out = ranked.groupBy(*keys).agg(at(low).alias("_w"), at(high).alias("_b"))
+    part = F.floor(F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(1.0)) * bins).cast("int")
+    base = df.select(*keys, F.col(value).alias("_v"), part.alias("_bin"))
+    counts = base.groupBy(*keys, "_bin").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy("_bin"))
+    ranks = counts.select(*keys, "_bin", (upto - F.col("_k")).alias("_from"), upto.alias("_to"), F.sum("_k").over(Window.partitionBy(*keys)).alias("_n"))
+    rank = lambda p: F.round(p * (F.col("_n") - 1)) + 1
+    inside = lambda p: (rank(p) > F.col("_from")) & (rank(p) <= F.col("_to"))
+    wanted = ranks.where(inside(low) | inside(high))
+    own = base.join(wanted, [*keys, "_bin"]).groupBy(*keys, "_bin", "_from", "_n", "_v").agg(F.count("*").alias("_k"))
+    place = F.col("_from") + F.sum("_k").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
+    ordered = own.withColumn("_last", place).withColumn("_first", place - F.col("_k") + 1)
+    at = lambda p: F.max(F.when((rank(p) >= F.col("_first")) & (rank(p) <= F.col("_last")), F.col("_v")))
+    out = ordered.groupBy(*keys).agg(at(low).alias("_w"), at(high).alias("_b"))
     ok = F.col("_w") < F.col("_b")
     return out.select(*keys, F.when(ok, F.col("_w")).otherwise(0.0).alias("white"), F.when(ok, F.col("_b")).otherwise(1.0).alias("black"))

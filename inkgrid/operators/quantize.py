@@ -28,15 +28,19 @@ def seeds(cols: DataFrame, k: int) -> DataFrame:
     return at.where((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("n"))).select("image_id", "label", *LAB)
 
 
-def nearest(cols: DataFrame, centres: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and the label of the nearest centre of the same image, the first of equals.
+def nearest(cols: DataFrame, centres: DataFrame | list[tuple[int, float, float, float]], keep: list[str]) -> DataFrame:
+    """keep and the label of the nearest centre of the same image, the first of equals; a list holds centres for all images.
 
     An image has at most 256 centres: they are gathered into one row an image, so that the pair of colour and centre never becomes a row.
     """
-    few = centres.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", *LAB))).alias("_c"))
+    if isinstance(centres, list):
+        few = F.array(*(F.struct(F.lit(i).alias("label"), *(F.lit(float(v)).alias(k) for k, v in zip(LAB, lab))) for i, *lab in centres))
+        cols = cols.withColumn("_c", few)
+    else:
+        cols = cols.join(centres.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", *LAB))).alias("_c")), "image_id")
     far = lambda c: sum(((F.col(k) - c[k]) * (F.col(k) - c[k]) for k in LAB[1:]), (F.col("L") - c["L"]) * (F.col("L") - c["L"]))
     best = F.array_min(F.transform("_c", lambda c: F.struct(far(c).alias("d"), c["label"].alias("label"))))
-    return cols.join(few, "image_id").select("image_id", *keep, best["label"].alias("label"))
+    return cols.select("image_id", *keep, best["label"].alias("label"))
 
 
 def lloyd_step(cols: DataFrame, centres: DataFrame) -> DataFrame:

@@ -3,8 +3,6 @@ order was left open, the smallest label, cell or corner goes first."""
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,108 +58,120 @@ def merge_small(labels: np.ndarray, min_area: float) -> np.ndarray:
     h, w = labels.shape
     size = np.bincount(comp.ravel())
     cells = np.split(np.argsort(comp.ravel(), kind="stable"), np.cumsum(size)[:-1])
+    # places in a raster with a border, where the border belongs to no component
+    inner = lambda cell: (cell // w + 1) * (w + 2) + cell % w + 1
+    wide, around = np.pad(out, 1), np.pad(comp, 1, constant_values=-1).ravel()
+    flat = wide.ravel()
+    steps = np.array([dy * (w + 2) + dx for dx, dy in NEIGHBOURS])
     for c in sorted(np.flatnonzero(size < min_area).tolist(), key=lambda c: (size[c], c)):
-        votes: dict[int, int] = {}
-        for cell in cells[c].tolist():
-            y, x = divmod(cell, w)
-            for dx, dy in NEIGHBOURS:
-                u, v = x + dx, y + dy
-                if 0 <= u < w and 0 <= v < h and comp[v, u] != c:
-                    votes[int(out[v, u])] = votes.get(int(out[v, u]), 0) + 1
-        if votes:
-            out.ravel()[cells[c]] = min(votes, key=lambda k: (-votes[k], k))
-    return out
+        own = inner(cells[c])
+        near = (own[:, None] + steps).ravel()
+        near = near[(around[near] >= 0) & (around[near] != c)]
+        if len(near):
+            found, votes = np.unique(flat[near], return_counts=True)
+            flat[own] = found[votes.argmax()]
+    return wide[1:-1, 1:-1]
 
 
-def _gaps(keep: np.ndarray, anchored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps through cut cells from anchored material, and the cell each was reached from."""
-    h, w = keep.shape
-    far = np.iinfo(np.int32).max
-    dist, parent = np.full((h, w), far, np.int32), np.full((h, w), -1, np.int64)
-    front = []
-    for y, x in zip(*np.nonzero(~keep)):
-        for dx, dy in NEIGHBOURS:
-            u, v = x + dx, y + dy
-            if 0 <= u < w and 0 <= v < h and anchored[v, u]:
-                dist[y, x], parent[y, x] = 1, v * w + u
-                front.append((int(y), int(x)))
-                break
-    while front:
-        after = []
-        for y, x in front:
-            for dx, dy in NEIGHBOURS:
-                u, v = x + dx, y + dy
-                if 0 <= u < w and 0 <= v < h and not keep[v, u] and dist[v, u] == far:
-                    dist[v, u], parent[v, u] = dist[y, x] + 1, y * w + x
-                    after.append((v, u))
-        front = after
-    return dist, parent
-
-
-def carve(keep: np.ndarray, parent: np.ndarray, cell: int, width: float) -> None:
-    """Disks of the tab's width along the way back to the anchor, the material cell included."""
-    h, w = keep.shape
+class Gaps:
+    """Steps through cut cells from anchored material, and the cell each was reached from; kept up as material is anchored.
+
+    Places are those of a raster with a border of material that nothing is reached through.
+    """
+
+    FAR = np.iinfo(np.int32).max
+
+    def __init__(self, keep: np.ndarray):
+        self.w = keep.shape[1] + 2
+        self.keep = np.pad(keep, 1, constant_values=True).ravel()
+        self.dist, self.parent = np.full(len(self.keep), self.FAR, np.int32), np.full(len(self.keep), -1, np.int64)
+        self.steps = [dy * self.w + dx for dx, dy in NEIGHBOURS]
+
+    def anchor(self, front: np.ndarray) -> None:
+        """A wave from newly anchored places, as far as it is nearer than what was anchored before."""
+        d = 0
+        while len(front):
+            d, after = d + 1, []
+            for step in self.steps:
+                to = front + step
+                ok = ~self.keep[to] & (self.dist[to] > d)
+                to, first = np.unique(to[ok], return_index=True)
+                self.dist[to], self.parent[to] = d, front[ok][first]
+                after.append(to)
+            front = np.concatenate(after)
+
+
+def disk(width: float, row: int) -> np.ndarray:
+    """Places around one, in a raster of rows that long, that a tab of this width covers."""
     r2 = int((max(width, 1.0) / 2) ** 2)
     n = int(r2**0.5)
-    while cell >= 0:
-        y, x = divmod(cell, w)
-        for dy in range(-n, n + 1):
-            for dx in range(-n, n + 1):
-                if dx * dx + dy * dy <= r2 and 0 <= x + dx < w and 0 <= y + dy < h:
-                    keep[y + dy, x + dx] = True
-        cell = int(parent[y, x]) if parent[y, x] >= 0 else -1
+    dx, dy = np.meshgrid(np.arange(-n, n + 1), np.arange(-n, n + 1))
+    return np.stack([dx, dy], 2)[dx * dx + dy * dy <= r2]
+
+
+def carve(gaps: Gaps, cell: int, offsets: np.ndarray) -> np.ndarray:
+    """Places covered by disks along the way back to the anchor, the material cell included; inside the raster only."""
+    way = [cell]
+    while gaps.parent[way[-1]] >= 0:
+        way.append(int(gaps.parent[way[-1]]))
+    y, x = np.divmod(np.array(way), gaps.w)
+    x, y = (x[:, None] + offsets[:, 0]).ravel(), (y[:, None] + offsets[:, 1]).ravel()
+    ok = (x > 0) & (x < gaps.w - 1) & (y > 0) & (y < len(gaps.keep) // gaps.w - 1)
+    return np.unique(y[ok] * gaps.w + x[ok])
 
 
 def bridge(keep: np.ndarray, width: float) -> tuple[np.ndarray, list[str]]:
     """Ties every island to the frame by the shortest tabs, nearest island first; specks under 2 pixels are dropped."""
-    keep, h, w = keep.copy(), *keep.shape
+    h, w = keep.shape
     warnings: list[str] = []
     comp = components_of(keep.astype(int), keep)
-    islands, anchored = {}, np.zeros_like(keep)
-    for c in range(comp.max(initial=-1) + 1):
-        ys, xs = np.nonzero(comp == c)
+    n = comp.max(initial=-1) + 1
+    cells = np.split(np.argsort(comp.ravel(), kind="stable"), np.cumsum(np.bincount(comp.ravel() + 1, minlength=n + 1)))[1:-1]
+    keep, islands, frame = keep.copy(), {}, []
+    for c, own in enumerate(cells):
+        ys, xs = np.divmod(own, w)
         if ys.min() == 0 or xs.min() == 0 or ys.max() == h - 1 or xs.max() == w - 1:
-            anchored[ys, xs] = True
+            frame.append(c)
             continue
         span = max(np.ptp(xs), np.ptp(ys)) + 1
         if span < 2:
             keep[ys, xs] = False
             warnings.append(f"dropped speck at {xs[0]},{ys[0]}")
         else:
-            islands[c] = (ys, xs, span)
+            islands[c] = ((ys + 1) * (w + 2) + xs + 1, int(span))
+    gaps, around = Gaps(keep), np.pad(np.where(keep, comp, -1), 1, constant_values=-1).ravel()
+    places = lambda c: (cells[c] // w + 1) * (w + 2) + cells[c] % w + 1
+    if frame:
+        gaps.anchor(np.concatenate([places(c) for c in frame]))
+    offsets, steps = disk(width, w + 2), np.array(gaps.steps)
+    # places around each island, with the island's number
+    edge = {c: np.unique((own[:, None] + steps).ravel()) for c, (own, _) in islands.items()}
+    edge = {c: e[~gaps.keep[e]] for c, e in edge.items()}
     while islands:
-        dist, parent = _gaps(keep, anchored)
-        best = None
-        sites: dict[int, list[tuple[int, int]]] = {}
-        for c, (ys, xs, _) in islands.items():
-            own = set()
-            for y, x in zip(ys.tolist(), xs.tolist()):
-                for dx, dy in NEIGHBOURS:
-                    u, v = x + dx, y + dy
-                    if 0 <= u < w and 0 <= v < h and not keep[v, u] and dist[v, u] < np.iinfo(np.int32).max:
-                        own.add((int(dist[v, u]), v * w + u))
-                    elif 0 <= u < w and 0 <= v < h and anchored[v, u]:
-                        own.add((0, v * w + u))
-            sites[c] = sorted(own)
-            if own and (best is None or sites[c][0] < best[0]):
-                best = (sites[c][0], c)
-        if best is None:
+        who = np.repeat(list(islands), [len(edge[c]) for c in islands])
+        at = np.concatenate([edge[c] for c in islands])
+        ok = gaps.keep[at] == False  # noqa: E712
+        who, at = who[ok], at[ok]
+        if not len(at) or gaps.dist[at].min() == Gaps.FAR:
             warnings.append(f"{len(islands)} islands can't be reached")
             break
-        c = best[1]
-        ys, xs, span = islands.pop(c)
-        tabs = [sites[c][0][1]]
-        wanted = min(max(int(span) // 40, 1), len(sites[c]))
+        best = np.lexsort((who, at, gaps.dist[at]))[0]
+        c = int(who[best])
+        sites = at[(who == c) & (gaps.dist[at] < Gaps.FAR)]
+        sites = sites[np.lexsort((sites, gaps.dist[sites]))]
+        own, span = islands.pop(c)
+        tabs = [int(sites[0])]
+        wanted = min(max(span // 40, 1), len(sites))
+        apart = np.full(len(sites), np.inf)
         while len(tabs) < wanted:
-            apart = lambda s: min((s % w - t % w) ** 2 + (s // w - t // w) ** 2 for t in tabs)
-            tabs.append(max((s for _, s in sites[c]), key=lambda s: (apart(s), -s)))
-        for t in tabs:
-            carve(keep, parent, t, width)
-        reached = components_of(keep.astype(int), keep)
-        anchored |= np.isin(reached, np.unique(reached[anchored & keep])) & keep
-        anchored[ys, xs] = True
-        islands = {k: v for k, v in islands.items() if not anchored[v[0][0], v[1][0]]}
-    return keep, warnings
+            apart = np.minimum(apart, (sites % gaps.w - tabs[-1] % gaps.w) ** 2 + (sites // gaps.w - tabs[-1] // gaps.w) ** 2.0)
+            tabs.append(int(sites[np.lexsort((sites, -apart))[0]]))
+        new = np.unique(np.concatenate([carve(gaps, t, offsets) for t in tabs]))
+        gaps.keep[new] = True
+        # islands that the tabs touch are anchored with this one
+        touched = np.unique(around[np.concatenate([new, (new[:, None] + steps).ravel()])]).tolist()
+        gaps.anchor(np.concatenate([new, own, *(islands.pop(k)[0] for k in touched if k in islands)]))
+    return gaps.keep.reshape(h + 2, w + 2)[1:-1, 1:-1].copy(), warnings
 
 
 def trace(keep: np.ndarray, min_area: float = 0.0) -> list[tuple[str, list[tuple[float, float]]]]:
@@ -172,48 +182,37 @@ def trace(keep: np.ndarray, min_area: float = 0.0) -> list[tuple[str, list[tuple
     """
     h, w = keep.shape
     pad = np.pad(keep, 1)
-    edges: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int]]] = {}
-
-    def add(a, b):
-        edges.setdefault(a, {})[(b[0] - a[0], b[1] - a[1])] = b
-
-    for y, x in zip(*(v.tolist() for v in np.nonzero(keep))):
-        if not pad[y, x + 1]:
-            add((x + 1, y), (x, y))
-        if not pad[y + 2, x + 1]:
-            add((x, y + 1), (x + 1, y + 1))
-        if not pad[y + 1, x]:
-            add((x, y), (x, y + 1))
-        if not pad[y + 1, x + 2]:
-            add((x + 1, y + 1), (x + 1, y))
-    rings = []
-    heap = sorted(edges)
-    heapq.heapify(heap)
-    for start in heap:
-        while edges.get(start):
-            step = min(edges[start])
-            ring, at = [], start
-            while True:
-                ring.append(at)
-                out = edges[at]
-                if step not in out:
-                    # prefer the turn that keeps the same cell on its side
-                    dx, dy = last
-                    step = next(s for s in ((dy, -dx), (dx, dy), (-dy, dx)) if s in out)
-                elif len(out) > 1 and len(ring) > 1:
-                    dx, dy = last
-                    step = next(s for s in ((dy, -dx), (dx, dy), (-dy, dx)) if s in out)
-                nxt = out.pop(step)
-                last = step
-                at = nxt
-                if at == start:
-                    break
-                step = (None, None)
-            edges = {k: v for k, v in edges.items() if v} if len(ring) > 1 << 14 else edges
-            ring = collapse([(float(a), float(b)) for a, b in ring])
-            area = signed_area(ring)
-            if len(ring) >= 3 and abs(area) >= min_area:
-                rings.append(("outer" if area < 0 else "hole", ring))
+    inner = pad[1:-1, 1:-1]
+    # directed edges by where they lead: left, down, right, up; along the top, left, bottom and right of a kept cell
+    move = ((-1, 0), (0, 1), (1, 0), (0, -1))
+    found = [np.nonzero(inner & ~pad[a : a + h, b : b + w]) for a, b in ((0, 1), (1, 0), (2, 1), (1, 2))]
+    corner = ((1, 0), (0, 0), (0, 1), (1, 1))
+    x = np.concatenate([xs + corner[d][0] for d, (_, xs) in enumerate(found)])
+    y = np.concatenate([ys + corner[d][1] for d, (ys, _) in enumerate(found)])
+    way = np.repeat(np.arange(4), [len(ys) for ys, _ in found])
+    edge = np.full((4, (h + 1) * (w + 1)), -1)  # by direction and first corner
+    edge[way, y * (w + 1) + x] = np.arange(len(x))
+    dx, dy = np.array(move)[way].T
+    end = (y + dy) * (w + 1) + x + dx
+    after = np.full(len(x), -1)
+    for turn in (1, 0, 3):  # the turn that keeps the same cell on its side comes first
+        after = np.where(after < 0, edge[(way + turn) % 4, end], after)
+    before = np.empty(len(x), np.int64)
+    before[after] = np.arange(len(x))
+    bend = (way != way[before]).tolist()
+    xs, ys, follow, seen, rings = x.tolist(), y.tolist(), after.tolist(), [False] * len(x), []
+    for start in np.lexsort((dy, dx, y, x)).tolist():
+        if seen[start]:
+            continue
+        ring, at = [], start
+        while not seen[at]:
+            seen[at] = True
+            if bend[at]:
+                ring.append((float(xs[at]), float(ys[at])))
+            at = follow[at]
+        area = signed_area(ring)
+        if len(ring) >= 3 and abs(area) >= min_area:
+            rings.append(("outer" if area < 0 else "hole", ring))
     return rings
 
 
@@ -287,7 +286,8 @@ def rings(mask: DataFrame, keys: list[str], min_area: float = 0.0) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = trace(_array(pdf, "keep").astype(bool), min_area)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(got) for k in keys}, "ring_id": list(range(len(got))), "kind": [k for k, _ in got], "pts": [[{"x": a, "y": b} for a, b in r] for _, r in got]})
+        pts = pd.Series([[{"x": a, "y": b} for a, b in r] for _, r in got], dtype=object)  # also where there is no ring
+        return pd.DataFrame({**{k: pd.Series([pdf[k].iloc[0]] * len(got), dtype=pdf[k].dtype) for k in keys}, "ring_id": pd.Series(range(len(got)), dtype="int64"), "kind": pd.Series([k for k, _ in got], dtype=object), "pts": pts})
 
     schema = ", ".join(f"`{k}` {used.schema[k].dataType.simpleString()}" for k in keys) + ", ring_id long, kind string, pts array<struct<x:double,y:double>>"
     return used.groupBy(*keys).applyInPandas(run, schema)

@@ -30,19 +30,21 @@ def ink_table(spark: SparkSession, set_: list[Ink]) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, channel string, name string, rgb array<double>, angle double, load double, tamed boolean")
 
 
-def sample(points: DataFrame, density: DataFrame, by: list[str]) -> DataFrame:
-    """Bilinear values at px, py (clamped to the raster): four weighted taps a point, one equi-join, one partial sum.
+def sample(points: DataFrame, raster: DataFrame, keys: list[str] | None = None, values: tuple[str, ...] = ("d",)) -> DataFrame:
+    """points with bilinear values at px, py (clamped to the raster): four weighted taps a point, one equi-join, one partial sum.
 
-    points needs image_id, channel, w, h, px, py and the columns by, which tell the points of an image apart.
+    points needs the keys, w, h, px and py; its columns ride along with the taps, so nothing is joined back. Equal rows are one point.
     """
+    keys = keys or KEYS
     x, y = F.greatest(F.least(F.col("px"), F.col("w") - 1.0), F.lit(0.0)), F.greatest(F.least(F.col("py"), F.col("h") - 1.0), F.lit(0.0))
-    base = points.select(*KEYS, *by, F.floor(x).cast("int").alias("_x"), F.floor(y).cast("int").alias("_y"), (x - F.floor(x)).alias("_fx"), (y - F.floor(y)).alias("_fy"), "w", "h")
+    fx, fy = x - F.floor(x), y - F.floor(y)
     tap = lambda dx, dy: F.struct(
-        F.least(F.col("_x") + dx, F.col("w") - 1).cast("int").alias("x"), F.least(F.col("_y") + dy, F.col("h") - 1).cast("int").alias("y"),
-        ((F.col("_fx") if dx else 1 - F.col("_fx")) * (F.col("_fy") if dy else 1 - F.col("_fy"))).alias("t"),
+        F.least(F.floor(x) + dx, F.col("w") - 1).cast("int").alias("x"), F.least(F.floor(y) + dy, F.col("h") - 1).cast("int").alias("y"),
+        ((fx if dx else 1 - fx) * (fy if dy else 1 - fy)).alias("t"),
     )
-    taps = base.select(*KEYS, *by, F.explode(F.array(tap(0, 0), tap(1, 0), tap(0, 1), tap(1, 1))).alias("s")).select(*KEYS, *by, "s.x", "s.y", "s.t").where("t > 0")
-    return taps.join(density.select(*KEYS, "x", "y", "d"), [*KEYS, "x", "y"]).groupBy(*KEYS, *by).agg(F.sum(F.col("t") * F.col("d")).alias("d"))
+    taps = points.select("*", F.explode(F.array(tap(0, 0), tap(1, 0), tap(0, 1), tap(1, 1))).alias("_s")).where("_s.t > 0").select(*points.columns, F.col("_s.x").alias("_tx"), F.col("_s.y").alias("_ty"), F.col("_s.t").alias("_t"))
+    at = raster.select(*keys, F.col("x").alias("_tx"), F.col("y").alias("_ty"), *(F.col(v).alias(f"_v_{v}") for v in values))
+    return taps.join(at, [*keys, "_tx", "_ty"]).groupBy(*points.columns).agg(*(F.sum(F.col("_t") * F.col(f"_v_{v}")).alias(v) for v in values))
 
 
 def _caps(p: LineParams) -> Column:
@@ -58,6 +60,8 @@ def toned(density: DataFrame, p: LineParams, set_: list[Ink]) -> DataFrame:
     spark = density.sparkSession
     table = ink_table(spark, set_)
     tamed = [i.channel for i in set_ if i.tamed]
+    if p.auto_levels or tamed:
+        density = materialise(density, "density")  # read several times
     plain = density.where(~F.col("channel").isin(tamed)) if tamed else density
     if p.auto_levels:
         plain = plain.join(auto_levels(plain), KEYS)
@@ -72,7 +76,8 @@ def toned(density: DataFrame, p: LineParams, set_: list[Ink]) -> DataFrame:
             grey = density.where(~F.col("channel").isin(tamed)).groupBy("image_id", "x", "y").agg(F.min("d").alias("_u"))
             black = own.join(grey, ["image_id", "x", "y"], "left").select(*KEYS, "x", "y", effective_k(F.col("d"), [F.coalesce("_u", F.lit(0.0))], p).alias("d"))
         out = out.unionByName(black)
-    return out.join(F.broadcast(table), "channel").select(*KEYS, "x", "y", "d", "angle", F.when(F.col("tamed"), 1.0).otherwise(F.col("load")).alias("load"), _caps(p).alias("cap"))
+    # every screen reads its maps twice: for their sizes and at its points
+    return materialise(out.join(F.broadcast(table), "channel").select(*KEYS, "x", "y", "d", "angle", F.when(F.col("tamed"), 1.0).otherwise(F.col("load")).alias("load"), _caps(p).alias("cap")), "toned")
 
 
 def _frames(maps: DataFrame) -> DataFrame:
@@ -104,7 +109,7 @@ def widths(maps: DataFrame, p: LineParams, proximity: DataFrame | None = None) -
     """segments() with the half width to cut; 0 outside the canvas and on bridges."""
     seg = segments(_frames(maps), p)
     inside = seg.where((F.col("px") >= 0) & (F.col("px") < F.col("w")) & (F.col("py") >= 0) & (F.col("py") < F.col("h")))
-    got = inside.join(sample(inside, maps, ["li", "i"]), [*KEYS, "li", "i"])
+    got = sample(inside, maps)
     hw = cut_extent(F.col("d"), p, F.col("cap"), F.col("load")) / 2
     if p.bridge_interval > 0 and p.bridge_px > 0:
         hw = F.when(F.pmod(F.col("v") - bridge_phase(F.col("li"), p.bridge_interval), F.lit(p.bridge_interval)) < p.bridge_px, 0.0).otherwise(hw)
@@ -157,7 +162,7 @@ def dots(maps: DataFrame, p: LineParams) -> DataFrame:
     u, v = F.col("gi") * p.spacing, F.col("gj") * p.spacing
     at = at.withColumn("px", F.col("w") / 2 - u * s + v * c).withColumn("py", F.col("h") / 2 + u * c + v * s)
     at = at.where((F.col("px") >= 0) & (F.col("px") < F.col("w")) & (F.col("py") >= 0) & (F.col("py") < F.col("h")))
-    got = at.join(sample(at, maps, ["gi", "gj"]), [*KEYS, "gi", "gj"])
+    got = sample(at, maps)
     return got.select(*KEYS, "gi", "gj", F.col("px").alias("cx"), F.col("py").alias("cy"), (cut_extent(F.col("d"), p, F.col("cap"), F.col("load")) / 2).alias("r")).where("r > 0")
 
 
@@ -175,7 +180,7 @@ def coarse_tones(maps: DataFrame, p: LineParams) -> DataFrame:
     at = _frames(maps).withColumn("nx", F.ceil(F.col("w") / step).cast("int")).withColumn("ny", F.ceil(F.col("h") / step).cast("int"))
     at = at.select("*", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("gi")).select("*", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("gj"))
     at = at.withColumn("px", (F.col("gi") + 0.5) * step).withColumn("py", (F.col("gj") + 0.5) * step)
-    got = at.join(sample(at, maps, ["gi", "gj"]), [*KEYS, "gi", "gj"])
+    got = sample(at, maps)
     return got.select(*KEYS, "gi", "gj", F.when(F.col("d") < p.w_min / step, 0.0).otherwise(F.col("d")).alias("t"), "cap")
 
 

@@ -31,12 +31,11 @@ def project(h: list[float], x: Column, y: Column) -> tuple[Column, Column]:
 
 def bake(pixels: DataFrame, h: list[float], out_w: int, out_h: int) -> DataFrame:
     """The warped image: each output centre is projected and sampled; channels r, g, b as bytes."""
-    long = pixels.selectExpr("image_id", "x", "y", "stack(3, 'r', double(r), 'g', double(g), 'b', double(b)) as (channel, d)")
-    frame = long.groupBy("image_id", "channel").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    frame = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     at = frame.select("*", F.explode(F.sequence(F.lit(0), F.lit(out_h - 1))).alias("oy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(out_w - 1))).alias("ox"))
     u, v = project(h, F.col("ox") + 0.5, F.col("oy") + 0.5)
-    got = sample(at.withColumn("px", u - 0.5).withColumn("py", v - 0.5), long, ["ox", "oy"])
-    return got.groupBy("image_id", F.col("ox").alias("x"), F.col("oy").alias("y")).pivot("channel", ["r", "g", "b"]).agg(F.first(F.round("d").cast("int")))
+    got = sample(at.withColumn("px", u - 0.5).withColumn("py", v - 0.5), pixels, ["image_id"], ("r", "g", "b"))
+    return got.select("image_id", F.col("ox").alias("x"), F.col("oy").alias("y"), *(F.round(c).cast("int").alias(c) for c in "rgb"))
 
 
 def normalize_crop(x0: float, y0: float, x1: float, y1: float, least: float = 0.02) -> tuple[float, float, float, float]:

@@ -19,7 +19,7 @@ def raster_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = item.groupBy(F.floor(F.col("l_orderkey") / 1500).cast("int").alias("image_id"), (F.col("l_orderkey") % SIDE).cast("int").alias("x"), (F.col("l_partkey") % SIDE).cast("int").alias("y")).agg(
         (F.avg("l_quantity") / 50).alias("r"), (F.avg("l_discount") / 0.1).alias("g"), (F.avg("l_tax") / 0.08).alias("b")
     )
-    images = item.select(F.floor(F.col("l_orderkey") / 1500).cast("int").alias("image_id")).distinct()
+    images = cell.select("image_id").distinct()  # of the cells, so the table is read and shuffled once
     dense = grid(images.withColumn("w", F.lit(SIDE)).withColumn("h", F.lit(SIDE)))
     return dense.join(cell, ["image_id", "x", "y"], "left").fillna(1.0, ["r", "g", "b"])
 

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as Parquet under spark.checkpoint.dir and read back; a folder of our own only where none is named."""
+    """df, written as Parquet under spark.checkpoint.dir and read back; without one, under the warehouse, which all executors share too."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_inkgrid_raster_scratch", None)
-    if not root:
-        root = spark._inkgrid_raster_scratch = tempfile.mkdtemp(prefix="inkgrid-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/inkgrid/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
