@@ -9,6 +9,7 @@ from ..functions import color, tone
 from ..operators import fill, filters, quantize, regions, screens, svg, warp
 from ..params import INK_COLOURS, LineParams, StencilParams, inks
 from ..sources.rasters import densities, raster_density, raster_rgb
+from ..sources.scratch import materialise
 from ..streaming import jobs
 from . import pipelines
 
@@ -100,7 +101,7 @@ def extended_inks(s, d):
 v as (select image_id, channel, max(case when rn = round(0.005*(n-1))+1 then d end) w, max(case when rn = round(0.995*(n-1))+1 then d end) b from r group by 1, 2)
 select image_id, channel, round(case when w < b then w else 0 end,5) white, round(case when w < b then b else 1 end,5) black from v""")
 def auto_levels(s, d):
-    return filters.auto_levels(densities(raster_rgb(s, d), SET)).select("image_id", "channel", R("white", 5).alias("white"), R("black", 5).alias("black"))
+    return filters.auto_levels(densities(materialise(raster_rgb(s, d), "raster"), SET)).select("image_id", "channel", R("white", 5).alias("white"), R("black", 5).alias("black"))
 
 
 _INKS = "inks as (select * from (values ('c',15.0),('m',135.0),('y',0.0)) t(channel, angle))"
@@ -138,7 +139,7 @@ def line_runs(s, d):
 def _ribbons(shape: str):
     def f(s, d):
         p = LineParams(shape=shape, hatch_bins=3)
-        return screens.screen(densities(raster_rgb(s, d), SET), p, SET).select("image_id", "channel", F.size("pts").alias("n_points"), R(regions.area(F.col("pts")), 3).alias("area"))
+        return screens.screen(densities(raster_rgb(s, d), SET), p, SET).select("image_id", "channel", F.size("pts").alias("n_points"), R(regions.area(F.col("pts")), 5).alias("area"))
 
     f.__name__ = f"ribbons_{shape}"
     return f
@@ -238,7 +239,7 @@ _VALUES = ", ".join(f"('{c}',{v[1][0]!r}::double,{v[1][1]!r}::double,{v[1][2]!r}
 mx as (select image_id, x, y, product(r) r, product(g) g, product(b) b from cut join col using (channel) group by 1,2,3)
 select px.image_id, px.x, px.y, floor(coalesce(mx.r,1)*255+1e-9)::int r, floor(coalesce(mx.g,1)*255+1e-9)::int g, floor(coalesce(mx.b,1)*255+1e-9)::int b from px left join mx on mx.image_id = px.image_id and mx.x = px.x and mx.y = px.y""")
 def ink_composite(s, d):
-    px = raster_rgb(s, d)
+    px = materialise(raster_rgb(s, d), "raster")
     return fill.composite(densities(px, SET).where("d > 0.40013").drop("d"), screens.ink_table(s, SET), px.select("image_id", "x", "y"))
 
 
@@ -261,14 +262,13 @@ def _centres(s, cols):
 
 @query(_NEAR + " select image_id, label, sum(n)::bigint n_pixels, count(*) n_colours from near group by 1, 2")
 def nearest_palette(s, d):
-    cols = quantize.colours(_bytes(s, d))
-    return quantize.nearest(cols, _centres(s, cols), ["n"]).groupBy("image_id", "label").agg(F.sum("n").alias("n_pixels"), F.count("*").alias("n_colours"))
+    return quantize.nearest(quantize.colours(_bytes(s, d)), _CENTRES, ["n"]).groupBy("image_id", "label").agg(F.sum("n").alias("n_pixels"), F.count("*").alias("n_colours"))
 
 
 @query(_NEAR + """, mean as (select image_id, label, sum(l*n)/sum(n) l, sum(a*n)/sum(n) a, sum(bb*n)/sum(n) b from near group by 1, 2)
 select i.image_id, cen.label, round(coalesce(mean.l, cl),3) lab_l, round(coalesce(mean.a, ca),3) lab_a, round(coalesce(mean.b, cb),3) lab_b from imgs i cross join cen left join mean on mean.image_id = i.image_id and mean.label = cen.label""")
 def lloyd_step(s, d):
-    cols = quantize.colours(_bytes(s, d))
+    cols = materialise(quantize.colours(_bytes(s, d)), "colours")
     return quantize.lloyd_step(cols, _centres(s, cols)).select("image_id", "label", R("L", 3).alias("lab_l"), R("a", 3).alias("lab_a"), R("b_", 3).alias("lab_b"))
 
 
@@ -326,7 +326,7 @@ _H = warp.homography([(0.0, 0.0), (48.0, 0.0), (48.0, 40.0), (0.0, 40.0)], [(3.1
 q as (select image_id, ox, oy, ({_H[0]!r}::double*(ox+0.5)+{_H[1]!r}::double*(oy+0.5)+{_H[2]!r}::double)/ww-0.5 px, ({_H[3]!r}::double*(ox+0.5)+{_H[4]!r}::double*(oy+0.5)+{_H[5]!r}::double)/ww-0.5 py from o), {_SAMPLE}
 select taps.image_id, ox x, oy y, round(sum(t*r*255))::int r, round(sum(t*g*255))::int g, round(sum(t*b*255))::int b from taps join px p on p.image_id = taps.image_id and p.x = tx and p.y = ty group by 1,2,3""")
 def perspective_warp(s, d):
-    px = raster_rgb(s, d).select("image_id", "x", "y", *((F.col(c) * 255).alias(c) for c in "rgb"))
+    px = materialise(raster_rgb(s, d).select("image_id", "x", "y", *((F.col(c) * 255).alias(c) for c in "rgb")), "raster")
     return warp.bake(px, _H, 48, 40)
 
 
