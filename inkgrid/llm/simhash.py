@@ -18,10 +18,11 @@ the text, get a row each. Empty tables give empty tables; other columns are not
 through ``one_of_each``, whatever their names. Long texts are hashed a part at a time.
 
 With ``similarity`` set, fingerprints give candidates only: two texts link if the Jaccard similarity of their sets of
-shingles (as 64-bit hashes) reaches it, whatever their distance up to ``distance``. Texts whose fingerprints are within
-``first_distance`` are verified first and joined, so a group of near copies doesn't make a candidate of each of its pairs.
-Candidates whose sizes, or whose ``low`` smallest shingles, rule the similarity out are not verified: of the ``low`` smallest
-shingles of two sets of similarity 0.8 about 0.8 are in both, and 0.375 are asked for.
+shingles (as 64-bit hashes) reaches it, whatever their distance up to ``distance``. Candidates also need sketches that agree: a bit of
+the smallest shingle of each of 128 ranges of the hash; of two sets of similarity 0.8 about a tenth of the bits differ, and up to
+``sketch_bits`` may. First each text and the few nearest within ``first_distance`` are verified and joined. Then all candidates that are not
+joined meet: for each pair of blocks that has some, their sets of shingles are brought there once, and pairs are verified in place, nearest
+first, passing over those that are joined by then. So a group of near copies makes no row of each of its pairs.
 """
 
 from __future__ import annotations
@@ -53,8 +54,9 @@ class SimHashParams:
     max_listed: int = 500_000
     max_rounds: int = 60
     similarity: float | None = None
-    first_distance: int = 6
-    low: int = 32
+    first_distance: int = 8
+    first_nearest: int = 8
+    sketch_bits: int = 26
 
 
 def hashes(text: bytes, p: SimHashParams) -> Iterator[np.ndarray]:
@@ -229,13 +231,13 @@ def _grid(distinct: DataFrame, made: Plan, n: int, p: SimHashParams) -> Grid:
 HOME, PROBER, BOTH = 0, 1, 2
 
 
-def _messages(distinct: DataFrame, made: Plan, grid: Grid, width: int) -> DataFrame:
-    """(part, key, a, b, role, held): fingerprints for a pair of blocks of a bucket, as many in a row as a batch has; held is rows of width words."""
-    tables = _tables(made)
+def _messages(distinct: DataFrame, made: Plan, grid: Grid, columns: tuple[str, ...]) -> DataFrame:
+    """(part, key, a, b, role, held): entries for a pair of blocks of a bucket, as many in a row as a batch has; an entry is its columns' words, fp first."""
+    tables, width = _tables(made), len(columns)
 
     def run(batches):
         for b in batches:
-            rows = np.stack([column_of(b, k).to_numpy().view(np.uint64) for k in ("fp", "group")[:width]], 1)
+            rows = np.stack([column_of(b, k).to_numpy().view(np.uint64) for k in columns], 1)
             for i, mask, flips in tables:
                 for lo in range(0, len(rows), max(1, (1 << 19) // len(flips))):
                     part = rows[lo : lo + max(1, (1 << 19) // len(flips))]
@@ -269,7 +271,7 @@ def _messages(distinct: DataFrame, made: Plan, grid: Grid, width: int) -> DataFr
         held = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(new), i, np.int32)), pa.array(key[new].view(np.int64)), pa.array(x[new].astype(np.int32)), pa.array(y[new].astype(np.int32)), pa.array(role[new].astype(np.int32)), held], names=["part", "key", "a", "b", "role", "held"])
 
-    return mapped(distinct.select(*("fp", "group")[:width]), run, "part int, key long, a int, b int, role int, held binary")
+    return mapped(distinct.select(*columns), run, "part int, key long, a int, b int, role int, held binary")
 
 
 def forest_links(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
@@ -291,49 +293,180 @@ def forest_links(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return np.sort(np.concatenate(out), 1) if out else np.zeros((0, 2), np.uint64)
 
 
-def pair_links(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[np.ndarray]:
-    """All links between two arrays of (fingerprint, group) of different groups, as rows (smaller, larger)."""
-    for k in range(0, len(a), 256):
-        x = a[k : k + 256]
-        i, j = np.nonzero((np.bitwise_count(x[:, None, 0] ^ b[None, :, 0]) <= distance) & (x[:, None, 1] != b[None, :, 1]))
-        if len(i):
-            yield np.unique(np.sort(np.stack([x[i, 0], b[j, 0]], 1), 1), axis=0)
-
-
-def links(distinct: DataFrame, made: Plan, n: int, params: SimHashParams | None = None, every_pair: bool = False) -> DataFrame:
-    """src and dst: links between the n different fingerprints that connect all that link.
-
-    With every_pair, distinct has a column group too, and all links between fingerprints of different groups are given.
-    """
-    p = params or SimHashParams()
-    width = 2 if every_pair else 1
-    rows = _messages(distinct, made, _grid(distinct, made, n, p), width)
-    dealt = rows.repartition("part", "key", "a", "b").sortWithinPartitions("part", "key", "a", "b")
-    return mapped(dealt, lambda batches: _search(batches, p.distance, width), "src long, dst long").distinct()
+def _dealt(entries: DataFrame, made: Plan, n: int, p: SimHashParams, columns: tuple[str, ...]) -> DataFrame:
+    rows = _messages(entries, made, _grid(entries, made, n, p), columns)
+    return rows.repartition("part", "key", "a", "b").sortWithinPartitions("part", "key", "a", "b")
 
 
-def _search(batches, distance: int, width: int):
-    """Rows come sorted by pair of blocks, each of a bounded size."""
+def _blocks(batches, width: int) -> Iterator[tuple[tuple[int, int, int, int], np.ndarray, np.ndarray]]:
+    """Each pair of blocks (part, key, a, b) that may hold a pair: its different homes and probers. Rows come sorted by pair of blocks."""
     now, homes, probers = None, [], []
 
-    def found():
-        if not homes or not probers or len(homes) == len(probers) == 1 and homes[0] == probers[0] and len(homes[0]) == 8 * width:
-            return
-        h, q = (np.unique(np.frombuffer(b"".join(x), np.uint64).reshape(-1, width), axis=0) for x in (homes, probers))
-        for part in pair_links(h, q, distance) if width == 2 else [forest_links(h[:, 0], q[:, 0], distance)]:
-            if len(part):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, k]).view(np.int64)) for k in (0, 1)], names=["src", "dst"])
+    def whole():
+        if homes and probers and (len(homes) > 1 or len(probers) > 1 or homes[0] != probers[0] or len(homes[0]) > 8 * width):
+            yield now, *(np.unique(np.frombuffer(b"".join(x), np.uint64).reshape(-1, width), axis=0) for x in (homes, probers))
 
     for b in batches:
         for key, role, held in zip(zip(*(column_of(b, k).to_pylist() for k in ("part", "key", "a", "b"))), column_of(b, "role").to_pylist(), column_of(b, "held").to_pylist()):
             if key != now:
-                yield from found()
+                yield from whole()
                 now, homes, probers = key, [], []
             if role != PROBER:
                 homes.append(held)
             if role != HOME:
                 probers.append(held)
-    yield from found()
+    yield from whole()
+
+
+def _longs(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names=names)
+
+
+def links(distinct: DataFrame, made: Plan, n: int, params: SimHashParams | None = None) -> DataFrame:
+    """src and dst: links between the n different fingerprints that connect all that link."""
+    p = params or SimHashParams()
+
+    def run(batches):
+        for _, homes, probers in _blocks(batches, 1):
+            found = forest_links(homes[:, 0], probers[:, 0], p.distance)
+            if len(found):
+                yield _longs(["src", "dst"], found[:, 0], found[:, 1])
+
+    return mapped(_dealt(distinct, made, n, p, ("fp",)), run, "src long, dst long").distinct()
+
+
+#: Words of an entry: its fingerprint, its node, its two words of sketch, and the group it is joined to.
+ENTRY = ("fp", "node", "s0", "s1", "group")
+
+
+def _near(a: np.ndarray, b: np.ndarray, distance: int, p: SimHashParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a and of b of different nodes that are candidates, and how many bits of their sketches differ, for some rows of a at a time."""
+    for k in range(0, len(a), 256):
+        i, j = np.nonzero(np.bitwise_count(a[k : k + 256, None, 0] ^ b[None, :, 0]) <= distance)
+        i += k
+        ok = a[i, 1] != b[j, 1]
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(a[i, 2] ^ b[j, 2]).astype(np.int16) + np.bitwise_count(a[i, 3] ^ b[j, 3])
+        ok = apart <= p.sketch_bits
+        yield i[ok], j[ok], apart[ok]
+
+
+def nearest(entries: DataFrame, made: Plan, n: int, p: SimHashParams) -> DataFrame:
+    """src and dst: of each node and its few nearest candidates, what joins most."""
+
+    def run(batches):
+        for _, homes, probers in _blocks(batches, 4):
+            few = []
+            for i, j, apart in _near(homes, probers, p.distance, p):
+                order = np.lexsort((probers[j, 1], apart, i))
+                i, j, apart = i[order], j[order], apart[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
+                few.append(np.stack([apart[rank < p.first_nearest].astype(np.uint64), homes[i, 1][rank < p.first_nearest], probers[j, 1][rank < p.first_nearest]], 1))
+            pairs = np.concatenate(few) if few else np.zeros((0, 3), np.uint64)
+            joined, out = Union(), []
+            for _, x, y in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
+                if joined.join(x, y):
+                    out.append((min(x, y), max(x, y)))
+            if out:
+                found = np.array(out, np.uint64)
+                yield _longs(["src", "dst"], found[:, 0], found[:, 1])
+
+    return mapped(_dealt(entries, made, n, p, ENTRY[:4]), run, "src long, dst long").distinct()
+
+
+class Union:
+    """Union-find of what one pair of blocks holds."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
+def _meeting(homes: np.ndarray, probers: np.ndarray, part: int, made: Plan, p: SimHashParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """_near() of different groups; a pair counts in the first partition that it meets in, where its smaller node is home, so once in all."""
+    masks = [(np.uint64(mask), len(flips), made.thresholds[i]) for i, mask, flips in _tables(made) if i < part]
+    for i, j, apart in _near(homes, probers, p.distance, p):
+        x, y = homes[i], probers[j]
+        ok = (x[:, 4] != y[:, 4]) & (x[:, 1] < y[:, 1])
+        for mask, _, t in masks:
+            ok &= np.bitwise_count((x[:, 0] ^ y[:, 0]) & mask) > t
+        yield i[ok], j[ok], apart[ok]
+
+
+_MEET = ["part", "key", "a", "b", *ENTRY]
+
+
+def meetings(entries: DataFrame, made: Plan, n: int, p: SimHashParams) -> DataFrame:
+    """The entries that each pair of blocks needs to verify its candidates."""
+
+    def run(batches):
+        for at, homes, probers in _blocks(batches, 5):
+            own = [np.zeros(len(homes), bool), np.zeros(len(probers), bool)]
+            for i, j, _ in _meeting(homes, probers, at[0], made, p):
+                own[0][i] = own[1][j] = True
+            rows = np.unique(np.concatenate([homes[own[0]], probers[own[1]]]), axis=0)
+            if len(rows):
+                place = [pa.array([v] * len(rows), kind) for v, kind in zip(at, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*place, *(pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in range(5))], names=_MEET)
+
+    return mapped(_dealt(entries, made, n, p, ENTRY), run, "part int, key long, a int, b int, fp long, node long, s0 long, s1 long, group long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, p: SimHashParams) -> bool:
+    """Whether two sorted arrays of different shingles are similar enough."""
+    if min(len(x), len(y)) < p.similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= p.similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def verified_meetings(rows: DataFrame, made: Plan, p: SimHashParams) -> DataFrame:
+    """src and dst of links that connect all candidates of meetings() that link; rows have held, the set of shingles, too."""
+    masks = {i: np.uint64(mask) for i, mask, _ in _tables(made)}
+
+    def found(at, entries: list[tuple], held: list[bytes]):
+        rows = np.array(entries, np.int64).view(np.uint64).reshape(-1, 5)
+        home = np.flatnonzero((rows[:, 0] & masks[at[0]]) == np.array([at[1]], np.int64).view(np.uint64)[0])
+        sets, joined, out = [np.frombuffer(x, np.uint64) for x in held], Union(), []
+        pairs = [np.stack([apart.astype(np.int64), home[i], j], 1) for i, j, apart in _meeting(rows[home], rows, at[0], made, p)]
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+        group = rows[:, 4].tolist()
+        for _, i, j in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
+            if joined.find(group[i]) != joined.find(group[j]) and similar(sets[i], sets[j], p):
+                joined.join(group[i], group[j])
+                out.append((i, j))
+        if out:
+            i, j = np.array(out).T
+            yield _longs(["src", "dst"], rows[i, 1], rows[j, 1])
+
+    def run(batches):
+        now, entries, held = None, [], []
+        for b in batches:
+            for key, entry, own in zip(zip(*(column_of(b, k).to_pylist() for k in _MEET[:4])), zip(*(column_of(b, k).to_pylist() for k in ENTRY)), column_of(b, "held").to_pylist()):
+                if key != now:
+                    if len(entries) > 1:
+                        yield from found(now, entries, held)
+                    now, entries, held = key, [], []
+                entries.append(entry)
+                held.append(own)
+        if len(entries) > 1:
+            yield from found(now, entries, held)
+
+    dealt = rows.repartition(*_MEET[:4]).sortWithinPartitions(*_MEET[:4])
+    return mapped(dealt, run, "src long, dst long")
 
 
 def components(edges: DataFrame, params: SimHashParams | None = None) -> DataFrame:
@@ -392,78 +525,70 @@ def near_duplicates(docs: DataFrame, params: SimHashParams | None = None, text:
     return joined.select(id, _hex("fp").alias("fingerprint"), "component_id")
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Two words: the lowest bit of the smallest hash in each of 128 equal ranges, 0 for empty ones. own is sorted."""
+    ranges = (own >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(own) else np.zeros(0, np.int64)
+    bits = np.zeros(128, np.uint8)
+    bits[ranges[first]] = (own[first] & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.uint64)
+
+
 def _signed(docs: DataFrame, p: SimHashParams, text: int) -> DataFrame:
-    """All columns of docs as c0, c1 and so on, a number of the row, its fingerprint, the number of its different shingles, the smallest of them, and node, a hash of their set."""
+    """All columns of docs as c0, c1 and so on, a number of the row, its fingerprint, its sketch, and node, a hash of its set of shingles."""
     named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id())
-    more = [T.StructField(k, T.LongType()) for k in ("fp", "n", "node")] + [T.StructField("low", T.ArrayType(T.LongType()))]
+    more = ["fp", "s0", "s1", "node"]
 
     def run(batches):
         for b in batches:
-            fps, sizes, nodes, low = [], [], [], []
+            rows = []
             for x in texts(b.column(text)):
                 parts = list(hashes(x, p))
-                fps.append(majority(parts))
                 own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-                sizes.append(len(own))
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), p.seed))
-                low.append(own[: p.low].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fps, sizes, nodes)), pa.array(low, pa.list_(pa.int64()))], names=[*b.schema.names, "fp", "n", "node", "low"])
+                rows.append((majority(parts), *sketch(own).tolist(), xxhash.xxh64_intdigest(own.tobytes(), p.seed)))
+            words = np.array(rows, np.uint64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(4))], names=[*b.schema.names, *more])
 
-    return mapped(named, run, T.StructType([*named.schema.fields, *more]))
+    return mapped(named, run, T.StructType([*named.schema.fields, *(T.StructField(k, T.LongType()) for k in more)]))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, signed: DataFrame, p: SimHashParams, text: str) -> DataFrame:
-    """The pairs of nodes (src, dst) whose sets of shingles are similar enough."""
+def _sets(wanted: DataFrame, nodes: DataFrame, signed: DataFrame, p: SimHashParams, text: str) -> DataFrame:
+    """node and held, the sorted hashes of its shingles, of the wanted nodes, from one row of each."""
 
-    def sets(batches):
+    def run(batches):
         for b in batches:
             own = [np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes(x, p)])).tobytes() for x in texts(column_of(b, text))]
             yield pa.RecordBatch.from_arrays([column_of(b, "node"), pa.array(own, pa.binary())], names=["node", "held"])
 
+    chosen = wanted.distinct().join(nodes, "node").select(F.col("first.row").alias("row"))
+    return materialise(mapped(signed.join(chosen, "row", "left_semi").select("node", text), run, "node long, held binary"), "shingles")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, p: SimHashParams) -> DataFrame:
+    """The pairs of nodes (src, dst) whose sets of shingles are similar enough."""
+
     def judge(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(*(texts(column_of(b, k)) for k in ("a", "b"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= p.similarity * (len(x) + len(y) - both) - 1e-9)
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), p) for x, y in zip(*(texts(column_of(b, k)) for k in ("a", "b")))]
             yield pa.RecordBatch.from_arrays([column_of(b, k) for k in ("src", "dst")], names=["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
-    a, b = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("low").alias(f"low_{k}")) for k in ("src", "dst"))
-    alike = F.size(F.array_intersect("low_src", "low_dst")) >= 0.375 * F.least("n_src", "n_dst", F.lit(p.low))
-    sized = F.least("n_src", "n_dst") >= p.similarity * F.greatest("n_src", "n_dst") - 1e-9
-    pairs = materialise(pairs.join(a, "src").join(b, "dst").where(sized & alike).select("src", "dst"), "candidates")
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    # one row of each node; its text is long, so the row is chosen by its number first
-    chosen = wanted.join(nodes, "node").select(F.col("first.row").alias("row"))
-    held = materialise(mapped(signed.join(chosen, "row", "left_semi").select("node", text), sets, "node long, held binary"), "shingles")
     a, b = (held.select(F.col("node").alias(k), F.col("held").alias(v)) for k, v in (("src", "a"), ("dst", "b")))
-    found = materialise(mapped(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b"), judge, "src long, dst long"), "verified")
-    discard(pairs)
-    discard(held)
-    return found
+    return mapped(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b"), judge, "src long, dst long")
 
 
 def _verified_edges(signed: DataFrame, nodes: DataFrame, p: SimHashParams, text: str) -> DataFrame:
     """Links between nodes that connect all that link."""
-    heads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
-    count, sample = heads.count(), _sample(heads, p)
-    # a few links first: from node to node of one fingerprint, and between near fingerprints
+    n, sample = nodes.count(), _sample(nodes, p)
     first = replace(p, distance=min(p.first_distance, p.distance))
-    near = links(heads, plan(sample, count, first), count, first)
-    a, b = (heads.select(F.col("fp").alias(k), F.col("head").alias(v)) for k, v in (("src", "a"), ("dst", "b")))
-    pairs = near.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    own = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst"))
-    edges = _verified(pairs.unionByName(own), nodes, signed, p, text)
+    pairs = materialise(nearest(nodes, plan(sample, n, first), n, first), "candidates")
+    held = _sets(pairs.select(F.explode(F.array("src", "dst")).alias("node")), nodes, signed, p, text)
+    edges = materialise(_verified(pairs, held, p), "verified")
     joined = materialise(components(edges, p), "joined")
-    grouped = materialise(nodes.join(joined, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "grouped")
-    # then all others, but none within what is joined already
-    group = F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(F.col("fp"))
-    distinct = materialise(grouped.groupBy("fp").agg(group.alias("group"), (F.min("root") != F.max("root")).alias("mixed")), "groups")
-    far = links(distinct, plan(sample, count, p), count, p, every_pair=True).unionByName(distinct.where("mixed").select(F.col("fp").alias("src"), F.col("fp").alias("dst")))
-    a, b = (grouped.select(F.col("fp").alias(f), F.col("node").alias(k), F.col("root").alias(r)) for f, k, r in (("src", "x", "root_x"), ("dst", "y", "root_y")))
-    pairs = far.join(a, "src").join(b, "dst").where("root_x <> root_y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
-    return edges.unionByName(_verified(pairs, nodes, signed, p, text))
+    entries = materialise(nodes.join(joined, "node", "left").select(*ENTRY[:4], F.coalesce("root", "node").alias("group")), "entries")
+    made = plan(sample, n, p)
+    meet = materialise(meetings(entries, made, n, p), "meetings")
+    held = _sets(meet.select("node"), nodes, signed, p, text)
+    return edges.unionByName(materialise(verified_meetings(meet.join(held, "node"), made, p), "verified"))
 
 
 def one_of_each(docs: DataFrame, params: SimHashParams | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -473,7 +598,7 @@ def one_of_each(docs: DataFrame, params: SimHashParams | None = None, text: str
     signed = materialise(_signed(docs, p, names.index(text)), "signatures")
     node = F.col("node") if p.similarity is not None else F.col("fp")
     first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("node").alias("node"), F.col("row").alias("row"))
-    nodes = materialise(signed.groupBy(node.alias("node")).agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("low").alias("low")), "nodes")
+    nodes = materialise(signed.groupBy(node.alias("node")).agg(F.min(first).alias("first"), *(F.min(k).alias(k) for k in ENTRY if k in ("fp", "s0", "s1"))), "nodes")
     if p.similarity is not None:
         edges = _verified_edges(signed, nodes, p, place)
     else:
