@@ -39,12 +39,12 @@ def registration_marks(w: Column, h: Column, mark: float) -> Column:
     return F.concat(plus(z, z), plus(w + 0.0, z), plus(z, h + 0.0))
 
 
-def paper_marks(pw: Column, ph: Column, inset: Column, hole: float, label: Column) -> Column:
+def paper_marks(pw: Column, ph: Column, inset: Column, hole: Column, label: Column) -> Column:
     """A crosshair and a hole at each corner, and the sheet's name."""
 
     def one(x: Column, y: Column) -> Column:
         cross = F.concat(F.lit('<path stroke="red" fill="none" d="M'), _p(x - hole, y), F.lit(" L"), _p(x + hole, y), F.lit(" M"), _p(x, y - hole), F.lit(" L"), _p(x, y + hole), F.lit('"/>'))
-        return F.concat(cross, F.format_string(f'<circle cx="%.3f" cy="%.3f" r="{hole:.3f}" fill="none" stroke="red"/>', x, y))
+        return F.concat(cross, F.format_string('<circle cx="%.3f" cy="%.3f" r="%.3f" fill="none" stroke="red"/>', x, y, hole))
 
     corners = [one(x, y) for x in (inset, pw - inset) for y in (inset, ph - inset)]
     return F.concat(*corners, F.format_string('<text x="%.3f" y="%.3f" font-size="4">%s</text>', inset * 2, ph - inset, label))
@@ -54,24 +54,32 @@ def _joined(df: DataFrame, keys: list[str], order: list[str], path: Column) -> D
     return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, path.alias("_d")))), lambda s: s["_d"]), " ").alias("d"))
 
 
-def ribbons_svg(ribbons: DataFrame, frame: DataFrame, keys: list[str], paper_name: str | None = None, margin: float = 10.0, hole: float = 3.0) -> DataFrame:
-    """One document a sheet: millimetres with punch holes on a paper, else pixels with registration marks. Sheets without ribbons are blank."""
+def ribbons_svg(ribbons: DataFrame, frame: DataFrame, keys: list[str], paper_name: str | None = None, margin: float = 10.0, hole: float = 3.0, min_material: float | None = None) -> DataFrame:
+    """One document a sheet: millimetres with punch holes on a paper, else pixels with registration marks. Sheets without ribbons are blank.
+
+    frame has the keys, w and h, and may have fill (a colour) and label. With min_material given (in pixels) holes are at least that wide on
+    the paper, and at least 2 mm in radius.
+    """
     paths = frame.join(_joined(ribbons, keys, ["ribbon_id"], path_of_points(F.col("pts"))), keys, "left").withColumn("d", F.coalesce("d", F.lit("")))
-    body = F.concat(F.lit('<path fill="black" fill-rule="evenodd" d="'), F.col("d"), F.lit('"/>'))
+    colour = F.col("fill") if "fill" in frame.columns else F.lit("black")
+    label = F.col("label") if "label" in frame.columns else F.concat_ws(" ", *keys)
+    body = F.concat(F.lit('<path fill="'), colour, F.lit('" fill-rule="evenodd" d="'), F.col("d"), F.lit('"/>'))
     if paper_name is None:
         head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%dpx" height="%dpx" viewBox="0 0 %d %d">', "w", "h", "w", "h")
         return paths.select(*keys, F.concat(head, body, registration_marks(F.col("w"), F.col("h"), 5.0), F.lit("</svg>")).alias("svg"))
     lay = fit(paper_name, margin, F.col("w"), F.col("h"))
+    radius = F.lit(float(hole)) if min_material is None else F.greatest(lay["scale"] * min_material, F.lit(2.0))
     gap = (F.least(lay["paper_w"], lay["paper_h"]) - F.least(lay["art_w"], lay["art_h"])) / 4
-    inset = F.least(F.greatest(hole + gap, F.lit(hole + 2.0)), F.lit(max(12.0, hole + 2.0)))
+    inset = F.least(F.greatest(radius + gap, radius + 2.0), F.greatest(F.lit(12.0), radius + 2.0))
     head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%.3fmm" height="%.3fmm" viewBox="0 0 %.3f %.3f">', lay["paper_w"], lay["paper_h"], lay["paper_w"], lay["paper_h"])
     moved = F.concat(F.format_string('<g transform="translate(%.3f %.3f) scale(%.6f)">', lay["off_x"], lay["off_y"], lay["scale"]), body, F.lit("</g>"))
-    return paths.select(*keys, F.concat(head, moved, paper_marks(lay["paper_w"], lay["paper_h"], inset, hole, F.concat_ws(" ", *keys)), F.lit("</svg>")).alias("svg"))
+    return paths.select(*keys, F.concat(head, moved, paper_marks(lay["paper_w"], lay["paper_h"], inset, radius, label), F.lit("</svg>")).alias("svg"))
 
 
 def polygons_svg(curves: DataFrame, frame: DataFrame, keys: list[str]) -> DataFrame:
-    """One even-odd path a sheet, outers before holes, from rings with kind and curve."""
+    """One even-odd path a sheet, outers before holes, from rings with kind and curve; frame may have fill (a colour)."""
     good = curves.where(F.col("curve").isNotNull()).withColumn("_k", F.when(F.col("kind") == "outer", 0).otherwise(1))
     paths = frame.join(_joined(good, keys, ["_k", "ring_id"], path_of_curve(F.col("curve"))), keys, "left").withColumn("d", F.coalesce("d", F.lit("")))
     head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%dpx" height="%dpx" viewBox="0 0 %d %d">', "w", "h", "w", "h")
-    return paths.select(*keys, F.concat(head, F.lit('<path fill-rule="evenodd" d="'), F.col("d"), F.lit('"/></svg>')).alias("svg"))
+    colour = F.concat(F.lit(' fill="'), F.col("fill"), F.lit('"')) if "fill" in frame.columns else F.lit("")
+    return paths.select(*keys, F.concat(head, F.lit("<path"), colour, F.lit(' fill-rule="evenodd" d="'), F.col("d"), F.lit('"/></svg>')).alias("svg"))

@@ -125,43 +125,75 @@ def paper(name: str) -> tuple[float, float]:
     return PAPERS[name.upper()]
 
 
+def switched(kind: str) -> Preset:
+    """What changing the ink set leaves: its own angles and loads."""
+    return Preset(kind, angles=tuple(DEFAULT_ANGLES[kind].values()), loads=(1.0,) * len(DEFAULT_ANGLES[kind]))
+
+
 @dataclass(frozen=True)
 class Preset:
+    """Every knob of both pipelines, as lines of ``key = value``; the knobs of the stencil begin with ``stencil.``"""
+
     kind: str = "cmyk"
     lines: LineParams = field(default_factory=LineParams)
     angles: tuple[float, ...] = tuple(DEFAULT_ANGLES["cmyk"].values())
     loads: tuple[float, ...] = (1.0, 1.0, 1.0, 1.0)
+    stencil: StencilParams = field(default_factory=StencilParams)
+    mode: str = "halftone"
+    paper: str | None = None
+    margin: float = 10.0
+    angles_locked: bool = False
 
     def dumps(self) -> str:
-        rows = [("inks", self.kind), ("angles", " ".join(map(repr, self.angles))), ("loads", " ".join(map(repr, self.loads)))]
+        rows = [("mode", self.mode), ("inks", self.kind), ("angles", " ".join(map(repr, self.angles))), ("loads", " ".join(map(repr, self.loads))), ("angles_locked", self.angles_locked), ("paper", self.paper or "none"), ("margin", self.margin)]
         rows += [(f.name, getattr(self.lines, f.name)) for f in fields(LineParams)]
+        rows += [(f"stencil.{f.name}", getattr(self.stencil, f.name)) for f in fields(StencilParams)]
         return "# preset\n" + "".join(f"{k} = {v}\n" for k, v in rows)
 
     def loads_text(self, text: str) -> Preset:
         """This preset with what the text sets: unknown keys are skipped, bad values keep the old one, lists of a wrong length become the ink set's defaults."""
         got = {k.strip(): v.strip() for k, eq, v in (x.partition("=") for x in text.splitlines() if not x.lstrip().startswith("#")) if eq}
+
+        def parsed(key: str, old):
+            if key not in got:
+                return old
+            try:
+                return {"true": True, "false": False}[got[key].lower()] if isinstance(old, bool) else type(old)(got[key])
+            except (ValueError, KeyError):
+                return old
+
+        def knobs(old, start: str = ""):
+            return replace(old, **{f.name: parsed(start + f.name, getattr(old, f.name)) for f in fields(old)})
+
         kind = got["inks"] if got.get("inks") in DEFAULT_ANGLES else self.kind
-        lines = self.lines
-        for f in fields(LineParams):
-            if f.name in got:
-                old = getattr(lines, f.name)
-                try:
-                    new = {"True": True, "False": False}[got[f.name]] if isinstance(old, bool) else type(old)(got[f.name])
-                except (ValueError, KeyError):
-                    continue
-                if f.name == "shape" and new not in SHAPES or f.name == "k_mode" and new not in K_MODES:
-                    continue
-                lines = replace(lines, **{f.name: new})
+        lines = knobs(self.lines)
+        lines = replace(lines, shape=lines.shape if lines.shape in SHAPES else self.lines.shape, k_mode=lines.k_mode if lines.k_mode in K_MODES else self.lines.k_mode)
         n = len(DEFAULT_ANGLES[kind])
 
         def numbers(key: str, old: tuple[float, ...], default: tuple[float, ...]) -> tuple[float, ...]:
             try:
-                out = tuple(map(float, got[key].split())) if key in got else old
+                out = tuple(map(float, got[key].replace(",", " ").split())) if key in got else old
             except ValueError:
                 out = old
             return out if len(out) == n else default
 
-        return Preset(kind, lines, numbers("angles", self.angles, tuple(DEFAULT_ANGLES[kind].values())), numbers("loads", self.loads, (1.0,) * n))
+        mode = got["mode"] if got.get("mode") in ("halftone", "stencil") else self.mode
+        sheet = got.get("paper", "").upper()
+        sheet = None if sheet == "NONE" else sheet if sheet in PAPERS else self.paper
+        angles, loads = numbers("angles", self.angles, tuple(DEFAULT_ANGLES[kind].values())), numbers("loads", self.loads, (1.0,) * n)
+        return Preset(kind, lines, angles, loads, knobs(self.stencil, "stencil."), mode, sheet, parsed("margin", self.margin), parsed("angles_locked", self.angles_locked))
+
+    def save(self, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(self.dumps())
+
+    @staticmethod
+    def load(path: str) -> Preset:
+        try:
+            with open(path, encoding="utf-8") as f:
+                return Preset().loads_text(f.read())
+        except OSError as e:
+            raise ValueError(f"can't read the preset: {e}") from None
 
     def inks(self) -> list[Ink]:
         names = list(DEFAULT_ANGLES[self.kind])

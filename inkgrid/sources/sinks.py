@@ -35,6 +35,17 @@ def stencil_pngs(kept: DataFrame, palette: DataFrame) -> DataFrame:
     return used.groupBy("image_id", "layer").applyInPandas(run, f"image_id {used.schema['image_id'].dataType.simpleString()}, layer int, png binary")
 
 
+def preview_pngs(preview: DataFrame) -> DataFrame:
+    """image_id, png: opaque pixels r, g, b."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.full((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1, 4), 255, np.uint8)
+        out[pdf["y"], pdf["x"], :3] = np.stack([pdf["r"], pdf["g"], pdf["b"]], 1)
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "png": [png(out)]})
+
+    return preview.groupBy("image_id").applyInPandas(run, f"image_id {preview.schema['image_id'].dataType.simpleString()}, png binary")
+
+
 def palette_table(palette: DataFrame) -> DataFrame:
     """layer, rgb_hex and cmyk, as the palette file lists them."""
     return palette.select("image_id", F.col("label").alias("layer"), hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("rgb_hex"), ink_text(*(F.col(f"ink_{c}") for c in "cmyk")).alias("cmyk"))
@@ -49,16 +60,30 @@ def write_text(df: DataFrame, path: str, by: list[str], value: str = "svg") -> N
     df.select(*by, value).write.mode("overwrite").partitionBy(*by).text(path)
 
 
+def palette_files(palette: DataFrame) -> DataFrame:
+    """image_id and the text of its palette file, darkest layer first."""
+    rows = palette_table(palette).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("layer", "rgb_hex", "cmyk"))).alias("rows"))
+    line = lambda r: F.concat_ws("\t", r["layer"].cast("string"), r["rgb_hex"], r["cmyk"])
+    return rows.select("image_id", F.concat(F.lit("layer\trgb_hex\tcmyk\n"), F.array_join(F.transform("rows", line), "\n"), F.lit("\n")).alias("text"))
+
+
+def named(df: DataFrame, prefix: str, many: bool, part=None, ending: str = "") -> DataFrame:
+    """df with name: the prefix, the image's own name where there are many, and what tells its files apart."""
+    own = F.regexp_extract(F.col("image_id").cast("string"), r"([^/]*?)(\.[^./]*)?$", 1)
+    return df.withColumn("name", F.concat_ws("_", F.lit(prefix), *([own] if many else []), *([part] if part is not None else []), *([F.lit(ending)] if ending else [])))
+
+
 def write_local(df: DataFrame, folder: str, name: str, value: str, suffix: str) -> None:
-    """Single files on a folder that all executors share: <name>.<suffix>, written aside and renamed."""
+    """Single files on a folder that all executors share: <name>.<suffix>, written aside and renamed; a task that runs twice leaves the same files."""
 
     def run(rows):
         os.makedirs(folder, exist_ok=True)
         for r in rows:
             data = r[value].encode() if isinstance(r[value], str) else bytes(r[value])
             path = os.path.join(folder, f"{r[name]}.{suffix}")
-            with open(f"{path}.part", "wb") as f:
+            aside = f"{path}.{os.getpid()}.part"
+            with open(aside, "wb") as f:
                 f.write(data)
-            os.replace(f"{path}.part", path)
+            os.replace(aside, path)
 
     df.select(name, value).foreachPartition(run)

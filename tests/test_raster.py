@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from inkgrid import cli
 from inkgrid.functions import color, tone
 from inkgrid.operators import fill, filters, quantize, regions, screens, smooth, svg, warp
-from inkgrid.params import LineParams, Preset, StencilParams, inks, paper, rotated
+from inkgrid.params import LineParams, Preset, StencilParams, inks, paper, rotated, switched
 from inkgrid.plans import pipelines
 from inkgrid.sources import rasters, sinks
 from inkgrid.streaming import jobs
@@ -252,6 +253,178 @@ def test_files_and_pipelines(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() >= 2
 
 
+def test_command_line(spark, tmp_path, capsys):
+    a = np.full((16, 20, 4), 255, np.uint8)
+    a[3:12, 3:14, :3] = (20, 40, 60)
+    a[5:9, 6:9, :3] = (250, 240, 10)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.png").write_bytes(sinks.png(a))
+    src, out = str(tmp_path / "in"), tmp_path / "out"
+    base = ["--input", src, "--out-prefix", str(out / "x")]
+    need = ["--spacing-px", "4", "--min-material-px", "1", "--min-cut-px", "0.5"]
+    assert cli.main(["halftone", *base, *need, "--paper", "a5", "--angles", "0,30,60,90", "--shape", "dots"]) == 0
+    assert sorted(p.name for p in out.iterdir() if p.is_file()) == ["x_c.svg", "x_k.svg", "x_m.svg", "x_preview.png", "x_y.svg"]
+    text = (out / "x_m.svg").read_text()
+    assert 'fill="#ff00ff"' in text and "MAGENTA 2/4" in text and text.count("<circle") == 4
+    scale = min((210 - 20) / 20, (148 - 20) / 16)
+    assert f'r="{max(1 * scale, 2):.3f}"' in text
+    said = capsys.readouterr().err
+    assert said.count(" ribbons, cut ") == 4 and "layer k" in said
+    assert cli.main(["stencil", *base, "--colors", "2", "--min-feature-px", "2"]) == 0
+    assert {"x_0.svg", "x_1.svg", "x_palette.txt"} <= {p.name for p in out.iterdir()}
+    assert (out / "x_palette.txt").read_text().splitlines()[0] == "layer\trgb_hex\tcmyk" and " px kept, " in capsys.readouterr().err
+    (tmp_path / "in" / "two.png").write_bytes(sinks.png(np.full((8, 8, 4), 255, np.uint8)))  # one colour: a layer keeps nothing
+    assert cli.main(["stencil", *base, "--colors", "3", "--format", "png", "--bridges", "on", "--min-material-px", "2"]) == 0
+    assert {"x_one_0.png", "x_two_2.png", "x_two_palette.txt"} <= {p.name for p in out.iterdir()}
+    capsys.readouterr()
+    for bad in (["halftone", *base], ["halftone", *base, *need, "--paper", "B1"], ["halftone", *base, *need, "--angles", "1,2"], ["halftone", *base, *need, "--loads", "a,b,c,d"], ["halftone", *base, *need[:-1], "x"], ["halftone", *base, *need, "--gamma", "0"],
+                ["stencil", *base], ["stencil", *base, "--colors", "1"], ["stencil", *base, "--colors", "x"], ["stencil", *base, "--colors", "2", "--bridges", "on"], ["stencil", *base, "--colors", "2", "--format", "gif"], ["stencil", *base, "--colors", "2", "--white-point", "0.9", "--black-point", "0.2"]):
+        assert cli.main(bad) == 1, bad
+        assert capsys.readouterr().err.startswith("error: ")
+    assert cli.main([]) == cli.main(["other", "--x", "1"]) == 2
+
+
+def test_command_line_parameters(tmp_path):
+    p = cli.line_params({"spacing-px": "6", "shape": "blue-noise", "k-mode": "contour", "auto-levels": "on", "gamma": "odd", "unknown": "1"}, LineParams())
+    assert (p.spacing, p.shape, p.k_mode, p.auto_levels, p.gamma) == (6, "bluenoise", "contour", True, 1)
+    s = cli.stencil_params({"colors": "3", "min-feature-px": "4", "coarsen-px": "1.5"}, StencilParams())
+    assert (s.colors, s.min_feature_px, s.blur_px, s.bridges) == (3, 16, 1.5, False)
+    s = cli.stencil_params({"colors": "3", "bridges": "on", "min-material-px": "2", "bridge-px": "-1"}, StencilParams())
+    assert (s.bridges, s.bridge_px) == (True, 2)
+    assert [i.angle for i in cli.ink_set({"angle-k": "7"}, Preset())] == [15, 135, 0, 7] and len(cli.ink_set({"inks": "cmykog"}, Preset())) == 6
+    mine = Preset("cmykog", LineParams(shape="hatch"), (1.0,) * 6, (0.5,) * 6, StencilParams(colors=7, bridges=False), "stencil", "A3", 4.0, True)
+    mine.save(str(tmp_path / "p.txt"))
+    assert Preset.load(str(tmp_path / "p.txt")) == mine
+    assert Preset().loads_text("paper = b9\nmode = x\nmargin = y\nstencil.colors = z\nangles_locked = maybe") == Preset()
+    assert switched("cmykog").angles == (15, 135, 0, 30, 60, 45) and switched("cmykog").loads == (1,) * 6
+    assert LineParams(spacing=4, min_material=9, kerf=-1).clamped().min_material == pytest.approx(3.99) and LineParams(kerf=-1).clamped().kerf == 0
+
+
+def test_images_of_one_colour(spark):
+    px = spark.createDataFrame([(k, x, y, v, v, v) for k, v in ((0, 255), (1, 7)) for x in range(9) for y in range(7)], "image_id int, x int, y int, r int, g int, b int")
+    got = pipelines.stencil(px, StencilParams(colors=3))
+    assert got.sheets.count() == 6 and got.rings.count() == 2 and got.preview.where("image_id = 1").agg(F.max("r")).first()[0] == 7
+    assert {r["n_kept"] for r in got.report.collect()} == {0, 63}
+
+
+def brute_merge(labels, least):
+    """Flood fill, smallest first; each takes the label that most of its edges lead to."""
+    h, w = labels.shape
+    comp, cells = -np.ones((h, w), int), []
+    for y in range(h):
+        for x in range(w):
+            if comp[y, x] < 0:
+                todo, own = [(y, x)], []
+                comp[y, x] = len(cells)
+                while todo:
+                    a, b = todo.pop()
+                    own.append((a, b))
+                    for c, d in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                        if 0 <= c < h and 0 <= d < w and comp[c, d] < 0 and labels[c, d] == labels[y, x]:
+                            comp[c, d] = len(cells)
+                            todo.append((c, d))
+                cells.append(own)
+    out = labels.copy()
+    for k in sorted(range(len(cells)), key=lambda k: (len(cells[k]), k)):
+        if len(cells[k]) < least:
+            votes = {}
+            for a, b in cells[k]:
+                for c, d in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                    if 0 <= c < h and 0 <= d < w and comp[c, d] != k:
+                        votes[out[c, d]] = votes.get(out[c, d], 0) + 1
+            if votes:
+                for a, b in cells[k]:
+                    out[a, b] = min(votes, key=lambda v: (-votes[v], v))
+    return out, comp
+
+
+def test_merging_is_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        labels = rng.integers(0, 3, (9, 11)) if _ % 2 else rng.integers(0, 3, (3, 4)).repeat(3, 0).repeat(3, 1)[:9, :11]
+        want, comp = brute_merge(labels, 5)
+        assert (regions.merge_small(labels, 5) == want).all() and (regions.components_of(labels) == comp).all()
+
+
+def test_bridges_tie_all_islands():
+    rng = np.random.default_rng(5)
+    for k in range(30):
+        keep = rng.random((24, 26)) < 0.55
+        keep[[0, -1]] = keep[:, [0, -1]] = True
+        width = (1, 3, 4)[k % 3]
+        out, warnings = regions.bridge(keep, width)
+        comp = regions.components_of(keep.astype(int), keep)
+        sizes = np.bincount(comp[keep])
+        specks = {c for c in range(len(sizes)) if sizes[c] == 1 and comp[0, 0] != c}
+        assert sum("dropped speck" in w for w in warnings) == len(specks) == len(warnings)
+        rest = keep & ~np.isin(comp, list(specks))
+        assert (out | ~rest).all()  # nothing else is lost
+        assert len(np.unique(regions.components_of(out.astype(int), out)[out])) == 1
+    # the first tab is a shortest one
+    keep = np.ones((15, 15), bool)
+    keep[2:13, 1:13] = False
+    keep[4:6, 6:9] = True
+    out, _ = regions.bridge(keep, 1)
+    assert out.sum() - keep.sum() == 2 and out[2:4, 6:9].sum() == 2
+
+
+def test_trace_turns_and_places():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        keep = rng.random((7, 9)) < 0.5
+        pad = np.pad(keep, 1).astype(int)
+        corners = pad[:-1, :-1] + pad[1:, :-1] + pad[:-1, 1:] + pad[1:, 1:]
+        diagonal = (corners == 2) & (pad[:-1, :-1] == pad[1:, 1:])
+        rings = regions.trace(keep)
+        assert sum(len(r) for _, r in rings) == (corners % 2).sum() + 2 * diagonal.sum()
+        for kind, r in rings:
+            assert (kind == "outer") == (regions.signed_area(r) < 0) and regions.collapse(r) == r
+        assert sum(k == "outer" for k, _ in rings) == regions.components_of(keep.astype(int), keep).max(initial=-1) + 1
+
+
+def test_loads_change_their_ink_only(spark):
+    maps = rasters.analytic(spark, 40, 40, lambda x, y: F.lit(1.0) + 0 * x, "m").unionByName(rasters.analytic(spark, 40, 40, lambda x, y: F.lit(0.5) + 0 * x, "c"))
+    cut = lambda load: {(r["channel"], r["li"]): [tuple(k) for k in r["knots"]] for r in screens.runs(screens.widths(screens.toned(maps, BASE, [ink(channel="c"), ink(channel="m", load=load)]), BASE), BASE).collect()}
+    full, half = cut(1.0), cut(0.5)
+    assert {k: v for k, v in full.items() if k[0] == "c"} == {k: v for k, v in half.items() if k[0] == "c"}  # bit for bit
+    assert {2 * v[0][2] for k, v in full.items() if k[0] == "m"} == {8.0} and {2 * v[0][2] for k, v in half.items() if k[0] == "m"} == {4.0}
+
+
+def test_necks_grow_as_loads_shrink(spark):
+    den = rasters.analytic(spark, 48, 48, lambda x, y: F.lit(0.9) + 0 * x, "c")
+    necks = []
+    for load in (0.4, 0.6, 0.8, 1.0):
+        rib = screens.screen(den, BASE, [ink(load=load)])
+        grid = den.select("image_id", "x", "y")
+        mask = fill.masks(fill.fill(rib, screens.sizes(den)), grid, screens.ink_table(spark, [ink(load=load)]))
+        necks.append(filters.stiffness(mask, ["image_id", "channel"]).first()["neck_px"])
+    assert necks == sorted(necks, reverse=True)
+
+
+def test_blue_noise(spark):
+    p = LineParams(spacing=10, w_min=1, min_material=2, shape="bluenoise", dot_min=1, dot_max=8)
+    ramp = rasters.analytic(spark, 200, 40, lambda x, y: 1 - x / 199.0, "c")
+    maps = screens.toned(ramp, p, [ink()])
+    got, again = ([tuple(r) for r in screens.bluenoise(maps, p).orderBy("gi", "gj").collect()] for _ in range(2))
+    assert got == again and got
+    x, r = np.array([g[4] for g in got]), np.array([g[6] for g in got])
+    assert 2 * r[x < 67].mean() > 2 * r[x > 133].mean() + 1 and 2 * r.max() <= 8.01
+    full = screens.bluenoise(screens.toned(rasters.analytic(spark, 80, 80, lambda x, y: F.lit(1.0) + 0 * x, "c"), p, [ink()]), LineParams(spacing=10, w_min=1, min_material=2, shape="bluenoise", dot_min=0, dot_max=1000)).collect()
+    at = np.array([(c["cx"], c["cy"]) for c in full])
+    apart = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1))[~np.eye(len(at), dtype=bool)]
+    assert max(2 * c["r"] for c in full) <= 8.01 and apart.min() >= 9.99
+
+
+def test_hatch_lines_keep_apart(spark):
+    p = LineParams(spacing=10, w_min=1, min_material=2, shape="hatch", hatch_bins=4)
+    den = rasters.analytic(spark, 64, 64, lambda x, y: F.sin(F.atan2(y - 32.0, x - 32.0)) * 0.5 + 0.5, "c")
+    rib = screens.screen(den, p, [ink()]).collect()
+    assert len(rib) > 5
+    lines = [np.array([(q["x"], q["y"]) for q in r["pts"]]) for r in rib]
+    near = min(np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1)).min() for i, a in enumerate(lines) for b in lines[:i])
+    assert near >= p.min_material - 1
+
+
 def test_latest_jobs_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 1, 5.0), ("a", 2, 2, 6.0), ("b", 1, 3, 7.0)], "session string, ts int, seq int, value double")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
