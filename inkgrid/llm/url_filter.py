@@ -67,7 +67,9 @@ class Rules:
 @dataclass(frozen=True)
 class UrlParams:
     rules: list = field(default_factory=lambda: RULES)
-    trees: int = 40
+    trees: int = 60
+    columns: float = 0.5  # share of the features that a tree may use
+    seed: int = 7
     depth: int = 3
     bins: int = 32
     rate: float = 0.2
@@ -108,7 +110,7 @@ def lexical(url: str | None, host: str, path: str, rates: tuple[float, float, fl
 
 
 class BoostedTrees:
-    """Histogram gradient boosting for the logistic loss; full binary trees of a fixed depth."""
+    """Histogram gradient boosting for the logistic loss; full binary trees of a fixed depth, each on a sample of the features, so that no one feature decides alone."""
 
     def __init__(self, p: UrlParams):
         self.p, self.start, self.edges, self.trees = p, 0.0, [], []
@@ -122,9 +124,10 @@ class BoostedTrees:
         self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, p.bins + 1)[1:-1])) for f in range(x.shape[1])]
         binned = self._bin(x)
         raw = np.full(len(y), self.start)
+        rng, few = np.random.default_rng(p.seed), max(1, math.ceil(p.columns * x.shape[1]))
         for _ in range(p.trees):
             q = 1 / (1 + np.exp(-raw))
-            tree, leaf = self._grow(binned, y - q, q * (1 - q))
+            tree, leaf = self._grow(binned, y - q, q * (1 - q), np.sort(rng.choice(x.shape[1], few, replace=False)))
             self.trees.append(tree)
             raw += tree[2][leaf]
         return self
@@ -132,13 +135,13 @@ class BoostedTrees:
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(self.edges)], 1)
 
-    def _grow(self, binned, g, h):
+    def _grow(self, binned, g, h, features):
         p, n = self.p, 1 << self.p.depth
         feature, cut, node = np.zeros(n, int), np.full(n, p.bins), np.zeros(len(g), int)
         for level in range(p.depth):
             width = 1 << level
             best = np.full(width, 1e-9)
-            for f in range(binned.shape[1]):
+            for f in features.tolist():
                 flat = node * p.bins + binned[:, f]
                 gs = np.bincount(flat, g, width * p.bins).reshape(width, p.bins).cumsum(1)
                 hs = np.bincount(flat, h, width * p.bins).reshape(width, p.bins).cumsum(1)

@@ -515,7 +515,7 @@ def test_url_statistics_are_out_of_fold(spark):
 def test_boosted_trees_are_brute_force():
     r = np.random.default_rng(2)
     x, y = np.round(r.normal(size=(80, 3)), 1), r.integers(0, 2, 80).astype(float)
-    p = url_filter.UrlParams(trees=1, depth=1, bins=100)
+    p = url_filter.UrlParams(trees=1, depth=1, bins=100, columns=1.0)
     model = url_filter.BoostedTrees(p).fit(x, y)
     q = y.mean()
     best = max(((sum(y[s] - q) ** 2 / (s.sum() * q * (1 - q) + 1) + sum(y[~s] - q) ** 2 / ((~s).sum() * q * (1 - q) + 1), f, c) for f in range(3) for c in np.unique(x[:, f]) if 0 < (s := x[:, f] <= c).sum() < 80))
