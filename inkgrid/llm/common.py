@@ -35,9 +35,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet to the shared folder and reads it back."""
+    """Cuts lineage: writes df as Parquet to the shared folder, where it stays until the driver ends, and reads it back."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
+    files, place = _files(df.sparkSession, path)
+    files.deleteOnExit(place)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._inkgrid_path = path
     return out
@@ -88,9 +90,14 @@ def discard(df: DataFrame) -> None:
     """Deletes a table of materialise() that nothing will read again."""
     path = getattr(df, "_inkgrid_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        files, place = _files(df.sparkSession, path)
+        files.delete(place, True)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def total_bytes(df: DataFrame, column: str) -> int:
