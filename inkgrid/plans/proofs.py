@@ -45,6 +45,22 @@ step as (select *, coalesce(lead(kx) over w, kx) - coalesce(lag(kx) over w, kx)
 poly as (select image_id, channel, li, g, n pos, kx + hw*dy/greatest(sqrt(dx*dx+dy*dy),1e-6) x, ky - hw*dx/greatest(sqrt(dx*dx+dy*dy),1e-6) y from step union all
   select image_id, channel, li, g, 2*total+1-n, kx - hw*dy/greatest(sqrt(dx*dx+dy*dy),1e-6), ky + hw*dx/greatest(sqrt(dx*dx+dy*dy),1e-6) from step)""" + _SHOELACE
 
+#: The ribbons' pixels by the even-odd rule, then distances to them, ridges and the lower twentieth, for every image and ink.
+ORACLE_SQL["halftone_report"] = _lines("li*8") + """, ends as (select image_id, channel, angle, li, g, i, 1 late, v2 v, hw from run union all select image_id, channel, angle, li, g, i, 0, v, hw from (select *, row_number() over (partition by image_id, channel, li, g order by i) n from run) where n = 1),
+knot as (select *, row_number() over w n, count(*) over (partition by image_id, channel, li, g) total from ends window w as (partition by image_id, channel, li, g order by i, late)),
+flat as (select image_id, channel, angle, li, g, n pos, v, li*8-hw u from knot union all select image_id, channel, angle, li, g, 2*total+1-n, v, li*8+hw from knot),
+poly as (select image_id, channel, li, g, pos, 32 - u*sin(radians(angle)) + v*cos(radians(angle)) x, 32 + u*cos(radians(angle)) + v*sin(radians(angle)) y from flat),
+edge as (select image_id, channel, li, g, x ax, y ay, coalesce(lead(x) over w, first_value(x) over w) bx, coalesce(lead(y) over w, first_value(y) over w) byy from poly window w as (partition by image_id, channel, li, g order by pos)),
+crossing as (select image_id, channel, li, g, r.range::int y, ax + (r.range+0.5-ay)/(byy-ay)*(bx-ax) x from edge, range(64) r where (ay <= r.range+0.5) <> (byy <= r.range+0.5)),
+pair as (select *, row_number() over (partition by image_id, channel, li, g, y order by x) rn, lead(x) over (partition by image_id, channel, li, g, y order by x) x2 from crossing),
+cut as materialized (select distinct image_id, channel, p.range::int x, y from pair, range(64) p where rn % 2 = 1 and p.range >= x and p.range <= x2),
+mk as (select den.image_id, den.channel, den.x, den.y, cut.x is null keep from den left join cut on cut.image_id = den.image_id and cut.channel = den.channel and cut.x = den.x and cut.y = den.y),
+dist as (select a.image_id, a.channel, a.x, a.y, a.keep, coalesce(min(3*greatest(abs(a.x-c.x),abs(a.y-c.y))+least(abs(a.x-c.x),abs(a.y-c.y))),65531)::int dist from mk a left join cut c on c.image_id = a.image_id and c.channel = a.channel group by 1,2,3,4,5),
+r1 as (select *, max(dist) over (partition by image_id, channel, y order by x rows between 3 preceding and 3 following) m from dist),
+ridge as (select *, max(m) over (partition by image_id, channel, x order by y rows between 3 preceding and 3 following) ridge from r1),
+gr as (select image_id, channel, avg(case when keep then 0.0 else 1.0 end) removed, percentile_disc(0.05) within group (order by least(ridge,511)) filter (where keep) p from ridge group by 1, 2), nk as (select *, coalesce(2*greatest(p/3.0-0.5,0),0) neck from gr)
+select image_id, channel, round(removed,4) removed, round(neck,3) neck_px, case when neck >= 2 then 'ok' when neck >= 1 then 'thin' else 'fragile' end band from nk"""
+
 _CIRCLE = "greatest(least(ceil(2*pi()*r/1.5),48),8)"
 
 ORACLE_SQL["ribbons_dots"] = f"""{_MAPS}, n as (select cast(range as int) - 13 v from range(27)),
