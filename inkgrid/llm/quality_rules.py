@@ -13,7 +13,7 @@ tokens all bounds widen with the square root of the count, as the measures' erro
 
 Null texts are empty texts: all counts are 0 and base_failed is true (fewer than 10 words). Rows are judged one by one,
 so repeated rows, ties and null ids give a row each; a null or unknown language is judged by script; empty tables give
-empty tables. Long texts are cut at spaces and encoded piece by piece. Other columns are not read by ``measured`` and pass
+empty tables. Texts over ``window`` characters are cut before spaces and encoded part by part. Other columns are not read by ``measured`` and pass
 unchanged through ``kept_documents``, whatever their names.
 """
 
@@ -50,8 +50,8 @@ class QualityParams:
     sure_tokens: int = 64
     min_words: int = 10
     max_repeat_percent: int = 20
-    window: int = 5
-    cache_entries: int = 60_000
+    repeat_window: int = 5
+    window: int = 1 << 16
     references: dict = field(default_factory=lambda: REFERENCES)
 
 
@@ -64,13 +64,13 @@ _NAMES = [b for _, b in SCRIPT_STARTS]
 
 
 class Fertility:
-    """Token ids of whole texts under every vocabulary. Text between single spaces is encoded once and remembered, in bounded memory."""
+    """Token ids of whole texts under every vocabulary."""
 
-    def __init__(self, paths: tuple[str, ...], entries: int):
+    def __init__(self, paths: tuple[str, ...], window: int):
         import public_tokenizers
         import tiktoken
 
-        self.encode, self.partial = [], []
+        self.encode, self.partial, self.window = [], [], window
         for path in paths or [public_tokenizers.path(f"byte_bpe_{k}50k.tiktoken") for k in ("", "multi_")]:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -82,23 +82,17 @@ class Fertility:
                 except UnicodeDecodeError:
                     partial[i] = True
             self.partial.append(partial)
-        self.entries, self.cache = entries, {}
 
     def ids(self, text: str) -> list[np.ndarray]:
-        """Each space starts a token of its own run, so pieces at spaces are measured apart."""
-        if len(self.cache) > self.entries:
-            self.cache.clear()
-        cache, out, lead = self.cache, [], ""
-        for piece in text.split(" "):
-            key = lead + piece
-            got = cache.get(key)
-            if got is None:
-                got = tuple(np.array(e(key), np.int32).tobytes() for e in self.encode)
-                if len(key) <= 64:
-                    cache[key] = got
-            out.append(got)
-            lead = " "
-        return [np.frombuffer(b"".join(x), np.int32) for x in zip(*out)]
+        """Texts beyond the window are cut before spaces (where there is none, at the window), and the parts encoded one by one."""
+        parts, at = [], 0
+        while len(text) - at > self.window:
+            to = text.rfind(" ", at + 1, at + self.window)
+            to = to if to > 0 else at + self.window
+            parts.append(text[at:to])
+            at = to
+        parts.append(text[at:] if at else text)
+        return [np.concatenate([np.array(e(x), np.int32) for x in parts]) for e in self.encode]
 
     def measure(self, text: str) -> list[tuple[int, float, float]]:
         """Tokens, fallback share and entropy under each vocabulary."""
@@ -169,7 +163,7 @@ def _repeats(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def base_counts(data: np.ndarray, offs: np.ndarray, p: QualityParams) -> dict[str, np.ndarray]:
     at = lambda flags: (s := np.concatenate([[0], np.cumsum(flags)]))[offs[1:]] - s[offs[:-1]]
-    n_words, repeat = _repeats(data, offs, p.window)
+    n_words, repeat = _repeats(data, offs, p.repeat_window)
     dup = []
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
         lines = [x for x in data[a:b].tobytes().split(b"\n") if x.strip()]
@@ -189,7 +183,7 @@ def measures(p: QualityParams) -> list[tuple[str, str]]:
 
 
 def _measure(p: QualityParams, raw: np.ndarray, offs: np.ndarray, langs: list[str | None]) -> list[list]:
-    key = (p.vocabularies, p.cache_entries)
+    key = (p.vocabularies, p.window)
     if key not in _FERTILITY:
         _FERTILITY[key] = Fertility(*key)
     fert, names = _FERTILITY[key], [k for k, _ in measures(p)]
