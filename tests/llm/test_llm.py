@@ -281,6 +281,41 @@ def test_decontamination(spark, docs, none):
         assert decontaminate.least_distance(a, c)[0] == min(prev)
 
 
+def test_decontamination_is_brute_force(spark):
+    r = random.Random(31)
+    fresh = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    items = [fresh(n) for n in (1, 3, 7, 8, 9, 12, 20, 33, 63, 64, 90)]
+
+    def edited(words, n):
+        words = list(words)
+        for _ in range(n):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[], [f"new{r.randrange(99)}"], [words[at], f"new{r.randrange(99)}"]])
+        return words
+
+    docs = []
+    for k in range(60):
+        item = items[k % len(items)]
+        docs.append((k, " ".join([*fresh(r.randrange(30)), *edited(item, r.choice([0, 1, len(item) // 10, len(item) // 5, len(item) // 3])), *fresh(r.randrange(30))])))
+
+    def least(item, text):
+        prev = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            cur = [i]
+            for j in range(1, len(text) + 1):
+                cur.append(min(prev[j - 1] + (x != text[j - 1]), prev[j] + 1, cur[j - 1] + 1))
+            prev = cur
+        return min(prev), prev.index(min(prev))
+
+    want = {(d, i): least(item, t.split()) for d, t in docs for i, item in enumerate(items)}
+    want = {k: v for k, v in want.items() if v[0] <= (int(len(items[k[1]]) * 0.2 + 1e-9) if len(items[k[1]]) >= 8 else 0)}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["distance"], x["end_word"]) for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want) and len(want) > 30
+    assert all(got[k][0] == want[k][0] for k in got)
+    assert {k for k in want if len(items[k[1]]) < 8 or want[k][0] == 0} <= set(got)
+
+
 def test_decontamination_recall():
     p, rng = decontaminate.DecontaminationParams(), np.random.default_rng(5)
     seqs = [rng.integers(1, 1 << 63, int(n), dtype=np.uint64) for n in rng.integers(16, 60, 80)]
@@ -416,6 +451,41 @@ def test_quality_classifier(spark, docs, none):
     assert {x["score"] for x in quality_classifier.scored(docs, blank).collect()} == {0.5}
 
 
+def test_ftrl_is_its_definition():
+    r = random.Random(6)
+    p = quality_classifier.ClassifierParams(bits=4, epochs=2, l1=0.01, l2=0.1)
+    rows = [(np.array(sorted(r.sample(range(16), 3))), np.array([r.random() for _ in range(3)]), float(r.randrange(2))) for _ in range(40)]
+    z, n = [0.0] * 17, [0.0] * 17  # the last is the bias, without a penalty
+
+    def weight(k):
+        l1, l2 = (p.l1, p.l2) if k < 16 else (0.0, 0.0)
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((p.beta + math.sqrt(n[k])) / p.alpha + l2)
+
+    for _ in range(p.epochs):
+        for index, value, label in rows:
+            x = [*zip(index.tolist(), value.tolist()), (16, 1.0)]
+            w = {k: weight(k) for k, _ in x}
+            error = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x))) - label
+            for k, v in x:
+                g = error * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / p.alpha * w[k]
+                n[k] += g * g
+    model = quality_classifier.train_ftrl(rows, p)
+    assert model.weights == pytest.approx([weight(k) for k in range(16)], abs=1e-6) and model.bias == pytest.approx(weight(16))
+
+
+def test_classifier_features_are_brute_force():
+    p, t = quality_classifier.ClassifierParams(bits=30), [None, "", "One two one TWO one", "one two"]
+    raw, offs = common.utf8_view(pa.array(t))
+    (bounds, index, value, i, j), = quality_classifier.features(raw, offs, p)
+    assert (i, j) == (0, 4) and bounds.tolist() == [0, 0, 0, 4, 7]  # one, two, one two, two one; one, two, one two
+    own = Counter(["one", "two", "one", "two", "one", ("one", "two"), ("two", "one"), ("one", "two"), ("two", "one")])
+    want = sorted(1 + math.log(c) for c in own.values())
+    norm = math.sqrt(sum(v * v for v in want))
+    assert sorted(value[:4]) == pytest.approx([v / norm for v in want]) and set(index[4:]) < set(index[:4])
+    assert value[4:] == pytest.approx([3**-0.5] * 3)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header class="site">Top</header><nav><ul><li><a href="/">Menu</a></li></ul></nav>
 <div class="layout"><aside>Side</aside><div class="post-12"><h1>Head &amp; line</h1><p>First <b>para</b>
  with   space<p>Second &eacute; para that is longer than the others by far<div class="ad">Buy</div><form>Mail</form><script>x("<p>no</p>")</script><!-- c --></div>
