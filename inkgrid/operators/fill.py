@@ -33,9 +33,9 @@ def composite(cut: DataFrame, inks: DataFrame, grid: DataFrame) -> DataFrame:
     return grid.join(mixed, ["image_id", "x", "y"], "left").select("image_id", "x", "y", *(F.floor(F.coalesce(c, F.lit(1.0)) * 255 + 1e-9).cast("int").alias(c) for c in "rgb"))
 
 
-def masks(cut: DataFrame, grid: DataFrame, channels: DataFrame) -> DataFrame:
+def masks(cut: DataFrame, grid: DataFrame, channels: list[str]) -> DataFrame:
     """keep of every pixel for each channel: what is not cut."""
-    every = grid.join(F.broadcast(channels.select("channel")))
+    every = grid.select("*", F.explode(F.array(*map(F.lit, channels))).alias("channel"))
     return every.join(cut.select("image_id", "channel", "x", "y", F.lit(True).alias("_cut")), ["image_id", "channel", "x", "y"], "left").select("image_id", "channel", "x", "y", F.col("_cut").isNull().alias("keep"))
 
 

@@ -255,9 +255,9 @@ lab as (select *, 116*fy-16 l, 500*(fx-fy) a, 200*(fy-fz) bb from f), cen as (se
 far as (select lab.*, label, cl, ca, cb, row_number() over (partition by image_id, r, g, b order by (l-cl)*(l-cl)+(a-ca)*(a-ca)+(bb-cb)*(bb-cb), label) rn from lab, cen), near as (select * from far where rn = 1)"""
 
 
-def _centres(s, cols):
-    rows = s.createDataFrame(_CENTRES, "label int, L double, a double, b_ double")
-    return cols.select("image_id").distinct().join(F.broadcast(rows))
+def _centres(cols):
+    few = F.array(*(F.struct(F.lit(i).alias("label"), F.lit(l).alias("L"), F.lit(a).alias("a"), F.lit(b).alias("b_")) for i, l, a, b in _CENTRES))
+    return cols.select("image_id").distinct().select("image_id", F.inline(few))
 
 
 @query(_NEAR + " select image_id, label, sum(n)::bigint n_pixels, count(*) n_colours from near group by 1, 2")
@@ -269,7 +269,7 @@ def nearest_palette(s, d):
 select i.image_id, cen.label, round(coalesce(mean.l, cl),3) lab_l, round(coalesce(mean.a, ca),3) lab_a, round(coalesce(mean.b, cb),3) lab_b from imgs i cross join cen left join mean on mean.image_id = i.image_id and mean.label = cen.label""")
 def lloyd_step(s, d):
     cols = materialise(quantize.colours(_bytes(s, d)), "colours")
-    return quantize.lloyd_step(cols, _centres(s, cols)).select("image_id", "label", R("L", 3).alias("lab_l"), R("a", 3).alias("lab_a"), R("b_", 3).alias("lab_b"))
+    return quantize.lloyd_step(cols, _centres(cols)).select("image_id", "label", R("L", 3).alias("lab_l"), R("a", 3).alias("lab_a"), R("b_", 3).alias("lab_b"))
 
 
 @query()

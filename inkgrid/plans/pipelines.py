@@ -37,7 +37,7 @@ def halftone(pixels: DataFrame, p: LineParams, set_: list[Ink], paper: str | Non
     frame = screens.sizes(density).join(F.broadcast(inks.select("channel", label.alias("label"), shade.alias("fill"))), "channel")
     cut = materialise(fill.fill(ribbons, frame), "cut")
     grid = pixels.select("image_id", "x", "y")
-    masks = fill.masks(cut, grid, inks)
+    masks = fill.masks(cut, grid, [i.channel for i in set_])
     counts = ribbons.groupBy("image_id", "channel").agg(F.count("*").alias("n_ribbons"))
     report = filters.stiffness(masks, ["image_id", "channel"]).withColumn("band", tone.stiffness_band(F.col("neck_px"))).join(counts, ["image_id", "channel"], "left").fillna(0, ["n_ribbons"])
     return Halftone(ribbons, cut, fill.composite(cut, inks, grid), report, svg.ribbons_svg(ribbons, frame, ["image_id", "channel"], paper, margin, 2.0, p.min_material))

@@ -105,7 +105,7 @@ def proximity(s, d):
 @query(PX + " select image_id, channel, x, y, not d > 0.40013 keep from den")
 def ink_masks(s, d):
     px = materialise(raster_rgb(s, d), "raster")
-    return fill.masks(densities(px, SET).where("d > 0.40013"), px.select("image_id", "x", "y"), screens.ink_table(s, SET))
+    return fill.masks(densities(px, SET).where("d > 0.40013"), px.select("image_id", "x", "y"), [i.channel for i in SET])
 
 
 @query(PX + ", t as (select image_id, x, y, floor(least(k,0.999)*4+0.0007)::int label from ink) select image_id, x, y, (case when label = 3 then 255 else label*40 end)::int r, (case when label = 3 then 255 else label*50 end)::int g, (case when label = 3 then 255 else 10 end)::int b from t")

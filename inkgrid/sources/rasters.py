@@ -32,8 +32,9 @@ def grid(sizes: DataFrame) -> DataFrame:
 def raster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as one image: a row for each vector, scaled to [0, 1] over the table."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("y"), F.posexplode("embedding").alias("x", "v"))
-    bounds = e.agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))  # one row
-    return e.join(F.broadcast(bounds)).select(F.lit(0).alias("image_id"), F.lit("k").alias("channel"), "x", "y", ((F.col("v").cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("d"))
+    lo, hi = e.agg(F.min("v").cast("double"), F.max("v").cast("double")).first()
+    lo, hi = (0.0, 1.0) if lo is None else (lo, hi)
+    return e.select(F.lit(0).alias("image_id"), F.lit("k").alias("channel"), "x", "y", ((F.col("v").cast("double") - lo) / (hi - lo)).alias("d"))
 
 
 def analytic(spark: SparkSession, w: int, h: int, d, channel: str = "k", image_id: int = 0) -> DataFrame:
