@@ -16,7 +16,7 @@ partial aggregate instead, by 128-bit hashes (the same result).
 
 Null and empty texts have no bytes to remove. Rows that repeat an id and its text are one document and lose the same
 bytes. Of rows with the same id and other texts, and of rows without an id, see ``_numbered``. Empty tables give empty
-tables. Texts over 4 MiB are read in overlapping pieces. Other columns pass unchanged, whatever their names.
+tables. Texts over ``piece_bytes`` are read in overlapping pieces. Other columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +42,9 @@ class SuffixParams:
     hot_kinds: int = 3000
     task_segments: int = 8_000
     memory_rows: int = 1 << 18
-    flush_rows: int = 1 << 20
+    flush_rows: int = 1 << 18
+    chunk_bytes: int = 1 << 18
+    piece_bytes: int = 1 << 20
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, p: SuffixParams, sound: SoundHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -277,15 +279,15 @@ _NAMES = ["name", "seg", "doc", "start", "size", "kind"]
 
 
 def _pieces(data: np.ndarray, offs: np.ndarray, p: SuffixParams, sound: SoundHash):
-    """Anchors of chunks of documents; a document beyond 4 MiB in pieces that share length - 1 bytes (row, name, seg, start, end)."""
-    for i, j in chunks(offs, 1 << 20):
-        if offs[j] - offs[i] <= 1 << 22:
+    """Anchors of chunks of documents; a document beyond piece_bytes in pieces that share length - 1 bytes (row, name, seg, start, end)."""
+    for i, j in chunks(offs, p.chunk_bytes):
+        if offs[j] - offs[i] <= p.piece_bytes:
             d, name, seg, start, end, _ = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], p, sound)
             own = offs[i:j][d] - offs[i] if len(d) else d
             yield i + d, name, seg, start - own, end - own
             continue
-        for a in range(int(offs[i]), int(offs[j]), 1 << 22):
-            part = data[a : min(int(offs[j]), a + (1 << 22) + p.length - 1)]
+        for a in range(int(offs[i]), int(offs[j]), p.piece_bytes):
+            part = data[a : min(int(offs[j]), a + p.piece_bytes + p.length - 1)]
             d, name, seg, start, end, _ = anchors(part, np.array([0, len(part)]), p, sound)
             yield i + d, name, seg, start + a - offs[i], end + a - offs[i]
 
