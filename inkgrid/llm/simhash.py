@@ -239,8 +239,8 @@ def _messages(distinct: DataFrame, made: Plan, grid: Grid, columns: tuple[str, .
         for b in batches:
             rows = np.stack([column_of(b, k).to_numpy().view(np.uint64) for k in columns], 1)
             for i, mask, flips in tables:
-                for lo in range(0, len(rows), max(1, (1 << 19) // len(flips))):
-                    part = rows[lo : lo + max(1, (1 << 19) // len(flips))]
+                for lo in range(0, len(rows), max(1, (1 << 17) // len(flips))):
+                    part = rows[lo : lo + max(1, (1 << 17) // len(flips))]
                     yield message(i, part, (part[:, 0] & np.uint64(mask))[:, None] ^ flips[None, :])
 
     def message(i: int, rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
