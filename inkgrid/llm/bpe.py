@@ -355,6 +355,17 @@ def transducer(path: str) -> Transducer:
     return _LOADED[path]
 
 
+@contextmanager
+def lent(path: str) -> Iterator[Transducer]:
+    """A transducer for one task; what it has remembered goes when the task ends, since the process stays for others."""
+    t = transducer(path)
+    try:
+        yield t
+    finally:
+        t.young, t.old = {}, {}
+        t.fits.clear()
+
+
 @contextmanager
 def uncollected() -> Iterator[None]:
     """Without the cycle collector, which would walk the caches again and again; the transducer makes no cycles."""
@@ -371,13 +382,13 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc
     """id and the ids array of every row; null texts have none."""
 
     def run(batches):
-        t = transducer(vocabulary)
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                with uncollected():
-                    ids = pa.array([t.encode(x.decode("utf-8", "replace")) for x in texts(column_of(part, text))], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([column_of(part, id), ids], names=[id, "ids"])
+        with lent(vocabulary) as t:
+            for b in batches:
+                for k in range(0, b.num_rows, 64):
+                    part = b.slice(k, 64)
+                    with uncollected():
+                        ids = pa.array([t.encode(x.decode("utf-8", "replace")) for x in texts(column_of(part, text))], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([column_of(part, id), ids], names=[id, "ids"])
 
     return mapped(docs.select(id, text), run, T.StructType([docs.schema[id], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -397,22 +408,22 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", id: str = "doc
     """A round trip in one pass: the number of ids, and SHA-256 of the ids joined by commas and of the decoded text."""
 
     def run(batches):
-        t = transducer(vocabulary)
-        for b in batches:
-            n, ids_hex, text_hex = [], [], []
-            for x in texts(column_of(b, text)):
-                count, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-                machine = codecs.getincrementaldecoder("utf-8")("replace")
-                with uncollected():
-                    for ids in t.encode_stream(windows(x.decode("utf-8", "replace"))):
-                        if ids:
-                            ids_hash.update(("," if count else "").encode() + ",".join(map(t.decimal.__getitem__, ids)).encode())
-                            text_hash.update(machine.decode(b"".join(map(t.bytes_of.__getitem__, ids))).encode())
-                            count += len(ids)
-                text_hash.update(machine.decode(b"", True).encode())
-                n.append(count)
-                ids_hex.append(ids_hash.hexdigest())
-                text_hex.append(text_hash.hexdigest())
-            yield pa.RecordBatch.from_arrays([column_of(b, id), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=[id, "n_tokens", "ids_sha256", "decoded_sha256"])
+        with lent(vocabulary) as t:
+            for b in batches:
+                n, ids_hex, text_hex = [], [], []
+                for x in texts(column_of(b, text)):
+                    count, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+                    machine = codecs.getincrementaldecoder("utf-8")("replace")
+                    with uncollected():
+                        for ids in t.encode_stream(windows(x.decode("utf-8", "replace"))):
+                            if ids:
+                                ids_hash.update(("," if count else "").encode() + ",".join(map(t.decimal.__getitem__, ids)).encode())
+                                text_hash.update(machine.decode(b"".join(map(t.bytes_of.__getitem__, ids))).encode())
+                                count += len(ids)
+                    text_hash.update(machine.decode(b"", True).encode())
+                    n.append(count)
+                    ids_hex.append(ids_hash.hexdigest())
+                    text_hex.append(text_hash.hexdigest())
+                yield pa.RecordBatch.from_arrays([column_of(b, id), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=[id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return mapped(docs.select(id, text), run, T.StructType([docs.schema[id], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
