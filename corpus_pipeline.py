@@ -52,16 +52,16 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches):
-        t = bpe.transducer(vocabulary)
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                with bpe.uncollected():
-                    ids = [t.encode(x.decode("utf-8", "replace")) for x in texts(column_of(part, "text"))]
-                yield pa.RecordBatch.from_arrays(
-                    [column_of(part, "doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids], pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded_sha256"],
-                )
+        with bpe.lent(vocabulary) as t:
+            for b in batches:
+                for k in range(0, b.num_rows, 64):
+                    part = b.slice(k, 64)
+                    with bpe.uncollected():
+                        ids = [t.encode(x.decode("utf-8", "replace")) for x in texts(column_of(part, "text"))]
+                    yield pa.RecordBatch.from_arrays(
+                        [column_of(part, "doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids], pa.string())],
+                        names=["doc_id", "n_tokens", "ids", "decoded_sha256"],
+                    )
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
     return mapped(docs.select("doc_id", "text"), run, schema)
