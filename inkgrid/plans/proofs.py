@@ -260,11 +260,11 @@ def homography_corners(s, d):
     return df.select("quad", "corner", R(u, 6).alias("u"), R(v, 6).alias("v"))
 
 
-@query(f"""{PX}, q as (select image_id, a.v ox, b.v oy, 6.4 + (a.v+0.5)*51.2/51 - 0.5 px, 12.8 + (b.v+0.5)*35.2/35 - 0.5 py from imgs, axis a, axis b where a.v < 51 and b.v < 35), {_SAMPLE}
-select taps.image_id, ox x, oy y, round(sum(t*r*255))::int r, round(sum(t*g*255))::int g, round(sum(t*b*255))::int b from taps join px p on p.image_id = taps.image_id and p.x = tx and p.y = ty group by 1,2,3""")
+@query(f"""{PX}, q as (select image_id, a.v ox, b.v oy, 6.4832 + (a.v+0.5)*51.2512/51 - 0.5 px, 13.0368 + (b.v+0.5)*35.0848/35 - 0.5 py from imgs, axis a, axis b where a.v < 51 and b.v < 35), {_SAMPLE}
+select taps.image_id, ox x, oy y, round(sum(t*r*254.7))::int r, round(sum(t*g*254.7))::int g, round(sum(t*b*254.7))::int b from taps join px p on p.image_id = taps.image_id and p.x = tx and p.y = ty group by 1,2,3""")
 def cropped_pixels(s, d):
-    px = materialise(raster_rgb(s, d).select("image_id", "x", "y", *((F.col(c) * 255).alias(c) for c in "rgb")), "raster")
-    return warp.crop_and_warp(px, 64, 64, crop=(0.1, 0.2, 0.9, 0.75))
+    px = materialise(raster_rgb(s, d).select("image_id", "x", "y", *((F.col(c) * 254.7).alias(c) for c in "rgb")), "raster")
+    return warp.crop_and_warp(px, 64, 64, crop=(0.1013, 0.2037, 0.9021, 0.7519))
 
 
 @query("""with c as (select range::int i, (range*37 % 140 - 20)/100.0 x0, (range*53 % 140 - 20)/100.0 x1 from range(400)), o as (select i, least(greatest(least(x0,x1),0),1) a, least(greatest(greatest(x0,x1),0),1) b from c),
