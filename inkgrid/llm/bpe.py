@@ -87,6 +87,7 @@ class Transducer:
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
         self.decimal = [str(i) for i in range(n)]
+        self.longest = max(map(len, self.bytes_of))
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.crowded = regex.compile(rf" [{WHITE}]|[{WHITE}] ")
         self.between = regex.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
@@ -170,14 +171,13 @@ class Transducer:
         """
         step, token, fits, n = self.next.get, self.token, self.fits.get, len(data)
         ids: list[int] = []
-        at, before, limit, dead = 0, -1, n, set()
+        at, before, limit, longest, dead = 0, -1, n, self.longest, set()
         while at < n:
-            node, k, t, end = 0, at, -1, at
-            while k < limit:
-                node = step(node << 8 | data[k])
+            node, t, end = 0, -1, at
+            for k, c in enumerate(data[at : min(limit, at + longest)], at + 1):
+                node = step(node << 8 | c)
                 if node is None:
                     break
-                k += 1
                 if token[node] >= 0:
                     t, end = token[node], k
             limit = n
@@ -240,11 +240,10 @@ class Transducer:
         return ids
 
     def _unit(self, unit: str) -> tuple[int, ...]:
-        """Of one match of the pattern."""
-        got = self.young.get(unit) or self.old.get(unit)
-        if got is None:
-            got = self._kept(unit, tuple(i for part in self.stream((unit.encode(),)) for i in part))
-        return got
+        """Of one match of the pattern: what stream() gives, which for less than two windows is one part at the end."""
+        data = unit.encode()
+        ids = self._settle(data) if len(data) < 2 * self.window else [i for part in self.stream((data,)) for i in part]
+        return self._kept(unit, tuple(ids))
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         """Of text between two places where the pattern can't join."""
@@ -252,10 +251,12 @@ class Transducer:
         if got is None:
             got = self.old.get(piece)
             if got is None:
+                if piece.isascii() and piece.removeprefix(" ").isalpha():
+                    return self._unit(piece)  # one match of the pattern
                 units = self.pattern.findall(piece)
                 if len(units) == 1:
                     return self._unit(piece)
-                got = tuple(i for unit in units for i in self._unit(unit))
+                got = tuple(i for unit in units for i in self.young.get(unit) or self.old.get(unit) or self._unit(unit))
             self._kept(piece, got)
         return got
 
