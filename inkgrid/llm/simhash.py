@@ -479,15 +479,16 @@ def components(edges: DataFrame, params: SimHashParams | None = None) -> DataFra
     now = materialise(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     for _ in range(p.max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         grown = materialise(large.distinct(), "large-star")
-        low = materialise(grown.groupBy("u").agg(F.min("v").alias("m")), "star")
+        low = grown.groupBy("u").agg(F.min("v").alias("m"))
         small = grown.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
         after = materialise(small.distinct(), "small-star")
         # stars only: no node is both a leaf and a centre, and each leaf has one centre
-        odd = after.groupBy("u").count().where("count > 1").limit(1).count() or after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
-        for t in (now, least, grown, low):
+        ends = after.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))).alias("e")).select("e.*")
+        odd = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf > 0 and centre > 0").limit(1).count()
+        for t in (now, grown):
             discard(t)
         now = after
         if not odd:
