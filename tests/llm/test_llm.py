@@ -133,6 +133,53 @@ def test_simhash_is_brute_force(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_components_are_brute_force(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(120)] + [(i, i + 1) for i in range(500, 540)] + [(7, 7)]
+    up = {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    got = {x["node"]: x["root"] for x in simhash.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert simhash.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_near_copies_of_one_group_link_by_their_shingles(spark):
+    """A group of copies with few to many edits, each near to many others: kept are the smallest ids of the exact components."""
+    r, base, rows = random.Random(12), prose(9000, 120, 4000).split(), []
+    for k in range(70):
+        words = list(base)
+        for at in r.sample(range(120), r.choice([0, 1, 2, 3, 5, 8])):
+            words[at] = f"edit{r.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(100, rows[3][1]), (3, "another text under the same id " + prose(9001, 60)), (3, rows[3][1]), (None, rows[4][1]), (None, prose(9002, 70))]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    want = sorted(((1 << 40) if rows[i][0] is None else rows[i][0], rows[i][1]) for i in range(len(rows)) if find(i) == i)
+    for block in (4096, 16):
+        p = simhash.SimHashParams(shingle=5, distance=14, similarity=0.8, block=block)
+        got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()
+        assert sorted((1 << 40 if x["doc_id"] is None else x["doc_id"], x["text"]) for x in got) == want
+
+
 def test_pigeonhole_finds_all_links(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
