@@ -31,20 +31,33 @@ from pyspark.sql import types as T
 from .common import chained, chunks, lowered, materialise, total_bytes, trim, utf8_view, word_hashes, word_spans
 
 #: Stand for the start and the end of a text among words' hashes.
-START, END = np.uint64(0x51A7), np.uint64(0xE4D0)
+START, END = np.uint64(0x51A6), np.uint64(0xE4D0)
+#: All bits of a hash but the lowest.
+FREE = ~np.uint64(1)
 
 
 @dataclass(frozen=True)
 class LMParams:
-    order: int = 3
+    order: int = 2  # 3 needs 1.7 times the disk between stages, see the README
     prior: float = 20.0
     discount: float = 0.5
     block_bytes: int = 5 << 20
     piece: int = 2048
 
 
-class Grams:
-    """Distinct n-grams of a block by order, and where they stand. Index 0 is order 1."""
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different values, a place of each, and each place's number among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(values), np.int32)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
+class Tokens:
+    """The n-grams of a block's texts, as hashes by order (index 0 is order 1) at the places of their last tokens; the lowest bit is free."""
 
     def __init__(self, raw: np.ndarray, offs: np.ndarray, order: int):
         words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -60,29 +73,42 @@ class Grams:
         inner = np.ones(len(syms), bool)
         inner[self.bounds[:-1]] = inner[self.bounds[1:] - 1] = False
         syms[self.bounds[:-1]], syms[self.bounds[1:] - 1] = START, END
-        syms[inner] = np.concatenate(words)
+        syms[inner] = np.concatenate(words) & FREE
         self.start = np.zeros(len(syms), bool)
         self.start[self.bounds[:-1]] = True
         self.doc = np.repeat(np.arange(docs, dtype=np.int32), n_words + 2)
         deep = np.arange(len(syms)) - self.bounds[self.doc] if docs else np.zeros(0, np.int64)
-        self.keys, self.id, self.suffix, self.context, self.last = [], [], [], [], []
-        gram = syms
+        self.at, self.gram, gram = [], [], syms
         for k in range(order):
             if k:
                 gram = np.concatenate([gram[:1], chained(gram[:-1], syms[1:])])
             at = np.flatnonzero(deep >= k) if k else np.arange(len(syms))
-            keys, first, inverse = np.unique(gram[at], return_index=True, return_inverse=True)
-            ids = np.full(len(syms), -1, np.int32)
-            ids[at] = inverse
+            self.at.append(at)
+            self.gram.append(gram[at] & FREE)
+
+    def counted(self, k: int, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Different n-grams of an order, and how often training texts have them: the free bit tells the texts apart, so one sort does."""
+        marked = np.sort(self.gram[k] | training[self.doc[self.at[k]]].astype(np.uint64))
+        keys = marked & FREE
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        return keys[new], np.add.reduceat((marked & ~FREE).astype(np.int64), new) if len(new) else new
+
+
+class Grams(Tokens):
+    """Distinct n-grams of a block by order, where they stand, and the n-grams that they end with and go on from."""
+
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, order: int):
+        super().__init__(raw, offs, order)
+        self.keys, self.id, self.suffix, self.context, self.last = [], [], [], [], []
+        for k, (at, gram) in enumerate(zip(self.at, self.gram)):
+            keys, place, number = distinct(gram)
+            ids = np.full(len(self.doc), -1, np.int32)
+            ids[at] = number
             self.keys.append(keys)
             self.id.append(ids)
-            self.last.append(self.id[0][at[first]])
-            if k:
-                self.suffix.append(self.id[k - 1][at[first]])
-                self.context.append(self.id[k - 1][at[first] - 1])
-            else:
-                self.suffix.append(None)
-                self.context.append(None)
+            self.last.append(self.id[0][at[place]])
+            self.suffix.append(self.id[k - 1][at[place]] if k else None)
+            self.context.append(self.id[k - 1][at[place] - 1] if k else None)
 
     def counts(self, k: int, training: np.ndarray) -> np.ndarray:
         ids = self.id[k]
@@ -151,7 +177,7 @@ class Automaton:
             else:
                 targets.append(base[k - 1] + grams.suffix[k][ids] if k else np.zeros(len(ids), np.int64))
         keys, weights, targets = (np.concatenate(x) for x in (keys, weights, targets))
-        by = np.argsort(keys, kind="stable")
+        by = np.argsort(keys)
         self.keys, self.weights, self.targets = keys[by], weights[by], targets[by]
         start = np.flatnonzero(grams.keys[0] == START)
         self.start = int(base[0] + start[0]) if len(start) and order > 1 else 0
@@ -207,14 +233,13 @@ def scored(docs: DataFrame, training: Column, params: LMParams | None = None, te
 
     def ask(t: pa.Table) -> pa.Table:
         raw, offs = utf8_view(t["_text"])
-        g = Grams(raw, offs, p.order)
-        use, block = t["training"].to_numpy(), t["_block"][0].as_py()
-        counts, bounds = [g.counts(k, use) for k in range(p.order)], [shard_bounds(keys, n) for keys in g.keys]
-        rows = []
+        g, use, block = Tokens(raw, offs, p.order), t["training"].to_numpy(), t["_block"][0].as_py()
+        found, counts = zip(*(g.counted(k, use) for k in range(p.order)))
+        bounds, rows = [shard_bounds(keys, n) for keys in found], []
         for s in range(n):
             own = [slice(b[s], b[s + 1]) for b in bounds]
             if any(x.stop > x.start for x in own):
-                rows.append((s, block, [packed(keys[x]) for keys, x in zip(g.keys, own)], [packed_counts(c[x]) for c, x in zip(counts, own)]))
+                rows.append((s, block, [packed(keys[x]) for keys, x in zip(found, own)], [packed_counts(c[x]) for c, x in zip(counts, own)]))
         trim()
         return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())))], names=["shard", "block", "keys", "counts"])
 

@@ -89,6 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LM = language_model.LMParams()
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_suffix_dedup": sql.SUFFIX, "op7_warc": sql.WARC, "op8_lm_scoring": sql.language_model(_LM.prior, _LM.discount),
+    "op6_suffix_dedup": sql.SUFFIX, "op7_warc": sql.WARC, "op8_lm_scoring": sql.language_model(_LM.order, _LM.prior, _LM.discount),
     "url_rules": sql.URL_RULES, "text_counts": sql.TEXT_COUNTS,
 }

@@ -43,8 +43,9 @@ r as (select n.doc_id, n.n_bytes, coalesce(n_removed, 0)::bigint n_removed, coal
 select doc_id, n_bytes::bigint n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(a) + 1), lambda j: substring(h, 2 * a[j] + 1, 2 * (b[j] - a[j]))), ''))) kept_sha256 from r"""
 
 
-def language_model(prior: float, discount: float) -> str:
-    """Order 3, as sums over all n-grams."""
+def language_model(order: int, prior: float, discount: float) -> str:
+    """Order 2 or 3, as sums over all n-grams."""
+    third = f"case when h2 > 0 then (k3 + {prior!r} * p2) / (h2 + {prior!r}) else p2 end" if order == 3 else "p2"
     return f"""
 with d as (select row_number() over () rid, doc_id, {_WORDS.format(_LOWER)} ws from documents), e as (select *, {crc32('cast(doc_id as varchar)')} % 7 = 2 held from d),
 u as (select rid, held, unnest(list_concat(['S'], list_transform(ws, lambda w: 'w' || w), ['E'])) w, generate_subscripts(list_concat(['S'], ws, ['E']), 1) i from e),
@@ -54,7 +55,7 @@ z as (select sum(c)::double n, count(*)::double v from c1 where w <> 'S'),
 p as (select rid, coalesce(c1.c, 0) k1, n, v, case when c1.c > 0 then (c1.c - {discount!r}) / n else {discount!r} * v / n end p1, f1.c h1, coalesce(c2.c, 0) k2, f2.c h2, coalesce(c3.c, 0) k3
   from g cross join z left join c1 on c1.w = g.w left join c1 f1 on f1.w = g.a left join c2 on c2.a = g.a and c2.w = g.w left join c2 f2 on f2.a = g.b and f2.w = g.a left join c3 on c3.b = g.b and c3.a = g.a and c3.w = g.w where g.i > 1),
 q as (select *, case when h1 > 0 then (k2 + {prior!r} * p1) / (h1 + {prior!r}) else p1 end p2 from p),
-s as (select rid, count(*) n_tokens, sum((k1 > 0)::int)::bigint n_known, any_value(n)::bigint train_tokens, round(fsum(log10((k1 + 1) / (n + v + 1))), 6) base_score, round(fsum(log10(case when h2 > 0 then (k3 + {prior!r} * p2) / (h2 + {prior!r}) else p2 end)), 6) score from q group by 1)
+s as (select rid, count(*) n_tokens, sum((k1 > 0)::int)::bigint n_known, any_value(n)::bigint train_tokens, round(fsum(log10((k1 + 1) / (n + v + 1))), 6) base_score, round(fsum(log10({third})), 6) score from q group by 1)
 select doc_id, held held_out, n_tokens, n_known, train_tokens, base_score, score from e join s on s.rid = e.rid"""
 
 
