@@ -30,7 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,8 @@ class SimHashParams:
     candidate_cost: float = 0.0015
     block: int = 4096
     max_listed: int = 500_000
+    task_comparisons: float = 2.5e8
+    task_entries: float = 1e6
     max_rounds: int = 60
     similarity: float | None = None
     first_distance: int = 8
@@ -295,7 +297,14 @@ def forest_links(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
 
 def _dealt(entries: DataFrame, made: Plan, n: int, p: SimHashParams, columns: tuple[str, ...]) -> DataFrame:
     rows = _messages(entries, made, _grid(entries, made, n, p), columns)
-    return rows.repartition("part", "key", "a", "b").sortWithinPartitions("part", "key", "a", "b")
+    return rows.repartition(_work(made, n, p), "part", "key", "a", "b").sortWithinPartitions("part", "key", "a", "b")
+
+
+def _work(made: Plan, n: int, p: SimHashParams) -> int:
+    """Tasks for a search, by the comparisons and the entries expected: the rows are small for the work that they make."""
+    each = [(len(flips), 2.0 ** mask.bit_count()) for _, mask, flips in _tables(made)]
+    compared, sent = sum(n * n * f / keys for f, keys in each), sum(n * f for f, _ in each)
+    return max(1, ceil(compared / p.task_comparisons), ceil(sent / p.task_entries))
 
 
 def _blocks(batches, width: int) -> Iterator[tuple[tuple[int, int, int, int], np.ndarray, np.ndarray]]:
