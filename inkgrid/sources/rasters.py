@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
@@ -14,16 +14,27 @@ SIDE = 64
 
 
 def raster_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One 64 x 64 image for each 1500 orders of lineitem; cells without rows are white."""
+    """One 64 x 64 image for each 1500 orders of lineitem; cells without rows are white.
+
+    A cell's values are added in the order of the files and of their rows: sums of doubles depend on the order to the last bit, which
+    thresholds and ties show, and merged partial sums come in any order.
+    """
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    cell = item.groupBy(F.floor(F.col("l_orderkey") / 1500).cast("int").alias("image_id"), (F.col("l_orderkey") % SIDE).cast("int").alias("x"), (F.col("l_partkey") % SIDE).cast("int").alias("y")).agg(
-        (F.avg("l_quantity") / 50).alias("r"), (F.avg("l_discount") / 0.1).alias("g"), (F.avg("l_tax") / 0.08).alias("b")
-    )
+    place = [F.col(c).alias(n) for n, c in (("f", "_metadata.file_name"), ("i", "_metadata.row_index"))]
+    at = F.floor(F.col("l_orderkey") / 1500).cast("int").alias("image_id"), (F.col("l_orderkey") % SIDE).cast("int").alias("x"), (F.col("l_partkey") % SIDE).cast("int").alias("y")
+    rows = item.select(*at, F.struct(*place, "l_quantity", "l_discount", "l_tax").alias("_s")).groupBy("image_id", "x", "y").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    cell = rows.select("image_id", "x", "y", (_mean("l_quantity") / 50).alias("r"), (_mean("l_discount") / 0.1).alias("g"), (_mean("l_tax") / 0.08).alias("b"))
     images = cell.select("image_id").distinct()  # of the cells, so the table is read and shuffled once
     dense = grid(images.withColumn("w", F.lit(SIDE)).withColumn("h", F.lit(SIDE)))
     return dense.join(cell, ["image_id", "x", "y"], "left").fillna(1.0, ["r", "g", "b"])
 
 
+def _mean(name: str) -> Column:
+    """The mean of a field of the structs in _s, added from left to right; null without values."""
+    got = F.filter(F.transform("_s", lambda v: v[name].cast("double")), lambda v: v.isNotNull())
+    return F.when(F.size(got) > 0, F.aggregate(got, F.lit(0.0), lambda a, v: a + v) / F.size(got))
+
+
 def grid(sizes: DataFrame) -> DataFrame:
     """image_id, x, y of every pixel of images with w and h: generated, not joined."""
     return sizes.select("image_id", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y")).select("image_id", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"), "y")

@@ -1,5 +1,6 @@
 """Invariants of the raster operators on small rasters made in code."""
 
+import itertools
 import math
 
 import numpy as np
@@ -432,3 +433,29 @@ def test_latest_jobs_stream(spark, tmp_path):
     q = jobs.start(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), lambda df, n: out.extend(df.collect()), str(tmp_path / "cp"))
     q.awaitTermination()
     assert sorted((r["session"], r["value"]) for r in out) == [("a", 6.0), ("b", 7.0)]
+
+
+def test_cells_are_averaged_in_the_order_of_rows(spark, tmp_path):
+    """Rows of one cell in many row groups: their partial sums, merged, differed in the last bits."""
+    rng = np.random.default_rng(1)
+    n = 3000
+    item = pd.DataFrame({"l_orderkey": np.zeros(n, int), "l_partkey": np.arange(n) % 64, "l_quantity": rng.integers(1, 51, n) * 1.0, "l_discount": rng.integers(0, 11, n) / 100, "l_tax": rng.integers(0, 9, n) / 100})
+    item.to_parquet(tmp_path / "lineitem.parquet", row_group_size=100)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = {r["y"]: (r["r"], r["g"], r["b"]) for r in rasters.raster_rgb(spark, str(tmp_path)).where("x = 0").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    for y in range(64):
+        own = item[item["l_partkey"] == y]
+        assert got[y] == tuple(list(itertools.accumulate(own[c].tolist()))[-1] / len(own) / k for c, k in (("l_quantity", 50), ("l_discount", 0.1), ("l_tax", 0.08)))
+
+
+def test_a_null_in_a_cell_is_left_out(spark, tmp_path):
+    item = pd.DataFrame({"l_orderkey": [0, 0, 1], "l_partkey": [0, 0, 0], "l_quantity": [10.0, None, None], "l_discount": [0.1, 0.05, 0.0], "l_tax": [0.08, 0.0, 0.0]})
+    item.to_parquet(tmp_path / "lineitem.parquet")
+    got = {r["x"]: (r["r"], r["g"], r["b"]) for r in rasters.raster_rgb(spark, str(tmp_path)).where("y = 0 and x < 2").collect()}
+    assert got[0] == pytest.approx((0.2, 0.75, 0.5)) and got[1] == (1.0, 0.0, 0.0)
