@@ -271,11 +271,15 @@ def merge_small_regions(raster: DataFrame, min_area: float, keys: list[str]) ->
 
 
 def bridge_islands(mask: DataFrame, width: float, keys: list[str]) -> DataFrame:
-    """The mask with its islands tied, and the warnings of its group on every row."""
+    """The mask with its islands tied, and the warnings of its group on the row of its corner pixel (0, 0); other rows have none.
+
+    There is a warning a speck, so on every pixel they would take the square of an image's size.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keep, warnings = bridge(_array(pdf, "keep").astype(bool), width)
-        return pdf.assign(keep=keep[pdf["y"], pdf["x"]], warnings=[warnings] * len(pdf))
+        corner = ((pdf["y"] == 0) & (pdf["x"] == 0)).tolist()
+        return pdf.assign(keep=keep[pdf["y"], pdf["x"]], warnings=[warnings if c else [] for c in corner])
 
     return _grouped(mask, keys, "keep", run, ", warnings array<string>")
 

@@ -71,7 +71,7 @@ def stencil(pixels8: DataFrame, p: StencilParams) -> Stencil:
     labels = materialise(regions.merge_small_regions(quantize.labels(px, palette), p.min_feature_px, ["image_id"]), "labels")
     masks = regions.stack_masks(labels, list(range(p.colors)))
     if p.bridges:
-        masks = regions.bridge_islands(masks, p.bridge_px, ["image_id", "layer"])
+        masks = regions.bridge_islands(masks, p.bridge_px, ["image_id", "layer"]).drop("warnings")
     masks = materialise(masks, "masks")
     rings = materialise(regions.rings(masks, ["image_id", "layer"], p.min_feature_px), "rings")
     layers = palette.select("image_id", F.col("label").alias("layer"), hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("fill"))

@@ -459,3 +459,13 @@ def test_a_null_in_a_cell_is_left_out(spark, tmp_path):
     item.to_parquet(tmp_path / "lineitem.parquet")
     got = {r["x"]: (r["r"], r["g"], r["b"]) for r in rasters.raster_rgb(spark, str(tmp_path)).where("y = 0 and x < 2").collect()}
     assert got[0] == pytest.approx((0.2, 0.75, 0.5)) and got[1] == (1.0, 0.0, 0.0)
+
+
+def test_warnings_ride_on_one_row(spark):
+    """A warning a speck on every pixel took the square of an image's size."""
+    keep = np.zeros((12, 12), bool)
+    keep[2::2, 2::2] = True
+    keep[0] = True
+    got = regions.bridge_islands(mask_df(spark, keep), 1.0, ["image_id", "layer"]).toPandas()
+    sizes = got.set_index(["y", "x"])["warnings"].map(len)
+    assert sizes[0, 0] == sizes.sum() == 25
