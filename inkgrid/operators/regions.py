@@ -88,7 +88,11 @@ class Gaps:
         self.steps = [dy * self.w + dx for dx, dy in NEIGHBOURS]
 
     def anchor(self, front: np.ndarray) -> None:
-        """A wave from newly anchored places, as far as it is nearer than what was anchored before."""
+        """A wave from newly anchored places, as far as it is nearer than what was anchored before.
+
+        Ways end at anchored places: one that a tab covered had its own way, which can lead through a cell that is now reached from it.
+        """
+        self.parent[front] = -1
         d = 0
         while len(front):
             d, after = d + 1, []

@@ -469,3 +469,24 @@ def test_warnings_ride_on_one_row(spark):
     got = regions.bridge_islands(mask_df(spark, keep), 1.0, ["image_id", "layer"]).toPandas()
     sizes = got.set_index(["y", "x"])["warnings"].map(len)
     assert sizes[0, 0] == sizes.sum() == 25
+
+
+@pytest.mark.parametrize("size, seed", [(16, 9), (24, 27), (24, 31), (24, 40)])
+def test_ways_to_anchors_end(size, seed, monkeypatch):
+    """A cell that a tab covered and the cell it had been reached from each led to the other: an endless way, held in memory."""
+    carve = regions.carve
+
+    def checked(gaps, cell, offsets):
+        at, seen = cell, {cell}
+        while gaps.parent[at] >= 0:
+            at = int(gaps.parent[at])
+            assert at not in seen
+            seen.add(at)
+        return carve(gaps, cell, offsets)
+
+    monkeypatch.setattr(regions, "carve", checked)
+    keep = np.random.default_rng(seed).random((size, size)) < 0.3
+    out, _ = regions.bridge(keep, 3.0)
+    comp = regions.components_of(out.astype(int), out)
+    edge = set(np.concatenate([comp[0], comp[-1], comp[:, 0], comp[:, -1]]).tolist())
+    assert set(np.unique(comp[out]).tolist()) <= edge
