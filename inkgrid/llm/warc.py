@@ -84,26 +84,29 @@ def info(p: WarcParams, number: int) -> str:
 def write(pages: DataFrame, path: str, params: WarcParams | None = None, html: str = "html", url: str = "url", id: str = "page_id") -> None:
     """A record a page, in archives of about file_bytes of payload."""
     p = params or WarcParams()
-    key = F.xxhash64("page_id", "digest").alias("_key")
     base = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     heads = materialise(headers(pages, html, id), "headers")
     n = max(1, -(-(heads.agg(F.sum("size").alias("b")).first()["b"] or 0) // p.file_bytes))
-    rev = revisits(heads, p).select(key, F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
-    # both sides dealt alike by the number of archives, so that payloads are shuffled once
-    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
-    joined = base.withColumn("_key", key).repartition(n, "_key").alias("b").join(rev.repartition(n, "_key").alias("r"), (F.col("b._key") == F.col("r._key")) & same, "left")
+    # one shuffle, whatever the planner makes of joins: what a page refers to comes as a row just before the page's own
+    rev = revisits(heads, p).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    both = base.withColumn("refers_to", F.lit(None).cast("long")).unionByName(rev)
+    dealt = both.repartition(n, F.xxhash64("page_id", "digest")).sortWithinPartitions("page_id", "digest", F.col("html").isNotNull())
 
     def run(batches):
         from pyspark import TaskContext
 
-        first = [info(p, TaskContext.get().partitionId())]
+        first, held, refers = [info(p, TaskContext.get().partitionId())], None, None
         for b in batches:
-            rows = zip(*(column_of(b, k).to_pylist() for k in ("page_id", "url", "digest", "refers_to")), column_of(b, "html"))
-            out = [record(i, u, h.as_py(), base64.b32encode(bytes.fromhex(d)).decode(), r, p.date) for i, u, d, r, h in rows]
+            out = []
+            for i, u, d, r, h in zip(*(column_of(b, k).to_pylist() for k in ("page_id", "url", "digest", "refers_to")), column_of(b, "html")):
+                if not h.is_valid:
+                    held, refers = (i, d), r
+                else:
+                    out.append(record(i, u, h.as_py(), base64.b32encode(bytes.fromhex(d)).decode(), refers if held == (i, d) else None, p.date))
             yield pa.RecordBatch.from_arrays([pa.array(first + out if out else out, pa.string())], names=["value"])
             first = [] if out else first
 
-    mapped(joined.select("page_id", "url", "digest", "refers_to", "html"), run, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
+    mapped(dealt.select("page_id", "url", "digest", "refers_to", "html"), run, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 class Reader:

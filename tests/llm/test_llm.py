@@ -677,6 +677,29 @@ def test_warc_round_trip(spark):
     assert many == {(r["page_id"], r["refers_to"]) for r in got}
 
 
+def test_warc_shuffles_payloads_once(spark, tmp_path):
+    import random
+
+    texts = [random.Random(i).randbytes(20_000).hex() for i in range(40)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", texts[i]) for i in range(40)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    store = spark._jsc.sc().statusStore()
+    last = lambda: max((s.stageId() for s in stages()), default=-1)
+
+    def stages():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size())]
+
+    before = last()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        warc.write(spark.read.parquet(str(tmp_path / "pages")), str(tmp_path / "warc"), warc.WarcParams(file_bytes=700_000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > before) < 1.5 * sum(map(len, texts))
+
+
 def test_warc_reader_checks_digests(spark, tmp_path):
     import gzip
 
