@@ -30,21 +30,26 @@ def ink_table(spark: SparkSession, set_: list[Ink]) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, channel string, name string, rgb array<double>, angle double, load double, tamed boolean")
 
 
-def sample(points: DataFrame, raster: DataFrame, keys: list[str] | None = None, values: tuple[str, ...] = ("d",)) -> DataFrame:
-    """points with bilinear values at px, py (clamped to the raster): four weighted taps a point, one equi-join, one partial sum.
-
-    points needs the keys, w, h, px and py; its columns ride along with the taps, so nothing is joined back. Equal rows are one point.
-    """
-    keys = keys or KEYS
+def taps(points: DataFrame) -> DataFrame:
+    """points (w, h, px, py, clamped to the raster) with the pixels _tx, _ty that they read and their weights _t over 0: four rows a point at most."""
     x, y = F.greatest(F.least(F.col("px"), F.col("w") - 1.0), F.lit(0.0)), F.greatest(F.least(F.col("py"), F.col("h") - 1.0), F.lit(0.0))
     fx, fy = x - F.floor(x), y - F.floor(y)
     tap = lambda dx, dy: F.struct(
         F.least(F.floor(x) + dx, F.col("w") - 1).cast("int").alias("x"), F.least(F.floor(y) + dy, F.col("h") - 1).cast("int").alias("y"),
         ((fx if dx else 1 - fx) * (fy if dy else 1 - fy)).alias("t"),
     )
-    taps = points.select("*", F.explode(F.array(tap(0, 0), tap(1, 0), tap(0, 1), tap(1, 1))).alias("_s")).where("_s.t > 0").select(*points.columns, F.col("_s.x").alias("_tx"), F.col("_s.y").alias("_ty"), F.col("_s.t").alias("_t"))
+    every = points.select("*", F.explode(F.array(tap(0, 0), tap(1, 0), tap(0, 1), tap(1, 1))).alias("_s")).where("_s.t > 0")
+    return every.select(*points.columns, F.col("_s.x").alias("_tx"), F.col("_s.y").alias("_ty"), F.col("_s.t").alias("_t"))
+
+
+def sample(points: DataFrame, raster: DataFrame, keys: list[str] | None = None, values: tuple[str, ...] = ("d",)) -> DataFrame:
+    """points with bilinear values at px, py (clamped to the raster): four weighted taps a point, one equi-join, one partial sum.
+
+    points needs the keys, w, h, px and py; its columns ride along with the taps, so nothing is joined back. Equal rows are one point.
+    """
+    keys = keys or KEYS
     at = raster.select(*keys, F.col("x").alias("_tx"), F.col("y").alias("_ty"), *(F.col(v).alias(f"_v_{v}") for v in values))
-    return taps.join(at, [*keys, "_tx", "_ty"]).groupBy(*points.columns).agg(*(F.sum(F.col("_t") * F.col(f"_v_{v}")).alias(v) for v in values))
+    return taps(points).join(at, [*keys, "_tx", "_ty"]).groupBy(*points.columns).agg(*(F.sum(F.col("_t") * F.col(f"_v_{v}")).alias(v) for v in values))
 
 
 def _caps(p: LineParams) -> Column:

@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .screens import sample
+from .screens import sample, taps
+
+#: Output pixels of all different sizes of images that are broadcast as points.
+FEW_POINTS = 1 << 16
 
 Quad = list[tuple[float, float]]
 
@@ -30,11 +33,25 @@ def project(h: list[float], x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def bake(pixels: DataFrame, h: list[float], out_w: int, out_h: int) -> DataFrame:
-    """The warped image: each output centre is projected and sampled; channels r, g, b as bytes."""
+    """The warped image: each output centre is projected and sampled; channels r, g, b as bytes.
+
+    Images of one size are read at the same places: while those are few they are computed once a size and brought to the pixels.
+    """
     frame = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    at = frame.select("*", F.explode(F.sequence(F.lit(0), F.lit(out_h - 1))).alias("oy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(out_w - 1))).alias("ox"))
+    kinds = frame.select("w", "h").distinct()
+    most = FEW_POINTS // (out_w * out_h)
+    few = 0 < len(some := kinds.limit(most + 1).collect()) <= most
+    points = pixels.sparkSession.createDataFrame(some, kinds.schema) if few else frame
+    at = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(out_h - 1))).alias("oy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(out_w - 1))).alias("ox"))
     u, v = project(h, F.col("ox") + 0.5, F.col("oy") + 0.5)
-    got = sample(at.withColumn("px", u - 0.5).withColumn("py", v - 0.5), pixels, ["image_id"], ("r", "g", "b"))
+    at = at.withColumn("px", u - 0.5).withColumn("py", v - 0.5)
+    if few:
+        own = pixels.select("image_id", F.col("x").alias("_tx"), F.col("y").alias("_ty"), "r", "g", "b")
+        own = own.join(frame, "image_id") if len(some) > 1 else own.withColumns({k: F.lit(x) for s in some for k, x in s.asDict().items()})
+        near = F.broadcast(taps(at).select("w", "h", "_tx", "_ty", "ox", "oy", "_t"))
+        got = own.join(near, ["w", "h", "_tx", "_ty"]).groupBy("image_id", "ox", "oy").agg(*(F.sum(F.col("_t") * F.col(c)).alias(c) for c in "rgb"))
+    else:
+        got = sample(at, pixels, ["image_id"], ("r", "g", "b"))
     return got.select("image_id", F.col("ox").alias("x"), F.col("oy").alias("y"), *(F.round(c).cast("int").alias(c) for c in "rgb"))
 
 

@@ -202,6 +202,20 @@ def test_svg(spark):
     assert text.count("<circle") == 4 and "r=\"3.000\"" in text and "mm" in text and "translate" in text
 
 
+def test_warp_computes_places_once_a_size(spark, monkeypatch):
+    rows = [(i, x, y, float(i * 7 + x * 11 % 5), float(x * y), float(y * 3 % 4 + i)) for i in range(4) for x in range(6 + i % 2) for y in range(5)]
+    px = spark.createDataFrame(rows, "image_id int, x int, y int, r double, g double, b double")
+    h = warp.homography([(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)], [(0.3, 0.2), (5.1, 0.4), (5.3, 4.1), (0.6, 3.9)])
+    values = lambda df: sorted(map(tuple, df.collect()))
+    once = warp.bake(px, h, 4, 3)
+    assert "BroadcastHashJoin" in once._jdf.queryExecution().executedPlan().toString() and len(values(once)) == 4 * 12
+    one = values(warp.bake(px.where("image_id % 2 = 0"), h, 4, 3))
+    monkeypatch.setattr(warp, "FEW_POINTS", 12)
+    apart = warp.bake(px, h, 4, 3)
+    assert values(apart) == values(once) and one == [r for r in values(once) if r[0] % 2 == 0]
+    assert warp.bake(px.limit(0), h, 4, 3).count() == 0
+
+
 def test_warp(spark):
     square = [(0.0, 0.0), (10.0, 0.0), (10.0, 20.0), (0.0, 20.0)]
     h = warp.homography(square, square)
