@@ -21,8 +21,10 @@ With ``similarity`` set, fingerprints give candidates only: two texts link if th
 shingles (as 64-bit hashes) reaches it, whatever their distance up to ``distance``. Candidates also need sketches that agree: a bit of
 the smallest shingle of each of 128 ranges of the hash; of two sets of similarity 0.8 about a tenth of the bits differ, and up to
 ``sketch_bits`` may. First each text and the few nearest within ``first_distance`` are verified and joined. Then all candidates that are not
-joined meet: for each pair of blocks that has some, their sets of shingles are brought there once, and pairs are verified in place, nearest
-first, passing over those that are joined by then. So a group of near copies makes no row of each of its pairs.
+joined meet. For them the entries are dealt into blocks by a hash, each two blocks are a task, and buckets and their probes are looked up
+within it: at this distance an entry has hundreds of probes, which would take several times the input if each were shuffled. For each component of
+candidates in a task, their sets of shingles are brought there once, and pairs are verified in place, nearest first, passing over those
+that are joined by then. So a group of near copies makes no row of each of its pairs.
 """
 
 from __future__ import annotations
@@ -54,6 +56,7 @@ class SimHashParams:
     max_listed: int = 500_000
     task_comparisons: float = 2.5e8
     task_entries: float = 1e6
+    paired_block: int = 131_072
     max_rounds: int = 60
     similarity: float | None = None
     first_distance: int = 8
@@ -404,34 +407,142 @@ class Union:
         return True
 
 
-def _meeting(homes: np.ndarray, probers: np.ndarray, part: int, made: Plan, p: SimHashParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """_near() of different groups; a pair counts in the first partition that it meets in, where its smaller node is home, so once in all."""
-    masks = [(np.uint64(mask), len(flips), made.thresholds[i]) for i, mask, flips in _tables(made) if i < part]
-    for i, j, apart in _near(homes, probers, p.distance, p):
-        x, y = homes[i], probers[j]
-        ok = (x[:, 4] != y[:, 4]) & (x[:, 1] < y[:, 1])
-        for mask, _, t in masks:
-            ok &= np.bitwise_count((x[:, 0] ^ y[:, 0]) & mask) > t
-        yield i[ok], j[ok], apart[ok]
+def paired_blocks(made: Plan, n: int, p: SimHashParams) -> int:
+    """Blocks into which n entries are dealt so that each two of them are one task: every entry is sent this often, whatever the thresholds."""
+    tasks = sum(n * n * len(flips) / 2.0 ** mask.bit_count() for _, mask, flips in _tables(made)) / p.task_comparisons
+    return max(1, ceil(n / p.paired_block), min(16, ceil((2 * tasks) ** 0.5)))
+
 
+def paired(entries: DataFrame, blocks: int) -> DataFrame:
+    """(a, b, role, held), sorted by pair of blocks: entries of a are homes there, those of b probers. Blocks go by a hash of the node, so they are even."""
 
-_MEET = ["part", "key", "a", "b", *ENTRY]
+    def run(batches):
+        for batch in batches:
+            rows = np.stack([column_of(batch, k).to_numpy().view(np.uint64) for k in ENTRY], 1)
+            own = (mix(rows[:, 1].copy()) % np.uint64(blocks)).astype(np.int64)
+            rows, own = rows[order := np.argsort(own, kind="stable")], own[order]
+            at, starts = np.unique(own, return_index=True)
+            held = [x.tobytes() for x in np.split(rows, starts[1:])] if len(at) else []
+            for k, x in zip(at.tolist(), held):
+                a, b = np.minimum(k, np.arange(blocks)), np.maximum(k, np.arange(blocks))
+                role = np.where(a == b, BOTH, np.where(a == k, HOME, PROBER))
+                yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int32)) for v in (a, b, role)), pa.array([x] * blocks, pa.binary())], names=["a", "b", "role", "held"])
+
+    rows = mapped(entries.select(*ENTRY), run, "a int, b int, role int, held binary")
+    return rows.repartition(blocks * (blocks + 1) // 2, "a", "b").sortWithinPartitions("a", "b")
+
+
+def _bucketed(homes: np.ndarray, probers: np.ndarray, made: Plan, p: SimHashParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of homes and of probers that are candidates of different groups, by the buckets that the homes lie in and the probers probe; some pairs come again."""
+    for _, mask, flips in _tables(made):
+        keys = [x[:, 0] & np.uint64(mask) for x in (homes, probers)]
+        of_homes, of_probers = (np.argsort(k, kind="stable") for k in keys)
+        known, first, count = np.unique(keys[0][of_homes], return_index=True, return_counts=True)
+        lined = keys[1][of_probers]
+        for lo in range(0, len(known), max(1, (1 << 17) // len(flips))):
+            probes = known[lo : lo + max(1, (1 << 17) // len(flips)), None] ^ flips[None, :]
+            starts = np.searchsorted(lined, probes, "left")
+            times = np.searchsorted(lined, probes, "right") - starts
+            for k in np.flatnonzero(times.any(1)).tolist():
+                took = times[k]
+                near = of_probers[np.arange(took.sum()) + np.repeat(starts[k] - np.cumsum(took) + took, took)]
+                own = of_homes[first[lo + k] : first[lo + k] + count[lo + k]]
+                for x in range(0, len(near), 1 << 13):
+                    some = near[x : x + (1 << 13)]
+                    for i, j, _ in _near(homes[own], probers[some], p.distance, p):
+                        i, j = own[i], some[j]
+                        ok = homes[i, 4] != probers[j, 4]
+                        if ok.any():
+                            yield i[ok], j[ok]
+
+
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of each of n places' component, by links between i and j."""
+    label = np.arange(n)
+    while True:
+        x, y = label[i], label[j]
+        apart = x != y
+        if not apart.any():
+            return label
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+_MEET = ["a", "b", "key", "x", "y"]
 
 
 def meetings(entries: DataFrame, made: Plan, n: int, p: SimHashParams) -> DataFrame:
-    """The entries that each pair of blocks needs to verify its candidates."""
+    """The entries that have candidates, by pair of blocks (a, b) and there by component of the candidates (key), of which large ones are cut into blocks x and y again."""
+    side = max(1, p.block // 2)
+
+    def whole(at, homes: np.ndarray, probers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # places: homes, then probers; within one block, where each is both, the smaller node of a pair is home
+        i, j, size = [], [], 0
+        for x, y in _bucketed(homes, probers, made, p):
+            if at[0] == at[1]:
+                once = homes[x, 1] < probers[y, 1]
+                x, y = x[once], y[once]
+            i, j, size = [*i, x], [*j, y + len(homes)], size + len(x)
+            if size > 1 << 21:
+                i, j, size = *([v] for v in forest(len(homes) + len(probers), i, j)), 0
+        if not i:
+            return
+        i, j = np.concatenate(i), np.concatenate(j)
+        label, used = _labels(len(homes) + len(probers), i, j), np.zeros(len(homes) + len(probers), bool)
+        used[i] = used[j] = True
+        place = np.flatnonzero(used)
+        place = place[np.argsort(label[place], kind="stable")]
+        for own in np.split(place, np.flatnonzero(np.diff(label[place])) + 1):
+            h, q = homes[own[own < len(homes)]], probers[own[own >= len(homes)] - len(homes)]
+            key = int(h[:, 1].min())
+            for x in range(0, len(h), side):
+                for y in range(0, len(q), side):
+                    yield from sent((*at, key, x // side, y // side), h[x : x + side], q[y : y + side])
+
+    def forest(n: int, i: list[np.ndarray], j: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        label = _labels(n, np.concatenate(i), np.concatenate(j))
+        leaf = np.flatnonzero(label != np.arange(n))
+        return leaf, label[leaf]
+
+    def sent(at, homes: np.ndarray, probers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows, role = np.concatenate([homes, probers]), np.repeat([HOME, PROBER], [len(homes), len(probers)])
+        place = [pa.array(np.full(len(rows), v, kind)) for v, kind in zip(at, (np.int32, np.int32, np.uint64, np.int32, np.int32))]
+        place[2] = place[2].view(pa.int64())
+        yield pa.RecordBatch.from_arrays([*place, pa.array(role.astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in range(5))], names=[*_MEET, "role", *ENTRY])
 
     def run(batches):
-        for at, homes, probers in _blocks(batches, 5):
-            own = [np.zeros(len(homes), bool), np.zeros(len(probers), bool)]
-            for i, j, _ in _meeting(homes, probers, at[0], made, p):
-                own[0][i] = own[1][j] = True
-            rows = np.unique(np.concatenate([homes[own[0]], probers[own[1]]]), axis=0)
-            if len(rows):
-                place = [pa.array([v] * len(rows), kind) for v, kind in zip(at, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*place, *(pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in range(5))], names=_MEET)
+        now, sides = None, ([], [])
+        for b in batches:
+            for at, role, held in zip(zip(*(column_of(b, k).to_pylist() for k in "ab")), column_of(b, "role").to_pylist(), column_of(b, "held").to_pylist()):
+                if at != now:
+                    if all(sides):
+                        yield from gathered(whole(now, *map(unpacked, sides)))
+                    now, sides = at, ([], [])
+                for k, other in enumerate((PROBER, HOME)):
+                    if role != other:
+                        sides[k].append(held)
+        if all(sides):
+            yield from gathered(whole(now, *map(unpacked, sides)))
+
+    return mapped(paired(entries, paired_blocks(made, n, p)), run, "a int, b int, key long, x int, y int, role int, fp long, node long, s0 long, s1 long, group long")
 
-    return mapped(_dealt(entries, made, n, p, ENTRY), run, "part int, key long, a int, b int, fp long, node long, s0 long, s1 long, group long")
+
+def unpacked(held: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(held), np.uint64).reshape(-1, len(ENTRY))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches."""
+    some, n = [], 0
+    for b in batches:
+        some, n = [*some, b], n + b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+            some, n = [], 0
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
 
 
 def similar(x: np.ndarray, y: np.ndarray, p: SimHashParams) -> bool:
@@ -442,15 +553,19 @@ def similar(x: np.ndarray, y: np.ndarray, p: SimHashParams) -> bool:
     return both >= p.similarity * (len(x) + len(y) - both) - 1e-9
 
 
-def verified_meetings(rows: DataFrame, made: Plan, p: SimHashParams) -> DataFrame:
+def verified_meetings(rows: DataFrame, p: SimHashParams) -> DataFrame:
     """src and dst of links that connect all candidates of meetings() that link; rows have held, the set of shingles, too."""
-    masks = {i: np.uint64(mask) for i, mask, _ in _tables(made)}
 
-    def found(at, entries: list[tuple], held: list[bytes]):
-        rows = np.array(entries, np.int64).view(np.uint64).reshape(-1, 5)
-        home = np.flatnonzero((rows[:, 0] & masks[at[0]]) == np.array([at[1]], np.int64).view(np.uint64)[0])
-        sets, joined, out = [np.frombuffer(x, np.uint64) for x in held], Union(), []
-        pairs = [np.stack([apart.astype(np.int64), home[i], j], 1) for i, j, apart in _meeting(rows[home], rows, at[0], made, p)]
+    def found(at, roles: list[int], entries: list[tuple], held: list[bytes]):
+        rows, role = np.array(entries, np.int64).view(np.uint64).reshape(-1, 5), np.array(roles)
+        home, prober = np.flatnonzero(role == HOME), np.flatnonzero(role == PROBER)
+        sets, joined, out, pairs = [np.frombuffer(x, np.uint64) for x in held], Union(), [], []
+        for i, j, apart in _near(rows[home], rows[prober], p.distance, p):
+            i, j = home[i], prober[j]
+            ok = rows[i, 4] != rows[j, 4]
+            if at[0] == at[1]:  # the smaller node is home there
+                ok &= rows[i, 1] < rows[j, 1]
+            pairs.append(np.stack([apart[ok].astype(np.int64), i[ok], j[ok]], 1))
         pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
         group = rows[:, 4].tolist()
         for _, i, j in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
@@ -462,19 +577,20 @@ def verified_meetings(rows: DataFrame, made: Plan, p: SimHashParams) -> DataFram
             yield _longs(["src", "dst"], rows[i, 1], rows[j, 1])
 
     def run(batches):
-        now, entries, held = None, [], []
+        now, roles, entries, held = None, [], [], []
         for b in batches:
-            for key, entry, own in zip(zip(*(column_of(b, k).to_pylist() for k in _MEET[:4])), zip(*(column_of(b, k).to_pylist() for k in ENTRY)), column_of(b, "held").to_pylist()):
+            for key, role, entry, own in zip(zip(*(column_of(b, k).to_pylist() for k in _MEET)), column_of(b, "role").to_pylist(), zip(*(column_of(b, k).to_pylist() for k in ENTRY)), column_of(b, "held").to_pylist()):
                 if key != now:
                     if len(entries) > 1:
-                        yield from found(now, entries, held)
-                    now, entries, held = key, [], []
+                        yield from found(now, roles, entries, held)
+                    now, roles, entries, held = key, [], [], []
+                roles.append(role)
                 entries.append(entry)
                 held.append(own)
         if len(entries) > 1:
-            yield from found(now, entries, held)
+            yield from found(now, roles, entries, held)
 
-    dealt = rows.repartition(*_MEET[:4]).sortWithinPartitions(*_MEET[:4])
+    dealt = rows.repartition(*_MEET).sortWithinPartitions(*_MEET)
     return mapped(dealt, run, "src long, dst long")
 
 
@@ -598,7 +714,7 @@ def _verified_edges(signed: DataFrame, nodes: DataFrame, p: SimHashParams, text:
     made = plan(sample, n, p)
     meet = materialise(meetings(entries, made, n, p), "meetings")
     held = _sets(meet.select("node"), nodes, signed, p, text)
-    return edges.unionByName(materialise(verified_meetings(meet.join(held, "node"), made, p), "verified"))
+    return edges.unionByName(materialise(verified_meetings(meet.join(held, "node"), p), "verified"))
 
 
 def one_of_each(docs: DataFrame, params: SimHashParams | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:

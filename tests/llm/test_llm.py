@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +181,38 @@ def test_near_copies_of_one_group_link_by_their_shingles(spark):
         assert sorted((1 << 40 if x["doc_id"] is None else x["doc_id"], x["text"]) for x in got) == want
 
 
+def test_meetings_are_sent_no_more_often_than_there_are_blocks(spark, monkeypatch):
+    """Every pair of candidates meets, and what is shuffled for it does not grow with the flips of the thresholds (235 an entry here)."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    fps = np.concatenate([base, *[base ^ np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in base], np.uint64) for k in (6, 10, 14, 15)]])
+    rows = [(int(f), k, 0, 0, k % 997) for k, f in enumerate(fps.view(np.int64))]
+    at, made = np.cumsum([0, 11, 11, 11, 11, 10, 10]), [2, 2, 2, 1, 1, 1]
+    made = simhash.Plan([list(range(a, b)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], made)
+    assert sum(made.thresholds) == 14 - 6 + 1
+    want = {(i, j) for i, j in np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 14).tolist() if i < j and i % 997 != j % 997}
+    p = simhash.SimHashParams(shingle=5, distance=14, similarity=0.8, block=8)
+    sent, mapped = [], simhash.mapped
+
+    def watched(df, function, schema):
+        out = mapped(df, function, schema)
+        return sent.append(out) or out if "held" in out.columns else out
+
+    monkeypatch.setattr(simhash, "mapped", watched)
+    entries = spark.createDataFrame(rows, "fp long, node long, s0 long, s1 long, group long")
+    for more in ({}, {"paired_block": 150}):
+        p = replace(p, **more) if not more or hasattr(p, "paired_block") else p
+        sent.clear()
+        got = simhash.meetings(entries, made, len(rows), p).collect()
+        assert sum(len(r["held"]) for df in sent for r in df.select("held").collect()) <= 8 * 40 * len(rows)
+        places = {}
+        for r in got:
+            places.setdefault((r["a"], r["b"], r["key"], r["x"], r["y"]), ([], []))[r["role"]].append(r["node"])
+        met = {(min(i, j), max(i, j)) for homes, probers in places.values() for i in homes for j in probers}
+        assert want <= met and max(len(x) for pair in places.values() for x in pair) <= 4
+    assert 40 * simhash.paired_blocks(made, 2_200_000, simhash.SimHashParams()) * 2_200_000 < 2e9  # 20.7e9 bytes before
+
+
 def test_pigeonhole_finds_all_links(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
