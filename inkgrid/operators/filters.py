@@ -19,7 +19,7 @@ def kernel(sigma: float) -> list[tuple[int, float]]:
     return [(i - r, x / sum(w)) for i, x in enumerate(w)]
 
 
-def _taken(n: int, r: int) -> np.ndarray:
+def taken(n: int, r: int) -> np.ndarray:
     """Places that a line of n values is read at, r beyond each end: reflected once, then the end itself."""
     at = np.arange(-r, n + r)
     return np.clip(np.where(at < 0, -at - 1, np.where(at >= n, 2 * n - at - 1, at)), 0, n - 1)
@@ -38,7 +38,7 @@ def _along(df: DataFrame, axis: str, other: str, value: str, taps: list[tuple[in
             out, size = np.empty(len(values)), np.diff(offsets)
             for n in np.unique(size[size > 0]).tolist():
                 at = offsets[:-1][size == n][:, None] + np.arange(n)
-                padded = values[at][:, _taken(n, r)]
+                padded = values[at][:, taken(n, r)]
                 out[at] = sum(w * padded[:, r + o : r + o + n] for o, w in taps)
             smooth = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
             yield pa.RecordBatch.from_arrays([*(c for c, k in zip(b.columns, b.schema.names) if k != "_a"), smooth], names=[*(k for k in b.schema.names if k != "_a"), "_a"])

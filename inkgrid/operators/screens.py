@@ -7,14 +7,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import clamp
-from ..functions.tone import bridge_phase, cut_extent, effective_k, tone
+from ..functions.tone import GOLDEN, bridge_phase, cut_extent, effective_k, tone
 from ..params import Ink, LineParams
 from ..sources.scratch import materialise
-from .filters import auto_levels, dog_edges, orientation
+from .filters import auto_levels, dog_edges, kernel, taken
 
 KEYS = ["image_id", "channel"]
 POINTS = "array<struct<x:double,y:double>>"
@@ -60,7 +61,7 @@ def _caps(p: LineParams) -> Column:
     return F.when(F.col("tamed"), F.lit(max(min(p.k_width_frac * p.spacing, p.spacing - p.min_material), 0.0))).otherwise(own)
 
 
-def toned(density: DataFrame, p: LineParams, set_: list[Ink]) -> DataFrame:
+def toned(density: DataFrame, p: LineParams, set_: list[Ink], held: bool = True) -> DataFrame:
     """Density maps as the screens read them, with cap and load: tamed inks by grey removal or edges, others by the tone curve."""
     spark = density.sparkSession
     table = ink_table(spark, set_)
@@ -81,8 +82,9 @@ def toned(density: DataFrame, p: LineParams, set_: list[Ink]) -> DataFrame:
             grey = density.where(~F.col("channel").isin(tamed)).groupBy("image_id", "x", "y").agg(F.min("d").alias("_u"))
             black = own.join(grey, ["image_id", "x", "y"], "left").select(*KEYS, "x", "y", effective_k(F.col("d"), [F.coalesce("_u", F.lit(0.0))], p).alias("d"))
         out = out.unionByName(black)
-    # every screen reads its maps twice: for their sizes and at its points
-    return materialise(out.join(F.broadcast(table), "channel").select(*KEYS, "x", "y", "d", "angle", F.when(F.col("tamed"), 1.0).otherwise(F.col("load")).alias("load"), _caps(p).alias("cap")), "toned")
+    out = out.join(F.broadcast(table), "channel").select(*KEYS, "x", "y", "d", "angle", F.when(F.col("tamed"), 1.0).otherwise(F.col("load")).alias("load"), _caps(p).alias("cap"))
+    # every screen but the hatch reads its maps twice: for their sizes and at its points
+    return materialise(out, "toned") if held else out
 
 
 def _frames(maps: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def runs(cut: DataFrame, p: LineParams) -> DataFrame:
     return segs.select(*KEYS, "li", first["i"].alias("first"), F.size("s").alias("n_segments"), "angle", knots.alias("knots"))
 
 
-def outline(run: DataFrame, own_normals: bool) -> DataFrame:
+def outline(run: DataFrame, own_normals: bool, id: str | None = None) -> DataFrame:
     """Runs as closed polygons: one edge forward, the other back. Normals are the screen's, or across each knot's neighbours."""
     at = lambda i: F.element_at("knots", (F.greatest(F.least(i, F.size("knots") - 1), F.lit(0)) + 1).cast("int"))
 
@@ -154,7 +156,7 @@ def outline(run: DataFrame, own_normals: bool) -> DataFrame:
 
         return F.transform("knots", point)
 
-    return run.select(*KEYS, F.xxhash64(*KEYS, "li", "first").alias("ribbon_id"), F.concat(edge(-1.0), F.reverse(edge(1.0))).alias("pts"))
+    return run.select(*KEYS, (F.col(id) if id else F.xxhash64(*KEYS, "li", "first")).alias("ribbon_id"), F.concat(edge(-1.0), F.reverse(edge(1.0))).alias("pts"))
 
 
 def dots(maps: DataFrame, p: LineParams) -> DataFrame:
@@ -235,29 +237,152 @@ def stamp_proximity(filled: DataFrame, reach: float, before: DataFrame | None =
     return (out if before is None else out.unionByName(before)).groupBy(*KEYS, "x", "y").agg(F.min("near").alias("near"))
 
 
+def _blurred(a: np.ndarray, taps_: list[tuple[int, float]]) -> np.ndarray:
+    """filters.gaussian() of one image."""
+    r = max(o for o, _ in taps_)
+    for _ in range(2):  # along x, then along y
+        padded, n = a[:, taken(a.shape[1], r)], a.shape[1]
+        a = sum(w * padded[:, r + o : r + o + n] for o, w in taps_).T
+    return a
+
+
+def _bins(d: np.ndarray, sigma: float, bins: int) -> np.ndarray:
+    """The bins of filters.orientation() of one image of 3 x 3 or more."""
+    h, w = d.shape
+    x, y = np.clip(np.arange(w), 1, w - 2)[None, :], np.clip(np.arange(h), 1, h - 2)[:, None]
+    gx, gy = (d[y, x + 1] - d[y, x - 1]) / 2, (d[y + 1, x] - d[y - 1, x]) / 2
+    jxx, jxy, jyy = (_blurred(v, kernel(sigma)) for v in (gx * gx, gx * gy, gy * gy))
+    turn = np.fmod(0.5 * np.arctan2(2 * jxy, jxx - jyy) / math.pi, 1.0)
+    turn = np.where(turn < 0, np.fmod(turn + 1.0, 1.0), turn)
+    return np.minimum(np.floor(np.nan_to_num(turn) * bins).astype(int), bins - 1)
+
+
+def _lines(w: int, h: int, angle: float, p: LineParams) -> tuple:
+    """segments() of one size and angle that lie inside: li, i, v, their two ends, their pixel, and their four taps with weights."""
+    half = math.sqrt(w * w + h * h) / 2 + p.spacing
+    n = math.ceil(half / p.spacing)
+    li, i = (v.ravel() for v in np.meshgrid(np.arange(-n, n + 1), np.arange(math.ceil(2 * half / p.v_step)), indexing="ij"))
+    v = -half + i * p.v_step
+    to, u, s, c = np.minimum(v + p.v_step, half), li * p.spacing, math.sin(math.radians(angle)), math.cos(math.radians(angle))
+    at = lambda t: (w / 2 - u * s + t * c, h / 2 + u * c + t * s)
+    px, py = at((v + to) / 2)
+    inside = (v < half) & (px >= 0) & (px < w) & (py >= 0) & (py < h)
+    li, i, v, px, py, ends = li[inside], i[inside], v[inside], px[inside], py[inside], [e[inside] for t in (v, to) for e in at(t)]
+    x, y = np.minimum(px, w - 1.0), np.minimum(py, h - 1.0)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    fx, fy = x - x0, y - y0
+    taps_ = [(np.minimum(y0 + dy, h - 1), np.minimum(x0 + dx, w - 1), (fx if dx else 1 - fx) * (fy if dy else 1 - fy)) for dx, dy in ((0, 0), (1, 0), (0, 1), (1, 1))]
+    return li, i, v, ends, (np.floor(py).astype(int), np.floor(px).astype(int)), taps_
+
+
+def _filled(x: np.ndarray, y: np.ndarray, starts: np.ndarray, w: int, h: int) -> np.ndarray:
+    """fill() of the polygons of one image, whose corners begin at starts."""
+    ribbon = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+    after = np.arange(len(x)) + 1
+    after[np.append(starts[1:], len(x)) - 1] = starts
+    bx, by = x[after], y[after]
+    first = np.maximum(np.ceil(np.minimum(y, by) - 0.5), 0).astype(int)
+    times = np.maximum(np.minimum(np.ceil(np.maximum(y, by) - 0.5) - 1, h - 1).astype(int) - first + 1, 0)
+    e = np.repeat(np.arange(len(x)), times)
+    row = first[e] + np.arange(len(e)) - np.repeat(np.cumsum(times) - times, times)
+    cross = x[e] + (row + 0.5 - y[e]) / (by[e] - y[e]) * (bx[e] - x[e])
+    order = np.lexsort((cross, row, ribbon[e]))
+    line, cross = (ribbon[e] * h + row)[order], cross[order]
+    rank = np.arange(len(line)) - np.searchsorted(line, line, "left")
+    k = np.flatnonzero((rank[:-1] % 2 == 0) & (line[:-1] == line[1:]))
+    a, b = np.maximum(np.ceil(cross[k]), 0).astype(int), np.minimum(np.floor(cross[k + 1]), w - 1).astype(int)
+    ok, marks = a <= b, np.zeros((h, w + 1), int)
+    np.add.at(marks, (line[k][ok] % h, a[ok]), 1)
+    np.add.at(marks, (line[k][ok] % h, b[ok] + 1), -1)
+    return np.cumsum(marks, 1)[:, :w] > 0
+
+
+def _proximity(filled: np.ndarray, reach: float) -> np.ndarray:
+    """stamp_proximity() of one image; inf beyond reach. First along rows, then down columns."""
+    n, (h, w) = math.floor(reach), filled.shape
+    apart = np.full((h + 2 * n, w), n + 1)
+    padded = np.pad(filled, n)
+    for dx in range(n, -1, -1):
+        apart[padded[:, n - dx : n - dx + w] | padded[:, n + dx : n + dx + w]] = dx
+    far = np.array([[r if (r := math.hypot(dx, dy)) <= reach and dx <= n else math.inf for dx in range(n + 2)] for dy in range(n + 1)])
+    return np.min([far[abs(dy)][apart[n + dy : n + dy + h]] for dy in range(-n, n + 1)], axis=0)
+
+
 def hatch(maps: DataFrame, p: LineParams) -> DataFrame:
-    """Lines across each bin of orientations, in order of the bins, kept apart by the distance to what is filled already."""
-    from .fill import fill
+    """Lines across each bin of orientations, in order of the bins, kept apart by the distance to what is filled already.
 
+    Each bin reads what the ones before it filled, so an image and ink is one group: its pixels are shuffled once and its lines come back.
+    """
     bins = min(max(p.hatch_bins, 1), 24)
-    binned = materialise(maps.join(orientation(maps, max(p.spacing, 1.0), bins).select(*KEYS, "x", "y", "bin"), [*KEYS, "x", "y"]), "hatch-bins")
-    frame = sizes(binned)
-    out = near = None
-    for b in range(bins):
-        own = binned.withColumn("_in", F.when(F.col("bin") == b, 1.0).otherwise(0.0))
-        # the bin's own angle, at right angles to the gradient; the ink's own as an offset
-        own = own.select(*KEYS, "x", "y", (F.col("d") * F.col("_in")).alias("d"), (F.col("angle") + 180.0 * b / bins + 90.0).alias("angle"), "load", "cap")
-        ribbons = materialise(outline(runs(widths(own, p, near), p), False).withColumn("ribbon_id", F.xxhash64("ribbon_id", F.lit(b))), "hatch-ribbons")
-        out = ribbons if out is None else out.unionByName(ribbons)
-        if b + 1 < bins:
-            near = materialise(stamp_proximity(fill(ribbons, frame), p.min_material + p.v_step + 1 + p.max_cut / 2, near), "hatch-near")
-    return out
+    reach, kinds = p.min_material + p.v_step + 1 + p.max_cut / 2, maps.select(*KEYS).schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", bin int, li int, first int, angle double, knots array<struct<x:double,y:double,hw:double>>"
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x, y, d = (table[c].to_numpy() for c in ("x", "y", "d"))
+        angle, load, cap = (table[c][0].as_py() for c in ("angle", "load", "cap"))
+        w, h, out = int(x.max()) + 1, int(y.max()) + 1, []
+        tones = np.zeros((h, w))
+        tones[y, x] = d
+        if w >= 3 and h >= 3:
+            own, near = _bins(tones, max(p.spacing, 1.0), bins), None
+            for b in range(bins):
+                # the bin's own angle, at right angles to the gradient; the ink's own as an offset
+                turned = angle + 180.0 * b / bins + 90.0
+                lines = cut(np.where(own == b, tones, 0.0), turned, load, cap, near)
+                if lines is not None:
+                    out.append((b, turned, *lines))
+                    if b + 1 < bins:
+                        stamped = _proximity(_filled(*sides(turned, *lines[2:]), w, h), reach)
+                        near = stamped if near is None else np.minimum(near, stamped)
+        return rows(key, table, out)
+
+    def cut(tones: np.ndarray, angle: float, load: float, cap: float, near: np.ndarray | None):
+        """runs() of one bin: li and first segment of each, where its knots start, and the knots."""
+        if (at := (*tones.shape, angle)) not in known:
+            known[at] = _lines(tones.shape[1], tones.shape[0], angle, p)
+        li, i, v, (x0, y0, x1, y1), pixel, taps_ = known[at]
+        raw = sum(t * tones[ty, tx] for ty, tx, t in taps_) * p.spacing * load
+        hw = np.where(raw < p.w_min, 0.0, np.maximum(np.minimum(raw - p.kerf, cap), 0.0)) / 2
+        if p.bridge_interval > 0 and p.bridge_px > 0:
+            hw = np.where(np.mod(v - np.mod(li * GOLDEN, 1.0) * p.bridge_interval, p.bridge_interval) < p.bridge_px, 0.0, hw)
+        if near is not None:
+            hw = np.minimum(hw, np.maximum(near[pixel] - p.min_material - p.v_step - 1, 0.0))
+        k = np.flatnonzero(hw > 0)
+        if not len(k):
+            return None
+        new = np.flatnonzero(np.concatenate([[True], (li[k][1:] != li[k][:-1]) | (i[k][1:] != i[k][:-1] + 1)]))
+        one = k[new]
+        ends = [np.insert(e[k], new, s[one]) for e, s in ((x1, x0), (y1, y0), (hw, hw))]
+        return li[one], i[one], new + np.arange(len(new)), *ends
+
+    def sides(angle: float, starts: np.ndarray, x: np.ndarray, y: np.ndarray, hw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """outline() of the runs: corners, and where each polygon's begin."""
+        nx, ny = -math.sin(math.radians(angle)), math.cos(math.radians(angle))
+        to = np.append(starts[1:], len(x))
+        place = np.concatenate([np.concatenate([np.arange(a, b), np.arange(b - 1, a - 1, -1)]) for a, b in zip(starts.tolist(), to.tolist())])
+        side = np.concatenate([np.repeat([-1.0, 1.0], b - a) for a, b in zip(starts.tolist(), to.tolist())])
+        return x[place] + side * hw[place] * nx, y[place] + side * hw[place] * ny, 2 * starts
+
+    def rows(key: tuple, table: pa.Table, out: list[tuple]) -> pa.Table:
+        joined = lambda k, kind: np.concatenate([np.zeros(0, kind), *(o[k] for o in out)]).astype(kind)
+        many, offsets = np.array([len(o[2]) for o in out], np.int64), [0]
+        for o in out:
+            offsets += (np.append(o[4][1:], len(o[5])) + offsets[-1]).tolist()
+        knots = pa.StructArray.from_arrays([pa.array(joined(k, float)) for k in (5, 6, 7)], names=["x", "y", "hw"])
+        own = [pa.array([v.as_py()] * int(many.sum()), table[k].type) for k, v in zip(KEYS, key)]
+        part = [pa.array(np.repeat(np.array([o[k] for o in out], kind), many)) for k, kind in ((0, np.int32), (1, float))]
+        return pa.Table.from_arrays([*own, part[0], pa.array(joined(2, np.int32)), pa.array(joined(3, np.int32)), part[1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), knots)], names=[*KEYS, "bin", "li", "first", "angle", "knots"])
+
+    known: dict = {}
+    lines = maps.select(*KEYS, "x", "y", "d", "angle", "load", "cap").groupBy(*KEYS).applyInArrow(run, schema)
+    ribbon = F.xxhash64(F.xxhash64(*KEYS, "li", "first"), F.col("bin"))
+    return outline(lines.withColumn("ribbon_id", ribbon), False, "ribbon_id")
 
 
 def screen(density: DataFrame, p: LineParams, set_: list[Ink]) -> DataFrame:
     """Ribbons of every image and ink: image_id, channel, ribbon_id, pts."""
     p.validate(set_)
-    maps = toned(density, p, set_)
+    maps = toned(density, p, set_, p.shape != "hatch")
     if p.shape == "lines":
         return outline(runs(widths(maps, p), p), False)
     if p.shape == "wavy":

@@ -440,6 +440,28 @@ def test_hatch_lines_keep_apart(spark):
     assert near >= p.min_material - 1
 
 
+def test_hatch_is_its_operators_in_one_group(spark, monkeypatch):
+    """As segments, samples, fill and proximity of the raster operators bin by bin, but nothing is written in between."""
+    from inkgrid.operators.filters import orientation
+
+    p, bins = LineParams(spacing=6, w_min=1, min_material=1, shape="hatch", hatch_bins=3, kerf=0.25, bridge_interval=20, bridge_px=4), 3
+    den = rasters.analytic(spark, 37, 29, lambda x, y: F.sin(F.atan2(y - 12.0, x - 20.0) * 2) * 0.5 + 0.5, "c").unionByName(rasters.analytic(spark, 2, 2, lambda x, y: F.lit(0.9) + 0 * x, "c", 1)).unionByName(rasters.analytic(spark, 9, 8, lambda x, y: F.lit(0.0) + 0 * x, "c", 2))
+    maps = screens.toned(den, p, [ink(15.0)]).cache()
+    binned = maps.join(orientation(maps, p.spacing, bins).select("image_id", "channel", "x", "y", "bin"), ["image_id", "channel", "x", "y"]).cache()
+    want, near = {}, None
+    for b in range(bins):
+        own = binned.select("image_id", "channel", "x", "y", F.when(F.col("bin") == b, F.col("d")).otherwise(0.0).alias("d"), (F.col("angle") + 180.0 * b / bins + 90.0).alias("angle"), "load", "cap")
+        rib = screens.outline(screens.runs(screens.widths(own, p, near), p), False).withColumn("ribbon_id", F.xxhash64("ribbon_id", F.lit(b))).cache()
+        want |= {r["ribbon_id"]: r for r in rib.collect()}
+        near = screens.stamp_proximity(fill.fill(rib, screens.sizes(binned)), p.min_material + p.v_step + 1 + p.max_cut / 2, near).cache()
+
+    monkeypatch.setattr(screens, "materialise", lambda *a: pytest.fail("written"))
+    got = {r["ribbon_id"]: r for r in screens.hatch(maps, p).collect()}
+    assert len(want) > 10 and got.keys() == want.keys()
+    for k, r in want.items():
+        assert (r["image_id"], r["channel"]) == (got[k]["image_id"], got[k]["channel"]) and np.allclose([(q["x"], q["y"]) for q in r["pts"]], [(q["x"], q["y"]) for q in got[k]["pts"]], atol=1e-9)
+
+
 def test_latest_jobs_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 1, 5.0), ("a", 2, 2, 6.0), ("b", 1, 3, 7.0)], "session string, ts int, seq int, value double")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
