@@ -445,8 +445,12 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return joined.withColumn("_doc", F.when(value.isNull() | (F.xxhash64("_text") != F.col("_low")), last).otherwise(value)).drop("_same", "_low"), True
 
 
-def _cut(docs: DataFrame, p: SuffixParams, text: str, id: str, keep: list[str]) -> DataFrame:
-    """The columns keep as c0, c1 and so on, with _kept (bytes), _n_bytes, _n_removed and _n_spans."""
+def _cut(docs: DataFrame, p: SuffixParams, text: str, id: str, keep: list[str], valid: bool = False) -> DataFrame:
+    """The columns keep as c0, c1 and so on, with _kept (bytes), _n_bytes, _n_removed and _n_spans.
+
+    valid: _kept is text, without the stumps of cut code points, and null where nothing was cut; made here, since a second Python
+    function over the texts would give each task a second worker, which keeps its memory into the stages that follow.
+    """
     at = docs.columns.index
     named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     own = [f"c{at(k)}" for k in keep]
@@ -455,6 +459,7 @@ def _cut(docs: DataFrame, p: SuffixParams, text: str, id: str, keep: list[str])
     gone = removed_spans(once.dropDuplicates(["_doc"]) if repeated else once, p).withColumnRenamed("_doc", "_of")
     joined = base.join(gone, base["_doc"] == gone["_of"], "left").select(*dict.fromkeys(own), "_text", "spans")
     own = list(dict.fromkeys(own))
+    kind = pa.string() if valid else pa.binary()
 
     def run(batches):
         for b in batches:
@@ -470,16 +475,18 @@ def _cut(docs: DataFrame, p: SuffixParams, text: str, id: str, keep: list[str])
                         stay = np.zeros(len(data) + 1, np.int64)
                         np.add.at(stay, cut[:, 0], 1)
                         np.add.at(stay, cut[:, 1], -1)
-                        out.append(data[np.cumsum(stay[:-1]) == 0].tobytes())
+                        left = data[np.cumsum(stay[:-1]) == 0].tobytes()
+                        out.append(left.decode("utf-8", "ignore") if valid else left)
+                        n_removed.append(len(data) - len(left))
                     else:
-                        out.append(data.tobytes())
-                    n_removed.append(len(data) - len(out[-1]))
+                        out.append(None if valid else data.tobytes())
+                        n_removed.append(0)
                     n_spans.append(len(cut))
                 hi = min(lo + 256, b.num_rows)
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(column_of(part, k) for k in own), pa.array(out, pa.binary()), pa.array(np.diff(offs[lo : hi + 1])), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())], names=[*own, "_kept", "_n_bytes", "_n_removed", "_n_spans"])
+                yield pa.RecordBatch.from_arrays([*(column_of(part, k) for k in own), pa.array(out, kind), pa.array(np.diff(offs[lo : hi + 1])), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())], names=[*own, "_kept", "_n_bytes", "_n_removed", "_n_spans"])
 
-    schema = T.StructType([*(named.schema[k] for k in own), T.StructField("_kept", T.BinaryType()), *(T.StructField(k, T.LongType()) for k in ("_n_bytes", "_n_removed", "_n_spans"))])
+    schema = T.StructType([*(named.schema[k] for k in own), T.StructField("_kept", T.StringType() if valid else T.BinaryType()), *(T.StructField(k, T.LongType()) for k in ("_n_bytes", "_n_removed", "_n_spans"))])
     return mapped(joined, run, schema)
 
 
@@ -496,11 +503,6 @@ def cleaned(docs: DataFrame, params: SuffixParams | None = None, text: str = "te
     A code point that loses some of its bytes goes as a whole; null texts stay null. A document that had text keeps its row
     even where nothing of the text is left.
     """
-    got, place = _cut(docs, params or SuffixParams(), text, id, docs.columns), f"c{docs.columns.index(text)}"
-    new = F.when(F.col(place).isNotNull(), F.when(F.col("_n_removed") == 0, F.col(place)).otherwise(_valid("_kept")))
+    got, place = _cut(docs, params or SuffixParams(), text, id, docs.columns, True), f"c{docs.columns.index(text)}"
+    new = F.when(F.col(place).isNotNull(), F.when(F.col("_n_removed") == 0, F.col(place)).otherwise(F.col("_kept")))
     return got.select(*(new.alias(k) if k == place else F.col(k) for k in (f"c{i}" for i in range(len(docs.columns))))).toDF(*docs.columns)
-
-
-def _valid(column: str):
-    """UTF-8 bytes as text without the stumps of cut code points."""
-    return F.udf(lambda b: bytes(b).decode("utf-8", "ignore"), "string", useArrow=True)(F.col(column))

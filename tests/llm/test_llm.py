@@ -333,6 +333,16 @@ def test_collection_is_a_suffix_sort():
             assert same[k] == (a[:n] == b[:n] and len(a) >= n)
 
 
+def test_cleaned_texts_pass_through_python_once(spark):
+    shared = "".join(map(chr, range(0x100, 0x13C)))
+    rows = [(1, "a" + shared), (2, "bb" + shared[:-1] + "\u013c"), (3, None), (4, "")]
+    got = suffix_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan  # another worker for each task
+    # of the last code point the first byte is alike, so a stump is left of it
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: rows[0][1], 2: "bb", 3: None, 4: ""}
+
+
 def test_decontamination(spark, docs, none):
     items = [(1, prose(77, 30)), (2, prose(78, 60)), (3, "too short"), (4, None), (5, prose(77, 30)), (6, " ,. "), (7, "Only, five words are here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
