@@ -119,43 +119,50 @@ class Column:
         if before:
             os.remove(before)
 
-    def put(self, at: np.ndarray, values: np.ndarray) -> None:
-        self.data[at] = values
 
+#: A row of the transform: its symbol's code (0: none, the row is a text's start), common prefix, and text and start as one number.
+_LCP, _NAMED = np.uint64(16), np.uint64(24)
 
-def _ranks(bwt: np.ndarray, real: np.ndarray, queries: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _rows(code: np.ndarray, lcp: np.ndarray, named: np.ndarray) -> np.ndarray:
+    return code.astype("<u8") | lcp.astype("<u8") << _LCP | named.astype("<u8") << _NAMED
+
+
+def _fields(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and common prefixes of rows, without copying."""
+    return rows.view("<u2")[::4], rows.view(np.uint8)[2::8]
+
+
+def _ranks(codes: np.ndarray, few: bool, queries: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted places: how many equal symbols stand before each, and the nearest equal symbols' places before and after (-1: none).
 
-    Reads both columns in sequence; rows that are not real have no symbol and are passed over.
+    Reads the codes in sequence; few: they fit into a byte.
     """
     rank, before, after = (np.full(len(queries), v, np.int64) for v in (0, -1, -1))
-    seen, latest = np.zeros(256, np.int64), np.full(256, -1, np.int64)
+    seen, latest = np.zeros(257, np.int64), np.full(257, -1, np.int64)
     open_: dict[int, int] = {}  # symbol: index of the query that waits for its next place
-    for a in range(0, len(bwt), block):
-        rows = a + np.flatnonzero(real[a : a + block])
-        if not len(rows):
-            continue
-        part = np.asarray(bwt[a : a + block])[rows - a]
-        i, j = np.searchsorted(queries, [a, a + block])
+    for a in range(0, len(codes), block):
+        part = codes[a : a + block].astype(np.uint8 if few else np.uint16)
         order = np.argsort(part, kind="stable")
-        counts = np.bincount(part, minlength=256)
+        counts = np.bincount(part, minlength=257)
         starts = np.concatenate([[0], np.cumsum(counts)])
         for c in list(open_):
             if counts[c]:
-                after[open_.pop(c)] = rows[order[starts[c]]]
+                after[open_.pop(c)] = a + order[starts[c]]
+        i, j = np.searchsorted(queries, [a, a + len(part)])
         if j > i:
-            which = np.full(len(part), -1, np.int64)
-            which[np.searchsorted(rows, queries[i:j])] = np.arange(i, j)
-            k = np.flatnonzero(which[order] >= 0)  # in order of symbol, then place
-            who, sym = which[order[k]], part[order[k]]
+            who = np.arange(i, j)
+            where = np.empty(len(part), np.int32)
+            where[order] = np.arange(len(part), dtype=np.int32)
+            k, sym = where[queries[i:j] - a].astype(np.int64), part[queries[i:j] - a]
             rank[who] = k - starts[sym] + seen[sym]
-            first, final = k == starts[sym], k == starts[sym + 1] - 1
-            before[who] = np.where(first, latest[sym], rows[order[np.maximum(k - 1, 0)]])
-            after[who] = np.where(final, -1, rows[order[np.minimum(k + 1, len(part) - 1)]])
+            first, final = k == starts[sym], k == starts[sym.astype(np.int64) + 1] - 1
+            before[who] = np.where(first, latest[sym], a + order[np.maximum(k - 1, 0)])
+            after[who] = np.where(final, -1, a + order[np.minimum(k + 1, len(part) - 1)])
             for c, x in zip(sym[final].tolist(), who[final].tolist()):
                 open_[c] = x
         has = np.flatnonzero(counts)
-        latest[has] = rows[order[starts[has + 1] - 1]]
+        latest[has] = a + order[starts[has + 1] - 1]
         seen += counts
     return rank, before, after
 
@@ -179,54 +186,50 @@ def collection(texts: list[bytes], p: SuffixParams) -> tuple[np.ndarray, np.ndar
     n = len(texts)
     size = np.array([len(t) for t in texts])
     longest = int(size.max(initial=0))
+    used = np.unique(np.frombuffer(b"".join(texts), np.uint8))
+    code = np.zeros(256, np.uint16)
+    code[used] = np.arange(1, len(used) + 1)
+    few = len(used) < 256
     with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-        bwt, lcp = (Column(np.uint8, p.memory_rows, folder) for _ in range(2))
-        named = Column(np.int32 if n * (longest + 1) < 1 << 31 else np.int64, p.memory_rows, folder)  # text and start of each row
-        grid = np.zeros((n, longest + 1), np.uint8)  # right-aligned; column 0 is never a symbol
-        symbol = np.zeros((n, longest + 1), bool)
+        table = Column("<u8", p.memory_rows, folder)
+        grid = np.zeros((n, longest + 1), np.uint8 if few else np.uint16)  # right-aligned codes; column 0 is never a symbol
         for i, t in enumerate(texts):
-            grid[i, longest + 1 - len(t) :] = np.frombuffer(t, np.uint8)
-            symbol[i, longest + 1 - len(t) :] = True
+            grid[i, longest + 1 - len(t) :] = code[np.frombuffer(t, np.uint8)]
         # round zero: the terminators, in order of the texts; each stands with the symbol before it
         own = np.arange(n)
-        bwt.insert(own, grid[:, longest])
-        real = Column(bool, p.memory_rows, folder)  # whether a row's symbol is one, and no text's start
-        real.insert(own, symbol[:, longest])
-        lcp.insert(own, np.zeros(n, np.uint8))
-        named.insert(own, own * (longest + 1) + size)
-        totals = np.bincount(grid[symbol[:, longest], longest], minlength=256)
+        table.insert(own, _rows(grid[:, longest], np.zeros(n, np.uint8), own * (longest + 1) + size))
+        totals = np.bincount(grid[:, longest], minlength=257)
         place = own.copy()  # of each text's latest suffix
         for turn in range(1, longest + 1):
-            active = own[symbol[:, longest + 1 - turn]]
+            active = own[grid[:, longest + 1 - turn] > 0]
             if not len(active):
                 break
             sorted_by = np.argsort(place[active])
             active = active[sorted_by]
             queries = place[active]
-            rank, before, after = _ranks(bwt.data, real.data, queries)
-            sym = bwt.data[queries]
+            codes, lcp = _fields(table.data)
+            rank, before, after = _ranks(codes, few, queries)
+            sym = codes[queries]
+            totals[0] = 0  # rows without a symbol lead nowhere
             first = n + np.concatenate([[0], np.cumsum(totals)])[sym]
             new = first + rank
             up = np.minimum
             cap = p.length
             value = np.zeros(len(active), np.uint8)
             has = np.flatnonzero(before >= 0)
-            value[has] = up(_least(lcp.data, before[has] + 1, queries[has] + 1).astype(np.int64) + 1, cap)
+            value[has] = up(_least(lcp, before[has] + 1, queries[has] + 1).astype(np.int64) + 1, cap)
             nxt = np.flatnonzero(after >= 0)
-            below = up(_least(lcp.data, queries[nxt] + 1, after[nxt] + 1).astype(np.int64) + 1, cap).astype(np.uint8)
+            below = up(_least(lcp, queries[nxt] + 1, after[nxt] + 1).astype(np.int64) + 1, cap).astype(np.uint8)
             # ``new`` counts rows as after this round; the row that follows in the new order is the next equal symbol's
             order = np.argsort(new)
-            left = symbol[active, longest - turn]
             nsym = grid[active, longest - turn]
-            bwt.insert(new[order], nsym[order])
-            real.insert(new[order], left[order])
-            lcp.insert(new[order], value[order])
-            named.insert(new[order], (active * (longest + 1) + size[active] - turn)[order])
-            lcp.put(new[nxt] + 1, below)
-            totals = totals + np.bincount(nsym[left], minlength=256)
+            table.insert(new[order], _rows(nsym, value, active * (longest + 1) + size[active] - turn)[order])
+            _fields(table.data)[1][new[nxt] + 1] = below
+            totals = totals + np.bincount(nsym, minlength=257)
             # rows from before this round moved down by those put in above them
             place[active] = new
-        return (*np.divmod(np.array(named.data), longest + 1), np.array(lcp.data) >= min(p.length, 255))
+        rows = np.array(table.data)
+        return (*np.divmod((rows >> _NAMED).astype(np.int64), longest + 1), _fields(rows)[1] >= min(p.length, 255))
 
 
 def repeats(segments: list[bytes], earlier: np.ndarray, p: SuffixParams) -> list[np.ndarray]:

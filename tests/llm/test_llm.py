@@ -333,6 +333,18 @@ def test_collection_is_a_suffix_sort():
             assert same[k] == (a[:n] == b[:n] and len(a) >= n)
 
 
+@pytest.mark.parametrize("alphabet", [b"ab\x00", bytes(range(256))])
+def test_collection_rewrites_one_column_a_round(monkeypatch, alphabet):
+    calls, insert = [], suffix_dedup.Column.insert
+    monkeypatch.setattr(suffix_dedup.Column, "insert", lambda self, at, values: (calls.append(len(at)), insert(self, at, values))[1])
+    r = random.Random(5)
+    t = [bytes(r.choice(alphabet) for _ in range(40)) for _ in range(12)] + [bytes(alphabet)]
+    who, start, same = suffix_dedup.collection(t, suffix_dedup.SuffixParams(length=3, gram=2, memory_rows=100))
+    want = sorted(([c + 1 for c in t[i][j:]] + [0], i, j) for i in range(len(t)) for j in range(len(t[i]) + 1))
+    assert list(zip(who.tolist(), start.tolist())) == [(i, j) for _, i, j in want]
+    assert len(calls) == max(map(len, t)) + 1 and sum(calls) == len(want)
+
+
 def test_cleaned_texts_pass_through_python_once(spark):
     shared = "".join(map(chr, range(0x100, 0x13C)))
     rows = [(1, "a" + shared), (2, "bb" + shared[:-1] + "\u013c"), (3, None), (4, "")]
